@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, token_counts
+from llm import bpe, substring_dedup, token_counts
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -24,6 +24,36 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without 50-word windows that start in an earlier one."""
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+), w AS (
+  SELECT doc_id, p, md5(array_to_string(ws[p : p + 49], ' ')) AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM d WHERE len(ws) >= 50)
+), o AS (
+  SELECT k, min(doc_id) AS owner FROM w GROUP BY k
+), g AS (
+  SELECT doc_id, list(DISTINCT i) AS gone
+  FROM (SELECT doc_id, unnest(range(p, p + 50)) AS i FROM w JOIN o USING (k) WHERE owner < doc_id) GROUP BY doc_id
+), r AS (
+  SELECT d.doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed, ws, g.gone FROM d LEFT JOIN g USING (doc_id)
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM r) AS u
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest(gone) AS i FROM g) AS x WHERE x.doc_id = u.doc_id AND x.i = u.i)
+  GROUP BY doc_id
+)
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM r LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     docs = table(spark, sf_dir, "documents")
@@ -33,7 +63,10 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_substring_dedup": OP6_SQL,
+}

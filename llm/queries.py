@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, substring_dedup, token_counts
+from llm import bpe, ngram_join, substring_dedup, token_counts
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -17,6 +17,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of lower-case 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return ngram_join.similarity_classes(table(spark, sf_dir, "documents"), n=4, percent=85, lower=True)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[p : p + 3], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS p FROM d WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), m AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM m JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 85 * (a.n + b.n - o)
+), r AS (
+  SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+), e AS (
+  SELECT doc_id, string_agg(g, chr(10) ORDER BY g) AS k FROM s GROUP BY doc_id
+), k AS (
+  SELECT k, count(*) AS n_copies FROM e GROUP BY k
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, (SELECT min(y) FROM r WHERE r.x = d.doc_id))::BIGINT AS component_id,
+  coalesce(k.n_copies, 1)::BIGINT AS n_copies
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN e USING (doc_id) LEFT JOIN k USING (k)
+"""
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document; ``over_limit``: more than 512 tokens."""
     docs = table(spark, sf_dir, "documents")
@@ -32,7 +64,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), w AS (
   SELECT doc_id, p, md5(array_to_string(ws[p : p + 49], ' ')) AS k
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM d WHERE len(ws) >= 50)
@@ -62,11 +94,13 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": OP1_SQL,
     "op6_substring_dedup": OP6_SQL,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, ngram_join, substring_dedup, token_counts
+from llm import bpe, ngram_join, substring_dedup, token_counts, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -56,6 +56,27 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives, deduplicated by payload digest, and read back."""
+    return warc.resolve_revisits(table(spark, sf_dir, "pages"))
+
+
+_HEX = ", ".join(f"('0x' || substr(h, {5 * k + 1}, 5))::INT" for k in range(8))
+OP4_SQL = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, html, h, array_to_string(list_transform(flatten(list_transform([{_HEX}], lambda v: [v >> 15, (v >> 10) & 31, (v >> 5) & 31, v & 31])),
+    lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v + 1)::BIGINT, 1)), '') AS b FROM p
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d
+)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, b AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without 50-word windows that start in an earlier one."""
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -96,11 +117,13 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
+    "op4_warc_revisits": op4_warc_revisits,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
 }
 
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
+    "op4_warc_revisits": OP4_SQL,
     "op6_substring_dedup": OP6_SQL,
 }

@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, ngram_join, substring_dedup, token_counts, warc
+from llm import bpe, language_id, ngram_join, quality, sampling, substring_dedup, token_counts, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +78,13 @@ FROM f
 """
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document, learned from labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    out = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", sampling.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without 50-word windows that start in an earlier one."""
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -114,12 +122,19 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from rows outside the held-out fold."""
+    return language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
     "op4_warc_revisits": op4_warc_revisits,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, language_id, ngram_join, quality, sampling, substring_dedup, token_counts, warc
+from llm import bm25, bpe, decontamination, language_id, ngram_join, quality, quotation, sampling, substring_dedup, token_counts, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -57,6 +57,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, one row per document and item."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives, deduplicated by payload digest, and read back."""
     return warc.resolve_revisits(table(spark, sf_dir, "pages"))
@@ -122,6 +127,39 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op8_chat_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message with its place in reply order and its text without quotations."""
+    return quotation.reply_order(table(spark, sf_dir, "conversations"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents by BM25 for every document whose id is divisible by 50."""
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.filter(F.col("doc_id") % 50 == 0))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), p AS (
+  SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS word FROM d) GROUP BY ALL
+), g AS (
+  SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM d
+), i AS (
+  SELECT word, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, g GROUP BY word, n
+), s AS (
+  SELECT q.doc_id AS query_id, p.doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / avgdl))), 6) AS score
+  FROM (SELECT doc_id, word FROM p WHERE doc_id % 50 = 0) q JOIN p USING (word) JOIN i USING (word) JOIN d ON d.doc_id = p.doc_id, g
+  GROUP BY ALL
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s
+)
+SELECT query_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from rows outside the held-out fold."""
     return language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
@@ -130,10 +168,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_warc_revisits": op4_warc_revisits,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_chat_quotation": op8_chat_quotation,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
 }
 
@@ -141,4 +182,5 @@ ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op4_warc_revisits": OP4_SQL,
     "op6_substring_dedup": OP6_SQL,
+    "op9_exact_top_k": OP9_SQL,
 }

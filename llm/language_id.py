@@ -215,9 +215,14 @@ def learn(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     return Model(path, languages, table)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ``lang_pred`` and ``score``; a map without a shuffle."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per input row: id, ``lang_pred`` and ``score``; a map without a shuffle.
+
+    With ``carry`` the id column is ``row``, a struct of all columns of the input.
+    """
+    first = F.struct(*(docs[c] for c in docs.columns)) if carry else docs[id_col]
+    chosen = docs.select(first.alias("id"), docs[text_col].alias("text"))
+    kind = chosen.schema["id"].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,8 +254,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     share.append(float(total[best] / total.sum()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(share, pa.float64())], ["id", "lang_pred", "score"])
 
-    chosen = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return chosen.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return chosen.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", "row" if carry else id_col)
 
 
 def identify(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:

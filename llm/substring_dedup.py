@@ -173,15 +173,17 @@ def removed_intervals(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id
     return gone.mapInArrow(_intervals(width), f"id {kind}, key bigint, removed array<struct<begin:int,end:int>>")
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row per input row: id, ``n_words``, ``n_removed``, ``removed`` (intervals; null: none) and ``kept_text``.
 
-    ``kept_text`` joins the kept words with one blank. Other columns are ignored.
+    ``kept_text`` joins the kept words with one blank. With ``carry`` the id column is
+    ``row``, a struct of all columns of the input; without, other columns are ignored.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     removed = staged(removed_intervals(docs, width, id_col, text_col), "removed")
     removed = sized(removed.select(F.col("id").alias("r_id"), F.col("key").alias("r_key"), "removed"))
-    base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    joined = base.join(removed, (F.col("id") == F.col("r_id")) & (F.xxhash64("text") == F.col("r_key")), "left").select("id", "text", "removed")
+    out = F.struct(*(docs[c] for c in docs.columns)) if carry else docs[id_col]
+    base = docs.select(out.alias("out"), docs[id_col].alias("id"), docs[text_col].alias("text"))
+    kind = base.schema["out"].dataType.simpleString()
+    joined = base.join(removed, (F.col("id") == F.col("r_id")) & (F.xxhash64("text") == F.col("r_key")), "left").select("out", "text", "removed")
     out = joined.mapInArrow(_kept, f"id {kind}, n_words bigint, n_removed bigint, removed array<struct<begin:int,end:int>>, kept_text string")
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumnRenamed("id", "row" if carry else id_col)

@@ -16,8 +16,9 @@ of blocks more than one step apart can't be similar, so a set is met only by its
 block and the one below: the others are skipped unread. Inside those, position and size
 bound the overlap of a pair before anything is fetched.
 
-Answers. Each set is first compared with its blocks' leaders (their smallest sets)
-only; the verified links form families around pivots. A member's answer is its
+Answers. Each set is first compared with one or two of its blocks' leaders (their
+smallest sets), those that share most lists with it, then with the head of the largest
+family in its lists; the verified links form families around pivots. A member's answer is its
 pivot's, taken over: sets of one family are connected and never compared again, which
 leaves nothing to do in lists of one family. Only pairs across families remain; first
 pivots are compared, and a pair is dropped if the pivots' overlap plus what each set has
@@ -50,6 +51,8 @@ SMALL = 48
 #: Sets that share a shingle before it counts as frequent, raised until few shingles are.
 FREQUENT = 48
 FREQUENT_ROWS = 200_000
+#: Rounds in which sets are compared with the head of the largest family in their lists, while links are found.
+JOIN_ROUNDS = 2
 #: Bits of a parity bitmap: the power of two from the set size on, within these.
 BITS_LEAST, BITS_MOST = 128, 4096
 
@@ -208,6 +211,13 @@ def _overlaps(pairs: DataFrame, reps: DataFrame, base: DataFrame, n: int, lower:
     return joined.withColumn("overlap", F.size(F.array_intersect("a_set", "b_set")).cast("long")).drop("a_set", "b_set")
 
 
+def _mixed(index: DataFrame, families: DataFrame) -> DataFrame:
+    """The index with each set's family, without lists of one family."""
+    member = index.join(families.withColumnRenamed("component", "family"), "id", "left").withColumn("family", F.coalesce("family", "id"))
+    mixed = member.groupBy("x").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo <> hi").select("x")
+    return member.join(mixed, "x", "left_semi")
+
+
 def similarity_classes(
     docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -258,16 +268,32 @@ def similarity_classes(
     leader = index.groupBy("x", "block").agg(F.min(F.struct("size", "id")).alias("lead"))
     leaders = leader.unionByName(leader.withColumn("block", F.col("block") + 1)).select("x", "block", F.col("lead.id").alias("a"), F.col("lead.size").alias("s"))
     star = index.join(leaders, ["x", "block"]).filter((F.col("id") != F.col("a")) & (100 * F.least("s", "size") >= percent * F.greatest("s", "size")))
+    # of the leaders that a set meets, the one of its own block and the one of the block below with most lists in common
+    star = star.withColumn("below", F.col("s") < F.col("size")).groupBy("id", "below", "a").agg(F.count("*").alias("lists"))
+    star = star.groupBy("id", "below").agg(F.max_by("a", F.struct("lists", -F.col("a"))).alias("a"))
     star = staged(star.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct(), "star")
     enough = 100 * F.col("overlap") >= percent * (F.col("a_size") + F.col("b_size") - F.col("overlap"))
     found = staged(_overlaps(star, reps, base, n, lower, percent).filter(enough), "found")
     families = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
     families = staged(families, "families")
 
-    # pairs across families; lists of one family need none
-    member = index.join(sized(families.withColumnRenamed("component", "family")), "id", "left").withColumn("family", F.coalesce("family", "id"))
-    mixed = member.groupBy("x").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo <> hi").select("x")
-    member = staged(member.join(sized(staged(mixed, "mixed")), "x", "left_semi"), "members")
+    # lists of one family need nothing more; in others, sets outside the list's largest family are compared with its head
+    for _ in range(JOIN_ROUNDS):
+        member = staged(_mixed(index, families), "members")
+        sizes = member.groupBy("x", "family").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("x").agg(F.max_by("family", F.struct("n", -F.col("family"))).alias("head"))
+        joining = member.join(largest, "x").filter("family <> head").groupBy("id", "head").agg(F.count("*").alias("lists"))
+        joining = joining.groupBy("id").agg(F.max_by("head", F.struct("lists", -F.col("head"))).alias("head"))
+        joining = joining.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).join(star, ["a", "b"], "left_anti")
+        joining = staged(joining.distinct(), "joining")
+        new = staged(_overlaps(joining, reps, base, n, lower, percent).filter(enough), "found")
+        star, found = star.unionByName(joining), found.unionByName(new)
+        if new.isEmpty():
+            break
+        families = staged(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "families")
+    member = staged(_mixed(index, families), "members")
+
+    # pairs across families
     left = member.select("x", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"), F.col("family").alias("fa"), "block")
     left = left.select("*", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("near"))
     right = member.select("x", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("pos").alias("pb"), F.col("family").alias("fb"), F.col("block").alias("near"))
@@ -281,14 +307,14 @@ def similarity_classes(
     pivots = staged(pivots.groupBy("id").agg(F.min_by(F.struct("pivot", "beyond"), "pivot").alias("p")).select("id", "p.pivot", "p.beyond"), "pivots")
     for side in ("a", "b"):
         of = pivots.select(F.col("id").alias(side), F.col("pivot").alias(f"{side}_pivot"), F.col("beyond").alias(f"{side}_beyond"))
-        cross = cross.join(sized(of), side, "left").withColumn(f"{side}_pivot", F.coalesce(f"{side}_pivot", side)).withColumn(f"{side}_beyond", F.coalesce(f"{side}_beyond", F.lit(0)))
+        cross = cross.join(of, side, "left").withColumn(f"{side}_pivot", F.coalesce(f"{side}_pivot", side)).withColumn(f"{side}_beyond", F.coalesce(f"{side}_beyond", F.lit(0)))
     cross = cross.withColumn("u", F.least("a_pivot", "b_pivot")).withColumn("v", F.greatest("a_pivot", "b_pivot"))
     for side in ("a", "b"):
         cross = cross.join(reps.select(F.col("id").alias(side), F.col("size").alias(f"{side}_size"), F.col("bitmap").alias(f"{side}_bitmap")), side)
     cross = staged(cross.filter(_may_link(percent)).drop("a_bitmap", "b_bitmap"), "cross")
     heads = cross.filter("(a <> a_pivot or b <> b_pivot) and u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
     heads = staged(_overlaps(heads, reps, base, n, lower, percent, bitmaps=False).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("overlap").alias("met")), "heads")
-    left_over = cross.join(sized(heads), ["u", "v"], "left").filter(
+    left_over = cross.join(heads, ["u", "v"], "left").filter(
         F.col("met").isNull() | (F.col("met") + F.col("a_beyond") + F.col("b_beyond") >= _needed(F.col("a_size"), F.col("b_size"), percent))
     )
     more = _overlaps(left_over.select("a", "b"), reps, base, n, lower, percent).filter(enough)
@@ -296,7 +322,7 @@ def similarity_classes(
     groups = staged(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
 
     named = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("size", "d1", "d2", F.coalesce("component", "rep").alias("component_id"), "n_copies")
-    out = rows.select("id", "size", "d1", "d2").join(sized(staged(named, "named")), ["size", "d1", "d2"], "left")
+    out = rows.select("id", "size", "d1", "d2").join(named, ["size", "d1", "d2"], "left")
     return out.select(
         F.col("id").alias(id_col),
         F.col("size").alias("n_shingles"),

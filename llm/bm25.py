@@ -38,7 +38,7 @@ from llm.staging import staged
 
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 BLOCK = 64
 DENSE = 16
 BLOCK_TERMS = 2_000_000
@@ -96,16 +96,12 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Shard:
-    """An inverted index of some rows for the terms of some queries."""
-
-    def __init__(self, row: np.ndarray, term: np.ndarray, tf: np.ndarray, words: np.ndarray, terms: np.ndarray, idf: np.ndarray, average: float):
-        at = np.searchsorted(terms, term)
-        at[at == len(terms)] = 0
-        good = terms[at] == term
-        at, row, tf = at[good], row[good], tf[good]
-        order = np.lexsort((row, at))
+    """An inverted index of some rows: row, number of the query term, count, and the words of each row."""
+
+    def __init__(self, row: np.ndarray, at: np.ndarray, tf: np.ndarray, words: np.ndarray, idf: np.ndarray, average: float):
+        order = np.argsort(at, kind="stable")  # rows come in order
         at, self.row, tf = at[order], row[order], tf[order]
-        self.n = len(words)
+        self.n, terms = len(words), idf
         self.share = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[self.row] / average))
         self.first = np.searchsorted(at, np.arange(len(terms) + 1))
         size = np.diff(self.first)
@@ -181,8 +177,9 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col
                 terms, weights, names, lists, ends = held.value
 
                 def answers(parts: list, ids: list) -> Iterator[pa.RecordBatch]:
-                    row, term, tf, words = (np.concatenate([p[k] for p in parts]) for k in range(4))
-                    shard, keys = Shard(row, term, tf, words, terms, weights, average), pa.concat_arrays(ids)
+                    row, at, tf, words = (np.concatenate([p[k] for p in parts]) for k in range(4))
+                    parts.clear()
+                    shard, keys = Shard(row, at, tf, words, weights, average), pa.concat_arrays(ids)
                     found = []
                     for q in range(len(names)):
                         rows, scores = shard.search(lists[ends[q] : ends[q + 1]], top)
@@ -195,7 +192,10 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col
                 parts, ids, size, n = [], [], 0, 0
                 for batch in batches:
                     for lo, row, term, tf, words in _terms(batch.column(1)):
-                        parts.append((row + n, term, tf, words))
+                        at = np.searchsorted(terms, term)
+                        at[at == len(terms)] = 0
+                        asked = terms[at] == term
+                        parts.append(tuple(x[asked].astype(np.int32) for x in (row + n, at, tf)) + (words,))
                         piece = batch.column(0).slice(lo, len(words))
                         ids.append(piece)
                         n += len(words)

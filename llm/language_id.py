@@ -42,7 +42,7 @@ PIECE_LONGEST = 12
 #: Probability of a letter that is no piece.
 UNKNOWN = 1e-9
 #: Words remembered per worker before its memory starts anew.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
 UNDETERMINED = "und"
 
 _LETTERS = regex.compile(r"\p{L}+")
@@ -230,7 +230,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         number: dict[str, int] = {}
         scores = np.zeros((0, len(m.languages)))
         for batch in batches:
-            for lo, hi in textkit.slices(batch.column(1), 4 << 20):
+            for lo, hi in textkit.slices(batch.column(1), 2 << 20):
                 texts = batch.column(1).slice(lo, hi - lo).to_pylist()
                 words = [words_of(t) if t else [] for t in texts]
                 new = list({w for ws in words for w in ws} - number.keys())

@@ -35,9 +35,9 @@ from llm import textkit
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
 #: Pieces whose counts a worker remembers before its memory starts anew.
-MEMORY_PIECES = 600_000
+MEMORY_PIECES = 400_000
 MEMORY_CHARS = 64
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 
@@ -172,6 +172,7 @@ def token_counts(
                     [batch.column(0).slice(lo, hi - lo), pa.array(off[1:] - off[:-1], pa.int64()), pa.array(c.counts(texts), pa.int64())],
                     ["id", "n_bytes", "n_tokens"],
                 )
+        c.memory = {}  # the worker may serve other operators next
 
     chosen = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     return chosen.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint").withColumnRenamed("id", id_col)

@@ -63,7 +63,8 @@ def rounded(g: Column, places: int = 6) -> Column:
 
 def _edges(r: Column) -> Column:
     """Pairs (a, b) of following points of a ring."""
-    return F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    n = F.greatest(F.size(r) - 1, F.lit(0))
+    return F.zip_with(F.slice(r, 1, n), F.slice(r, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
 def _sum(values: Column) -> Column:
@@ -210,6 +211,81 @@ def self_intersects(g: Column) -> Column:
     return F.exists(F.flatten(g), lambda r: F.exists(_edges(r), lambda e: F.exists(_edges(r), lambda f: cross(e, f))))
 
 
+def _side(p: Column, q: Column, r: Column) -> Column:
+    """Positive if ``r`` lies left of the line from ``p`` to ``q``."""
+    return (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+
+
+def _clip(r: Column, cut: Column) -> Column:
+    """The part of a closed ring left of the line from cut.a to cut.b, closed."""
+
+    def kept(e: Column) -> Column:
+        u, v = _side(cut["a"], cut["b"], e["a"]), _side(cut["a"], cut["b"], e["b"])
+        t = u / F.nullif(u - v, F.lit(0.0))
+        met = point(e["a"]["x"] + t * (e["b"]["x"] - e["a"]["x"]), e["a"]["y"] + t * (e["b"]["y"] - e["a"]["y"]))
+        end = point(e["b"]["x"], e["b"]["y"])
+        none = F.array().cast("array<struct<x:double,y:double>>")
+        return F.when((u >= 0) & (v >= 0), F.array(end)).when(u >= 0, F.array(met)).when(v >= 0, F.array(met, end)).otherwise(none)
+
+    out = F.flatten(F.transform(_edges(r), kept))
+    return F.concat(out, F.slice(out, 1, 1))
+
+
+def _signed(r: Column) -> Column:
+    return _sum(F.transform(_edges(r), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2
+
+
+def ring_intersection_area(a: Column, b: Column) -> Column:
+    """Planar area that two closed rings share.
+
+    ``b`` is a signed sum of the triangles from its first point, and clipping by a triangle keeps
+    areas exact for any simple ring, so neither ring has to be convex.
+    """
+
+    def part(e: Column) -> Column:
+        p = F.element_at(b, 1)
+        turn = F.signum(_side(p, e["a"], e["b"]))
+        q, r = F.when(turn >= 0, e["a"]).otherwise(e["b"]), F.when(turn >= 0, e["b"]).otherwise(e["a"])
+        lines = F.array(*(F.struct(u.alias("a"), v.alias("b")) for u, v in ((p, q), (q, r), (r, p))))
+        piece = F.aggregate(lines, F.transform(a, lambda x: point(x["x"], x["y"])), _clip)
+        return F.when(turn == 0, 0.0).otherwise(turn * F.abs(_signed(piece)))
+
+    return F.abs(_sum(F.transform(_edges(b), part)))
+
+
+def intersection_area(a: Column, b: Column) -> Column:
+    """Planar area that two geometries share; holes count against it."""
+    sign = lambda i: F.when(i == 0, 1.0).otherwise(-1.0)
+    rings = lambda g: F.flatten(F.transform(g, lambda p: F.transform(p, lambda r, i: F.struct(r.alias("r"), sign(i).alias("s")))))
+    return _sum(F.transform(rings(a), lambda u: _sum(F.transform(rings(b), lambda v: u["s"] * v["s"] * ring_intersection_area(u["r"], v["r"])))))
+
+
+def difference_area(a: Column, b: Column) -> Column:
+    """Planar area of ``a`` outside ``b``."""
+    return area_flat(a) - intersection_area(a, b)
+
+
+def union_area(a: Column, b: Column) -> Column:
+    """Planar area of both together."""
+    return area_flat(a) + area_flat(b) - intersection_area(a, b)
+
+
+def intersects(a: Column, b: Column, least: float = 1e-9) -> Column:
+    """Whether the outer rings share more than ``least`` area; boxes that do not meet are told apart first."""
+    outer = lambda g: F.transform(g, lambda p: F.slice(p, 1, 1))
+    return F.when(bounds_intersect(bounds(a, False), bounds(b, False)), intersection_area(outer(a), outer(b)) > least).otherwise(False)
+
+
+def content_hash(g: Column) -> Column:
+    """A 64-bit hash of all coordinates in order, for equality."""
+    return F.xxhash64(g)
+
+
+def equal_perimeter_circle(g: Column) -> Column:
+    """Radius in degrees of the circle with the geometry's perimeter."""
+    return perimeter(g) / (2 * math.pi) / METRES_PER_DEGREE
+
+
 def from_utm14(easting: Column, northing: Column) -> tuple[Column, Column]:
     """Longitude and latitude of WGS84 UTM zone 14 north, by the published inverse series."""
     a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996

@@ -5,6 +5,7 @@ Each row is measured by itself; a small helper per row, a map without a shuffle.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -93,6 +94,78 @@ def thin(points: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
+def label(rings: list[np.ndarray], precision: float = 0.02) -> tuple[float, float, float]:
+    """The inside point farthest from all edges, and that distance, to within a share of the box's shorter side.
+
+    Squares that cover the box are searched by the most that they can hold (their
+    centre's distance plus half a diagonal); each is quartered until none can hold more.
+    """
+    a, b = np.concatenate([r[:-1] for r in rings]), np.concatenate([r[1:] for r in rings])
+    d = b - a
+    length = np.maximum((d * d).sum(axis=1), 1e-300)
+    slope = np.divide(d[:, 0], d[:, 1], out=np.zeros(len(d)), where=d[:, 1] != 0)
+
+    def depth(at: np.ndarray) -> np.ndarray:
+        v = at[:, None] - a
+        t = np.clip((v * d).sum(axis=2) / length, 0, 1)
+        far = np.sqrt(((v - t[..., None] * d) ** 2).sum(axis=2).min(axis=1))
+        crossed = ((a[:, 1] > at[:, 1:]) != (b[:, 1] > at[:, 1:])) & (at[:, :1] < a[:, 0] + v[..., 1] * slope)
+        return np.where(crossed.sum(axis=1) % 2 == 1, far, -far)
+
+    low, high = rings[0].min(axis=0), rings[0].max(axis=0)
+    half = max(float((high - low).min()), 1e-9) / 2
+    precision *= 2 * half
+    grid = [np.arange(l + half, max(h, l + half * 1.001), 2 * half) for l, h in zip(low, high)]
+    todo, best, corners = [], (0.0, 0.0, -np.inf), np.array([[-1, -1], [-1, 1], [1, -1], [1, 1]])
+    fresh = np.stack(np.meshgrid(*grid), axis=-1).reshape(-1, 2)
+    while True:
+        for (x, y), far in zip(fresh.tolist(), depth(fresh).tolist()):
+            if far > best[2]:
+                best = (x, y, far)
+            heapq.heappush(todo, (-(far + half * math.sqrt(2)), half, x, y))
+        if not todo or -todo[0][0] - best[2] <= precision:
+            return best
+        _, half, x, y = heapq.heappop(todo)
+        half /= 2
+        fresh = np.array([x, y]) + corners * half
+
+
+def labelled(features: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, x, y, distance): the label point of each feature's polygon that leaves most room."""
+    kind = features.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, polygons in zip(pdf["id"], pdf["g"]):
+                found = [label([np.array([[q["x"], q["y"]] for q in r]) for r in rings]) for rings in polygons]
+                rows.append((key, *max(found, key=lambda f: f[2])))
+            yield pd.DataFrame(rows, columns=["id", "x", "y", "distance"])
+
+    whole = features.select(F.col(id_col).alias("id"), "g").filter("size(g) > 0")
+    return whole.mapInPandas(run, f"id {kind}, x double, y double, distance double").withColumnRenamed("id", id_col)
+
+
+def simplified(features: DataFrame, tolerance: float = 1e-4, id_col: str = "id") -> DataFrame:
+    """(id, g): each ring without the points within the tolerance of its chords; rings keep four points at least."""
+    kind = features.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for polygons in pdf["g"]:
+                done = []
+                for rings in polygons:
+                    done.append([])
+                    for r in rings:
+                        keep = thin(np.array([[q["x"], q["y"]] for q in r]), tolerance)
+                        done[-1].append([q for q, k in zip(r, keep) if k] if keep.sum() >= 4 else list(r))
+                out.append(done)
+            yield pd.DataFrame({"id": pdf["id"], "g": out})
+
+    return features.select(F.col(id_col).alias("id"), "g").mapInPandas(run, f"id {kind}, g {G.GEOMETRY}").withColumnRenamed("id", id_col)
+
+
 def measured(features: DataFrame, id_col: str = "id", tolerance: float = 1e-4) -> DataFrame:
     """(id, hull_points, hull_area, circle_x, circle_y, circle_r, box_area, box_length, box_width, kept_points), planar."""
     kind = features.schema[id_col].dataType.simpleString()

@@ -40,10 +40,11 @@ def assign_smallest(points: DataFrame, features: DataFrame, size: float, point_i
 
 
 def select_box(features: DataFrame, left: float, top: float, right: float, bottom: float, mode: str) -> DataFrame:
-    """Features by a query box: ``overlap`` (boxes meet), ``bounds`` (box inside), ``center`` (box's centre inside)."""
+    """Features by a query box: ``intersects`` (insides meet), ``overlap`` (boxes meet), ``bounds`` (box inside), ``center`` (box's centre inside)."""
     own = G.bounds(F.col("g"))
     box = F.struct(F.lit(left).alias("left"), F.lit(top).alias("top"), F.lit(right).alias("right"), F.lit(bottom).alias("bottom"))
-    test = {"overlap": lambda: G.bounds_intersect(own, box), "bounds": lambda: G.bounds_inside(own, box), "center": lambda: G.bounds_contain(box, *G.bounds_center(own))}
+    area = G.box_polygon(box["left"], box["top"], box["right"], box["bottom"])
+    test = {"intersects": lambda: G.intersects(F.col("g"), area), "overlap": lambda: G.bounds_intersect(own, box), "bounds": lambda: G.bounds_inside(own, box), "center": lambda: G.bounds_contain(box, *G.bounds_center(own))}
     return features.filter(test[mode]())
 
 
@@ -97,6 +98,19 @@ def interior_sharing(arcs: DataFrame) -> DataFrame:
     return out.filter("n_interior >= 2 or (n_interior >= 1 and n_endpoint >= 1)")
 
 
+def overlapping(left: DataFrame, right: DataFrame, size: float, left_id: str = "a", right_id: str = "b") -> DataFrame:
+    """(a, b) of features whose insides meet: an equi-join on grid cells, each pair kept in its first common cell only."""
+    one = with_cells(left.select(F.col(left_id).alias("a"), "g"), size).withColumnsRenamed({"g": "ga", "bb": "ba"})
+    two = with_cells(right.select(F.col(right_id).alias("b"), "g"), size).withColumnsRenamed({"g": "gb", "bb": "bb"})
+    first = (F.col("cx") == F.floor(F.greatest("ba.left", "bb.left") / size)) & (F.col("cy") == F.floor(F.greatest("ba.bottom", "bb.bottom") / size))
+    return one.join(two, ["cx", "cy"]).filter(first & G.intersects(F.col("ga"), F.col("gb"))).select("a", "b")
+
+
+def parts(features: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, part, g): a row per polygon, numbered from 1."""
+    return features.select(id_col, F.posexplode("g").alias("part", "p")).select(id_col, (F.col("part") + 1).alias("part"), F.array("p").alias("g"))
+
+
 def merged_polygons(features: DataFrame, id_col: str, order: str) -> DataFrame:
     """(id, g): polygons of rows that share an id put together in order."""
     parts = features.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(order, "g"))).alias("v"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as G
-from terrafold.functions import palette, scalars
+from terrafold.functions import arrays, palette, scalars
 from terrafold.operators import filters, records, shapes, spatial
 from terrafold.sources import text
 from terrafold.streaming import edits
@@ -88,13 +88,13 @@ def filter_search_text(spark, d):
     return searched.select("p_partkey", F.regexp_replace("_search", r"\|$", "").alias("_search")).filter(F.contains("_search", F.lit("blue")))
 
 
-@query("""SELECT l_orderkey, l_linenumber, coalesce(round(l_extendedprice * (1 - l_discount) / nullif(l_quantity + l_tax, 0), 2), 0) AS value,
+@query("""SELECT l_orderkey, l_linenumber, floor(coalesce(l_extendedprice * (1 - l_discount) / nullif(l_quantity + l_tax, 0), 0) * 100 + 0.123456) AS value,
   round(l_quantity + l_discount + l_tax, 4) AS total FROM lineitem""")
 def detail_and_total(spark, d):
     line = table(spark, d, "lineitem")
     value = filters.detail("=l_extendedprice * (1 - l_discount) / (l_quantity + l_tax)", line.columns)
     out = filters.row_total(line, ["l_quantity", "l_discount", "l_tax"], "Total")
-    return out.select("l_orderkey", "l_linenumber", F.round(value, 2).alias("value"), F.round("Total", 4).alias("total"))
+    return out.select("l_orderkey", "l_linenumber", F.floor(value * 100 + 0.123456).cast("double").alias("value"), F.round("Total", 4).alias("total"))
 
 
 @query(f"""SELECT o_orderkey, o_orderstatus = 'O' AND NOT d AS is_public, o_custkey % 7 <> 3 AND NOT d AS is_shared, o_custkey % 7 = 3 AND d AS is_trash,
@@ -460,6 +460,55 @@ def compactness(spark, d):
     return c.select("id", F.round("reock", 6).alias("reock"), F.round("polsby_popper", 6).alias("polsby_popper"), F.round("convex_hull", 6).alias("convex_hull"))
 
 
+@query(f"SELECT id FROM {_BOXES} WHERE x < -105 AND x + w > -115 AND y < 39 AND y + h > 33")
+def select_intersects(spark, d):
+    return spatial.select_box(order_boxes(spark, d), -115.0, 39.0, -105.0, 33.0, "intersects").select("id")
+
+
+@query(f"SELECT n AS a, id AS b FROM {_NATIONS}, {_BOXES} WHERE x < nx + 2 AND x + w > nx AND y < ny + 2 AND y + h > ny AND id % 4 = 0")
+def spatial_overlap_join(spark, d):
+    boxes = order_boxes(spark, d).filter("id % 4 = 0").withColumnRenamed("id", "b")
+    return spatial.overlapping(nation_boxes(spark, d).withColumnRenamed("id", "a"), boxes, 1.0)
+
+
+@query(f"""SELECT n AS a, id AS b, round((least(x + w, nx + 2) - greatest(x, nx)) * (least(y + h, ny + 2) - greatest(y, ny)), 6) AS shared,
+  round(w * h + 4 - (least(x + w, nx + 2) - greatest(x, nx)) * (least(y + h, ny + 2) - greatest(y, ny)), 6) AS both
+  FROM {_NATIONS}, {_BOXES} WHERE x < nx + 2 AND x + w > nx AND y < ny + 2 AND y + h > ny AND id % 4 = 0""")
+def intersection_areas(spark, d):
+    boxes, nations = order_boxes(spark, d).filter("id % 4 = 0").select(F.col("id").alias("b"), F.col("g").alias("gb")), nation_boxes(spark, d).select(F.col("id").alias("a"), F.col("g").alias("ga"))
+    met = spatial.overlapping(nations.withColumnRenamed("ga", "g"), boxes.withColumnRenamed("gb", "g"), 1.0).join(nations, "a").join(boxes, "b")
+    ga, gb = F.col("ga"), F.col("gb")
+    return met.select("a", "b", F.round(G.intersection_area(ga, gb), 6).alias("shared"), F.round(G.union_area(ga, gb), 6).alias("both"))
+
+
+@query("""SELECT n_regionkey, i::INT AS part, (-120 + 2 * (k % 5))::DOUBLE AS lft FROM (SELECT n_regionkey, n_nationkey AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation)""")
+def polygon_parts(spark, d):
+    merged = spatial.merged_polygons(nation_boxes(spark, d), "n_regionkey", "n_nationkey")
+    return spatial.parts(merged, "n_regionkey").select("n_regionkey", "part", G.bounds(F.col("g"))["left"].alias("lft"))
+
+
+@query(f"SELECT id, round(least(w, h) / 2, 3) AS distance FROM {_BOXES}")
+def label_points(spark, d):
+    return shapes.labelled(order_boxes(spark, d)).select("id", F.round("distance", 3).alias("distance"))
+
+
+@query(f"SELECT id, 5 AS npoint, w * h AS flat FROM {_BOXES}")
+def simplified(spark, d):
+    g = F.col("g")
+    return shapes.simplified(order_boxes(spark, d)).select("id", G.describe(g)["npoint"].alias("npoint"), G.area_flat(g).alias("flat"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(l_quantity * l_tax + l_discount * 2, 6) AS dot, round(l_quantity * 3 + l_discount * 5, 6) AS first, round(l_tax * 3 + 2 * 5, 6) AS second, round(l_quantity - l_tax, 6) AS diff FROM lineitem""")
+def matrix_products(spark, d):
+    c = F.col
+    a, b = F.array(c("l_quantity"), c("l_discount")), F.array(c("l_tax"), F.lit(2.0))
+    product = arrays.multiply(F.array(a, b), F.array(F.array(F.lit(3.0)), F.array(F.lit(5.0))))
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.round(arrays.dot(a, b), 6).alias("dot"), F.round(F.get(F.get(product, F.lit(0)), F.lit(0)), 6).alias("first"),
+        F.round(F.get(F.get(product, F.lit(1)), F.lit(0)), 6).alias("second"), F.round(F.get(arrays.subtract(a, b), F.lit(0)), 6).alias("diff"),
+    )
+
+
 # edits: a resource per user, a key per event type
 
 

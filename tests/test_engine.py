@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from terrafold.functions import arrays as A
 from terrafold.functions import geometry as G
 from terrafold.functions import palette, scalars
 from terrafold.operators import records, shapes, spatial
@@ -70,12 +71,38 @@ def test_geometry(spark):
     assert r.n.startswith("1 1 5 -100.0 40.0 ") and abs(r.u.x + 99) < 1e-9 and abs(r.u.y - 40) < 1e-3
 
 
+def test_shared_area(spark):
+    notch = [(0, 0), (4, 0), (4, 4), (2, 1), (0, 4), (0, 0)]  # not convex: 4x4 less a triangle of base 4 and height 3
+    far, touching = [(9, 9), (10, 9), (10, 10), (9, 9)], [(4, 0), (6, 0), (6, 4), (4, 4), (4, 0)]
+    square, v = shape([SQUARE]), shape([notch])
+    r = one(
+        spark, G.intersection_area(square, v).alias("a"), G.intersection_area(v, square).alias("b"), G.intersection_area(v, v).alias("c"), G.intersection_area(shape([SQUARE, HOLE]), square).alias("h"),
+        G.intersects(square, shape([touching])).alias("t"), G.intersects(square, shape([far])).alias("f"), G.intersects(v, shape([touching], [[(1, 0), (5, 0), (5, 1), (1, 0)]])).alias("i"),
+        G.difference_area(square, v).alias("d"), G.union_area(square, shape([touching])).alias("u"), G.intersection_area(shape([SQUARE, HOLE]), shape([SQUARE, HOLE])).alias("hh"),
+    )
+    assert [round(x, 9) for x in (r.a, r.b, r.c, r.h, r.d, r.u, r.hh)] == [10, 10, 10, 15, 6, 24, 15] and (r.t, r.f, r.i) == (False, False, True)
+
+
+def test_matrices(spark):
+    m = lambda *rows: F.array(*(F.array(*map(F.lit, r)) for r in rows))
+    a, b = m((1.0, 2.0), (3.0, 4.0)), m((5.0,), (6.0,))
+    r = one(
+        spark, A.multiply(a, b).alias("p"), A.multiply(b, b).alias("bad"), A.transpose(a).alias("t"), A.subset(a, F.array(F.lit(1)), F.array(F.lit(1), F.lit(0))).alias("s"), A.integers(F.lit(2), F.lit(4)).alias("i"),
+        A.integers(F.lit(2), F.lit(2)).alias("e"), A.stacked(a, b, False).alias("w"), A.along(a, False, F.array_max).alias("m"), A.column(a, 1).alias("c"),
+    )
+    assert r.p == [[17.0], [39.0]] and r.bad is None and r.t == [[1.0, 3.0], [2.0, 4.0]] and r.s == [[4.0, 3.0]] and r.i == [2, 3] and r.e == [] and r.w == [[1.0, 2.0, 5.0], [3.0, 4.0, 6.0]] and r.m == [3.0, 4.0] and r.c == [2.0, 4.0]
+
+
 def test_shapes(spark):
     df = spark.range(1).select("id", shape([[(0, 0), (2, 0), (2, 1), (1, 0.5), (0, 1), (0, 0)]]).alias("g"))
     m = shapes.measured(df).first()
     assert (m.hull_points, m.hull_area, m.box_area, m.kept_points) == (4, 2, 2, 6) and abs(m.circle_r - math.sqrt(5) / 2) < 1e-9
     tilted = spark.range(1).select("id", shape([[(0, 0), (1, 1), (0, 2), (-1, 1), (0, 0)]]).alias("g"))
     assert abs(shapes.measured(tilted).first().box_area - 2) < 1e-9
+    at = shapes.labelled(spark.range(1).select("id", shape([SQUARE, HOLE]).alias("g"))).first()
+    assert at.x > 2 and at.y > 2 and abs(at.distance - 2 * math.sqrt(2) / (1 + math.sqrt(2))) < 0.08
+    line = spark.range(1).select("id", shape([[(0, 0), (1, 0.001), (2, 0), (2, 2), (0, 2), (0, 0)]]).alias("g"))
+    assert shapes.simplified(line, 0.01).select(G.describe(F.col("g"))["npoint"]).first()[0] == 5
 
 
 def test_mapping_layers(spark):

@@ -116,7 +116,7 @@ def access_permissions(spark, d):
 
 
 @query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice), 2) AS price, min(l_discount) AS low, max(l_tax) AS high,
-  arg_max(l_shipdate::VARCHAR, l_orderkey * 10 + l_linenumber) AS last_ship FROM lineitem GROUP BY ALL""")
+  arg_max(l_shipdate::VARCHAR, (l_orderkey, l_linenumber, l_shipdate)) AS last_ship FROM lineitem GROUP BY ALL""")
 def deep_accumulate(spark, d):
     line = table(spark, d, "lineitem")
     rec = F.struct(
@@ -124,7 +124,7 @@ def deep_accumulate(spark, d):
         F.struct(F.col("l_extendedprice").alias("price"), F.struct(F.col("l_discount").alias("min"), F.col("l_tax").alias("max")).alias("ends")).alias("money"),
         F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("ship"),
     )
-    rows = line.select("l_returnflag", "l_linestatus", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), rec.alias("rec"))
+    rows = line.select("l_returnflag", "l_linestatus", F.struct("l_orderkey", "l_linenumber", "l_shipdate").alias("ord"), rec.alias("rec"))
     out = records.accumulate(rows, ["l_returnflag", "l_linestatus"], "ord")
     return out.select("l_returnflag", "l_linestatus", F.round("rec.qty", 2).alias("qty"), F.round("rec.money.price", 2).alias("price"), F.col("rec.money.ends.min").alias("low"), F.col("rec.money.ends.max").alias("high"), F.col("rec.ship").alias("last_ship"))
 

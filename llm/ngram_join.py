@@ -52,7 +52,7 @@ SMALL = 48
 FREQUENT = 48
 FREQUENT_ROWS = 200_000
 #: Rounds in which sets are compared with the head of the largest family in their lists, while links are found.
-JOIN_ROUNDS = 2
+JOIN_ROUNDS = 1
 #: Bits of a parity bitmap: the power of two from the set size on, within these.
 BITS_LEAST, BITS_MOST = 128, 4096
 
@@ -278,8 +278,8 @@ def similarity_classes(
     families = staged(families, "families")
 
     # lists of one family need nothing more; in others, sets outside the list's largest family are compared with its head
+    member = staged(_mixed(index, families), "members")
     for _ in range(JOIN_ROUNDS):
-        member = staged(_mixed(index, families), "members")
         sizes = member.groupBy("x", "family").agg(F.count("*").alias("n"))
         largest = sizes.groupBy("x").agg(F.max_by("family", F.struct("n", -F.col("family"))).alias("head"))
         joining = member.join(largest, "x").filter("family <> head").groupBy("id", "head").agg(F.count("*").alias("lists"))
@@ -291,7 +291,7 @@ def similarity_classes(
         if new.isEmpty():
             break
         families = staged(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "families")
-    member = staged(_mixed(index, families), "members")
+        member = staged(_mixed(member.drop("family"), families), "members")
 
     # pairs across families
     left = member.select("x", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"), F.col("family").alias("fa"), "block")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrafold.operators.staging import staged
+
 
 def _leaves(schema: T.StructType, path: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], T.DataType]]:
     out = []
@@ -119,12 +121,13 @@ def find(df: DataFrame, hidden: DataFrame, value: object, id_col: str = "id", en
 def position(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
     """Adds the 1-based position in the given order, without one task for all rows.
 
-    Rows are range-partitioned; each partition counts its own, and offsets of partitions (one
-    row each) are added.
+    The range-partitioned rows are written once with their partition's number. Row numbers, counts
+    and offsets (one row a partition) are all taken from that table, as another exchange of the same
+    rows would sample other range bounds.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    ranged = staged(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "position")
     local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    counts = local.groupBy("_p").agg(F.count("*").alias("_c"))
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
     before = counts.alias("a").join(counts.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy("a._p").agg(F.coalesce(F.sum("b._c"), F.lit(0)).alias("_o"))
     return local.join(F.broadcast(before), "_p").withColumn(name, (F.col("_k") + F.col("_o")).cast("bigint")).drop("_p", "_k", "_o")
 

@@ -123,6 +123,22 @@ def test_records(spark):
     assert records.show(a.select("id"), b).count() == 2 and records.find(a, b, 4).count() == 1 and records.find(a, b, 1).count() == 0
 
 
+def test_position_over_sampled_ranges(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")  # as for tables of many partitions
+    try:
+        n = 200_000
+        rows = spark.range(0, n, 1, 8).select("id", (F.col("id") * 7919 % n).alias("o"), F.concat(F.lit("row "), "id").alias("t"))
+        got = records.position(rows, "o")
+        wrong = F.count_if((F.col("n") != F.col("o") + 1) | (F.col("t") != F.concat(F.lit("row "), "id")))
+        assert tuple(got.agg(F.count("*"), F.countDistinct("n"), wrong).first()) == (n, n, 0)
+        assert got.filter("n = 1").select("o").first().o == 0
+        assert records.canonical_ids(rows, "o").agg(F.countDistinct("id")).first()[0] == n
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_spatial(spark):
     grid = spark.createDataFrame([("c1", 0.0), ("c2", 1.0)], "id string, x double").select("id", G.box_polygon(F.col("x"), F.lit(1.0), F.col("x") + 1, F.lit(0.0)).alias("g"))
     pairs = {(r.id, r.neighbor) for r in spatial.contiguity(grid).collect()}

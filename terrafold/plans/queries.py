@@ -143,13 +143,13 @@ def reverse_mapping(spark, d):
     return out.select("o_custkey", F.array_join(F.col("o_orderkeys").cast("array<string>"), ",").alias("orders"))
 
 
-def _layers(spark, d):
+def _layers(spark, d, of_part="p_partkey % 5 = 0"):
     key, value = (lambda c: F.col(c).cast("string")), (lambda c: F.concat(F.lit("n"), F.col(c).cast("string")))
     customer, supplier, part = (table(spark, d, t) for t in ("customer", "supplier", "part"))
     return records.layers(
         ("customer", customer.select(key("c_custkey").alias("blockid"), value("c_nationkey").alias("geoid"))),
         ("supplier", supplier.select(key("s_suppkey").alias("blockid"), F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(value("s_nationkey")).alias("geoid"))),
-        ("part", part.filter("p_partkey % 5 = 0").select(key("p_partkey").alias("blockid"), value("p_size").alias("geoid"))),
+        ("part", part.filter(of_part).select(key("p_partkey").alias("blockid"), value("p_size").alias("geoid"))),
     )
 
 
@@ -178,6 +178,29 @@ def mapping_reverse(spark, d):
     return records.map_reverse(_layers(spark, d)).select("geoid", F.array_join("blocks", ",").alias("blocks"))
 
 
+# the same over every row of part
+
+
+_WHOLE_LAYERS = """WITH l AS (SELECT c_custkey::VARCHAR AS b, 'n' || c_nationkey AS g, 0 AS i FROM customer
+  UNION ALL SELECT s_suppkey::VARCHAR, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'n' || s_nationkey END, 1 FROM supplier
+  UNION ALL SELECT p_partkey::VARCHAR, 'n' || p_size, 2 FROM part) """
+
+
+@query(_WHOLE_LAYERS + "SELECT b AS blockid, arg_max(g, i) AS geoid FROM l WHERE g <> '' GROUP BY 1")
+def mapping_override_whole(spark, d):
+    return records.map_override(_layers(spark, d, "true"))
+
+
+@query(_WHOLE_LAYERS + "SELECT b AS blockid, string_agg(g, ',' ORDER BY i) AS geoids FROM l WHERE g <> '' GROUP BY 1")
+def mapping_all_whole(spark, d):
+    return records.map_all(_layers(spark, d, "true")).select("blockid", F.array_join("geoids", ",").alias("geoids"))
+
+
+@query(_WHOLE_LAYERS + ", p AS (SELECT g, i, string_agg(b, ',' ORDER BY b) AS bs FROM l GROUP BY ALL) SELECT g AS geoid, arg_max(bs, i) AS blocks FROM p GROUP BY 1")
+def mapping_reverse_whole(spark, d):
+    return records.map_reverse(_layers(spark, d, "true")).select("geoid", F.array_join("blocks", ",").alias("blocks"))
+
+
 @query("""WITH t AS (SELECT DISTINCT substr(p_brand, 1, n) AS prefix, substr(p_brand, 1, n) || '!' AS v, n FROM part, (SELECT unnest([6, 7]) AS n) WHERE p_size > 25 OR n = 6)
   SELECT p_partkey, p_brand, (SELECT arg_max(v, n) FROM t WHERE starts_with(p_brand, prefix)) AS value FROM part""")
 def prefix_lookup(spark, d):
@@ -405,12 +428,22 @@ def point_in_polygon(spark, d):
     return spatial.points_in(customer_points(spark, d), boxes, 1.0).select(F.col("p").alias("id"), F.col("f").alias("district"))
 
 
+def _least_areas(spark, d, boxes):
+    boxes = boxes.select(F.col("id").alias("district"), "g")
+    got = spatial.assign_smallest(customer_points(spark, d), boxes, 1.0)
+    return got.join(boxes, "district").select("id", F.round(G.area(F.col("g")) / G.EARTH_RADIUS**2, 9).alias("least"))
+
+
 @query(f"""WITH m AS (SELECT p.id, b.id AS district, abs(radians(w) * (sin(radians(y + h)) - sin(radians(y)))) AS a FROM {_POINTS} p, {_BOXES} b WHERE px > x AND px < x + w AND py > y AND py < y + h AND b.id % 10 = 0)
   SELECT id, round(min(a), 9) AS least FROM m GROUP BY 1""")
 def assign_smallest(spark, d):
-    boxes = order_boxes(spark, d).filter("id % 10 = 0").select(F.col("id").alias("district"), "g")
-    got = spatial.assign_smallest(customer_points(spark, d), boxes, 1.0)
-    return got.join(boxes, "district").select("id", F.round(G.area(F.col("g")) / G.EARTH_RADIUS**2, 9).alias("least"))
+    return _least_areas(spark, d, order_boxes(spark, d).filter("id % 10 = 0"))
+
+
+@query(f"""WITH m AS (SELECT p.id, abs(radians(w) * (sin(radians(y + h)) - sin(radians(y)))) AS a FROM {_POINTS} p, {_BOXES} b WHERE px > x AND px < x + w AND py > y AND py < y + h)
+  SELECT id, round(min(a), 9) AS least FROM m GROUP BY 1""")
+def assign_smallest_whole(spark, d):
+    return _least_areas(spark, d, order_boxes(spark, d))
 
 
 @query("""WITH c AS (SELECT n_nationkey AS k, n_nationkey % 5 AS i, n_nationkey // 5 AS j FROM nation), e AS (SELECT a.k, b.k AS o, 'n' || a.k AS id, 'n' || b.k AS neighbor FROM c a, c b WHERE abs(a.i - b.i) + abs(a.j - b.j) = 1),
@@ -471,11 +504,27 @@ def spatial_overlap_join(spark, d):
     return spatial.overlapping(nation_boxes(spark, d).withColumnRenamed("id", "a"), boxes, 1.0)
 
 
+@query(f"SELECT n AS a, id AS b FROM {_NATIONS}, {_BOXES} WHERE x < nx + 2 AND x + w > nx AND y < ny + 2 AND y + h > ny")
+def spatial_overlap_whole(spark, d):
+    return spatial.overlapping(nation_boxes(spark, d).withColumnRenamed("id", "a"), order_boxes(spark, d).withColumnRenamed("id", "b"), 1.0)
+
+
 @query(f"""SELECT n AS a, id AS b, round((least(x + w, nx + 2) - greatest(x, nx)) * (least(y + h, ny + 2) - greatest(y, ny)), 6) AS shared,
   round(w * h + 4 - (least(x + w, nx + 2) - greatest(x, nx)) * (least(y + h, ny + 2) - greatest(y, ny)), 6) AS both
   FROM {_NATIONS}, {_BOXES} WHERE x < nx + 2 AND x + w > nx AND y < ny + 2 AND y + h > ny AND id % 4 = 0""")
 def intersection_areas(spark, d):
-    boxes, nations = order_boxes(spark, d).filter("id % 4 = 0").select(F.col("id").alias("b"), F.col("g").alias("gb")), nation_boxes(spark, d).select(F.col("id").alias("a"), F.col("g").alias("ga"))
+    return _shared_areas(spark, d, order_boxes(spark, d).filter("id % 4 = 0"))
+
+
+@query(f"""SELECT n AS a, id AS b, round((least(x + w, nx + 2) - greatest(x, nx)) * (least(y + h, ny + 2) - greatest(y, ny)), 6) AS shared,
+  round(w * h + 4 - (least(x + w, nx + 2) - greatest(x, nx)) * (least(y + h, ny + 2) - greatest(y, ny)), 6) AS both
+  FROM {_NATIONS}, {_BOXES} WHERE x < nx + 2 AND x + w > nx AND y < ny + 2 AND y + h > ny""")
+def intersection_areas_whole(spark, d):
+    return _shared_areas(spark, d, order_boxes(spark, d))
+
+
+def _shared_areas(spark, d, boxes):
+    boxes, nations = boxes.select(F.col("id").alias("b"), F.col("g").alias("gb")), nation_boxes(spark, d).select(F.col("id").alias("a"), F.col("g").alias("ga"))
     met = spatial.overlapping(nations.withColumnRenamed("ga", "g"), boxes.withColumnRenamed("gb", "g"), 1.0).join(nations, "a").join(boxes, "b")
     ga, gb = F.col("ga"), F.col("gb")
     return met.select("a", "b", F.round(G.intersection_area(ga, gb), 6).alias("shared"), F.round(G.union_area(ga, gb), 6).alias("both"))
@@ -565,6 +614,17 @@ def edits_splice(spark, d):
     return docs.select("doc_id", edits.splice(F.col("text"), e).alias("edited"), lengths["before"].alias("n_before"), lengths["after"].alias("n_after"))
 
 
+@query("""SELECT doc_id, left(text, 3) || '<cut>' || substr(text, 9) AS edited, length(text) AS n_before, length(text) - greatest(least(length(text) - 3, 5), 0) + 5 AS n_after FROM documents""")
+def edits_splice_whole(spark, d):
+    """Every text: a short one keeps and loses what it has; a null one gives nulls."""
+    text, n = F.col("text"), F.char_length("text")
+    step = lambda op, n, data="": F.struct(F.lit(op).alias("op"), n.cast("int").alias("n"), F.lit(data).alias("data"))
+    kept, gone = F.least(n, F.lit(3)), F.greatest(F.least(n - 3, F.lit(5)), F.lit(0))
+    e = F.when(text.isNotNull(), F.array(step("retain", kept), step("delete", gone), step("insert", F.lit(5), "<cut>"), step("retain", n - kept - gone)))
+    lengths = edits.edit_lengths(e)
+    return table(spark, d, "documents").select("doc_id", edits.splice(text, e).alias("edited"), lengths["before"].alias("n_before"), lengths["after"].alias("n_after"))
+
+
 @query(f"""WITH o AS (SELECT user_id AS resource, event_type AS key, arg_max(value, event_id) AS v FROM events WHERE event_id % 2 = 0 GROUP BY ALL), n AS (SELECT user_id AS resource, event_type AS key, arg_max(value, event_id) AS v FROM events WHERE event_id % 2 = 1 GROUP BY ALL)
   SELECT coalesce(o.resource, n.resource) AS resource, coalesce(o.key, n.key) AS key, CASE WHEN n.resource IS NULL THEN 'del' ELSE 'set' END AS op, n.v AS value
   FROM o FULL JOIN n ON o.resource = n.resource AND o.key = n.key WHERE n.resource IS NULL OR o.resource IS NULL OR o.v IS DISTINCT FROM n.v""")

@@ -40,3 +40,27 @@ def test_interior_sharing_by_brute_force(spark):
     want = {(p, len(a), len(ends[p] - a)) for p, a in inner.items() if len(a) >= 2 or ends[p] - a}
     got = {((r.x, r.y), r.n_interior, r.n_endpoint) for r in QUERIES["interior_sharing"](spark, DATA).collect()}
     assert got == want
+
+
+def test_whole_joins_meet_boxes_of_every_id(spark):
+    shape = lambda r: (*r.g[0][0][0], *r.g[0][0][2])
+    from terrafold.plans.queries import customer_points, nation_boxes, order_boxes
+
+    box = {}
+    for k, x1, y1, x2, y2 in [(r.id, *shape(r)) for r in order_boxes(spark, DATA).collect()]:
+        box[k] = (min(x1, x2), min(y1, y2), max(x1, x2), max(y1, y2))
+    covered = {r.id for r in customer_points(spark, DATA).collect() if any(x1 < r.x < x2 and y1 < r.y < y2 for x1, y1, x2, y2 in box.values())}
+    assert {r.id for r in QUERIES["assign_smallest_whole"](spark, DATA).collect()} == covered
+    met = set()
+    for n, x1, y1, x2, y2 in [(r.id, *shape(r)) for r in nation_boxes(spark, DATA).collect()]:
+        left, bottom, right, top = min(x1, x2), min(y1, y2), max(x1, x2), max(y1, y2)
+        met |= {(n, k) for k, (a, b, c, d) in box.items() if a < right and c > left and b < top and d > bottom}
+    assert {(r.a, r.b) for r in QUERIES["spatial_overlap_whole"](spark, DATA).collect()} == met
+    assert {(r.a, r.b) for r in QUERIES["intersection_areas_whole"](spark, DATA).collect()} == met
+
+
+def test_splice_of_short_and_null_texts(spark, tmp_path):
+    texts = ["", "ab", "abc", "abcde", "abcdefgh", "abcdefghij", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.edited, r.n_before, r.n_after) for r in QUERIES["edits_splice_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: (t[:3] + "<cut>" + t[8:], len(t), len(t[:3] + t[8:]) + 5) if t is not None else (None, None, None) for k, t in enumerate(texts)}

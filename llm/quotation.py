@@ -10,7 +10,9 @@ them: a message replies to the original of its passage of least level, whole pas
 before single lines, later turns first. Without a match it replies to none.
 
 Reply order sorts a conversation by ``reply_path``: the turns from the first message of
-the thread down to the message, padded to equal width. Paths double their length in each
+the thread down to the message, each as 10 digits. A longer turn is ``a`` and 19 digits, a
+negative one ``-`` and 19 digits of its distance from the least long, so that text order is the
+order of turns, negative ones first. Turns are whole numbers. Paths double their length in each
 round, so threads of depth d take log2(d) rounds.
 
 Only conversations with a quotation take part in the joins. Own texts are combined
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from llm.staging import sized, staged
 
-#: Digits of a turn in ``reply_path``.
-TURN_DIGITS = 10
+#: Digits of a turn in ``reply_path``; negative and longer ones have a mark and the digits of a long.
+TURN_DIGITS, LONG_DIGITS = 10, 19
 
 _MARKS = r"^\s*>(\s*>)*"
 
@@ -94,7 +96,11 @@ def links(messages: DataFrame) -> DataFrame:
 
 
 def _pad(turn: Column) -> Column:
-    return F.lpad(turn.cast("string"), TURN_DIGITS, "0")
+    turn = turn.cast("bigint")
+    digits = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    below = F.concat(F.lit("-"), digits(turn.bitwiseAND(F.lit(2**63 - 1)), LONG_DIGITS))
+    above = F.concat(F.lit("a"), digits(turn, LONG_DIGITS))
+    return F.when(turn < 0, below).when(turn >= 10**TURN_DIGITS, above).otherwise(digits(turn, TURN_DIGITS))
 
 
 def paths(parents: DataFrame) -> DataFrame:

@@ -82,3 +82,13 @@ def test_against_nested_loops(spark):
         while want[c, chain[0]] is not None:
             chain.insert(0, want[c, chain[0]])
         assert x.reply_path == ".".join(f"{u:010d}" for u in chain) and x.depth == len(chain) - 1
+
+
+def test_order_of_long_and_negative_turns(spark):
+    turns = [-(2**62), -11, -2, 0, 3, 9_999_999_999, 10_000_000_000, 1_700_000_000_001, 1_700_000_000_002, 2**63 - 1]
+    rows = [("c", t, "user", f"message {n}") for n, t in enumerate(turns)] + [("d", 1_700_000_000_001, "user", "hello"), ("d", 1_700_000_000_002, "user", "> hello\nyes"), ("d", 1_700_000_000_003, "user", "> yes\nno")]
+    out = quotation.reply_order(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    assert [r.turn for r in sorted((r for r in out if r.conv_id == "c"), key=lambda r: r.reply_path)] == turns
+    assert len({r.reply_path for r in out if r.conv_id == "c"}) == len(turns)
+    thread = sorted((r for r in out if r.conv_id == "d"), key=lambda r: r.reply_path)
+    assert [r.turn % 10 for r in thread] == [1, 2, 3] and [len(r.reply_path.split(".")) for r in thread] == [1, 2, 3]

@@ -3,11 +3,12 @@
 A line's quote level is the number of ``>`` marks it starts with (blanks between them
 are ignored). A run of lines of one level of 1 or more is a quoted passage. Passages, and each
 of their lines, are normalised (lower case, runs of white space as one blank, trimmed)
-and hashed; so are the lines, the paragraphs and the whole of every message's own text
-(its lines of level 0). A hash belongs to the first turn of its conversation that has
-it as own text. The hashes join quoted passages to the original messages before
+and hashed, as are a passage's sentences; so are the lines, the sentences, the paragraphs and
+the whole of every message's own text (its lines of level 0). A sentence ends at an end mark
+before white space or at a blank line, and may run over line breaks. A hash belongs to the
+first turn of its conversation that has it as own text. The hashes join quoted passages to the original messages before
 them: a message replies to the original of its passage of least level, whole passages
-before single lines, later turns first. Without a match it replies to none.
+before single lines, lines before sentences, later turns first. Without a match it replies to none.
 
 Reply order sorts a conversation by ``reply_path``: the turns from the first message of
 the thread down to the message, each as 10 digits. A longer turn is ``a`` and 19 digits, a
@@ -36,6 +37,9 @@ TURN_DIGITS, LONG_DIGITS = 10, 19
 
 _MARKS = r"^\s*>(\s*>)*"
 
+#: Between sentences: a blank line, or white space after an end mark and what closes behind it.
+_BREAKS = r"\n\s*\n|(?<=[.!?…][\"'’”)\]»]{0,3})\s+|(?<=[。！？])"
+
 
 def _normal(text: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(text, r"\s+", " ")))
@@ -82,12 +86,13 @@ def links(messages: DataFrame) -> DataFrame:
     wanted = F.concat(
         F.transform(_keys(F.array(F.array_join(contents, " "))), lambda k: F.struct(F.lit(0).alias("rank"), k.alias("key"))),
         F.transform(_keys(contents), lambda k: F.struct(F.lit(1).alias("rank"), k.alias("key"))),
+        F.transform(_keys(F.split(F.array_join(contents, "\n"), _BREAKS)), lambda k: F.struct(F.lit(2).alias("rank"), k.alias("key"))),
     )
     quoted = runs.select("conv", "turn", F.col("run.level").alias("level"), F.explode(wanted).alias("w"))
     quoted = staged(quoted.select("conv", "turn", "level", "w.rank", "w.key").distinct(), "quoted")
     convs = sized(staged(quoted.select("conv").distinct(), "quoting"))
     text = own_text(F.col("text"))
-    pieces = F.concat(F.array(text), F.split(text, r"\n\s*\n"), F.split(text, r"\n"))
+    pieces = F.concat(F.array(text), F.split(text, r"\n\s*\n"), F.split(text, r"\n"), F.split(text, _BREAKS))
     own = messages.filter("turn is not null").join(convs, "conv", "left_semi").select("conv", "turn", F.explode(F.array_distinct(_keys(pieces))).alias("key"))
     first = own.groupBy("conv", "key").agg(F.min("turn").alias("origin"))
     met = quoted.join(first, ["conv", "key"]).filter("origin < turn")

@@ -92,3 +92,16 @@ def test_order_of_long_and_negative_turns(spark):
     assert len({r.reply_path for r in out if r.conv_id == "c"}) == len(turns)
     thread = sorted((r for r in out if r.conv_id == "d"), key=lambda r: r.reply_path)
     assert [r.turn % 10 for r in thread] == [1, 2, 3] and [len(r.reply_path.split(".")) for r in thread] == [1, 2, 3]
+
+
+def test_quoted_sentences(spark):
+    rows = [
+        (0, "Tea is old. It came from the east! \"Who drinks it?\" Many do.\n\nA heading\nover two lines"),
+        (1, "> It came from\n> the east! \"Who drinks it?\"\nNobody knows."),
+        (2, "> many do.\nA few.\nSome more of that\nwrapped text. The end"),
+        (3, "> Some more of\n> that wrapped text.\nOh. 好。はい。"),
+        (4, "> はい。\nright"),
+        (5, "> came from the\nonly a part of a sentence"),
+    ]
+    messages = spark.createDataFrame([("c", t, "user", x) for t, x in rows], "conv_id string, turn long, role string, text string")
+    assert {r.turn: r.reply_to for r in quotation.reply_order(messages).collect()} == {0: None, 1: 0, 2: 0, 3: 2, 4: 3, 5: None}

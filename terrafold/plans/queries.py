@@ -475,6 +475,45 @@ def duplicate_segments(spark, d):
     return s.select(*(F.col(f"{p}.{c}").cast("int").alias(f"{p}{c}") for p in "ab" for c in "xy"), "n_arcs")
 
 
+# topology over a growing grid: a unit cell for each customer, 64 in a row
+
+
+def customer_cells(spark, d):
+    c = table(spark, d, "customer")
+    x, y = (F.col("c_custkey") % 64).cast("double"), F.floor(F.col("c_custkey") / 64).cast("double")
+    return c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), "c_custkey", "c_nationkey", G.box_polygon(x, y + 1, x + 1, y).alias("g"))
+
+
+_CELLS = """WITH c AS (SELECT c_custkey AS k, c_nationkey AS r, c_custkey % 64 AS x, c_custkey // 64 AS y FROM customer),
+  s AS (SELECT k, r, x AS ax, y AS ay, x AS bx, y + 1 AS "by" FROM c UNION ALL SELECT k, r, x + 1, y, x + 1, y + 1 FROM c UNION ALL SELECT k, r, x, y, x + 1, y FROM c UNION ALL SELECT k, r, x, y + 1, x + 1, y + 1 FROM c) """
+_BESIDE = """, e AS (SELECT a.k, a.r, b.k AS o, b.r AS q FROM c a JOIN c b ON b.y = a.y AND abs(a.x - b.x) = 1 UNION ALL SELECT a.k, a.r, b.k, b.r FROM c a JOIN c b ON b.x = a.x AND abs(a.y - b.y) = 1),
+  o AS (SELECT k, r FROM c WHERE (SELECT count(*) FROM e WHERE e.k = c.k) < 4) """
+
+
+@query(_CELLS + _BESIDE + "SELECT 'c' || k AS id, 'c' || o AS neighbor FROM e UNION SELECT 'c' || k, 'OUT_OF_STATE' FROM o UNION SELECT 'OUT_OF_STATE', 'c' || k FROM o")
+def contiguity_grid(spark, d):
+    return spatial.contiguity(customer_cells(spark, d))
+
+
+@query(_CELLS + _BESIDE + """, v AS (SELECT r, q::VARCHAR AS q FROM e WHERE q <> r UNION SELECT r, 'OUT_OF_STATE' FROM o)
+  SELECT r AS c_nationkey, n, blocks, beside FROM (SELECT r, count(*)::BIGINT AS n, string_agg('c' || k, ',' ORDER BY 'c' || k) AS blocks FROM c GROUP BY 1) LEFT JOIN (SELECT r, string_agg(q, ',' ORDER BY q) AS beside FROM v GROUP BY 1) USING (r)""")
+def virtual_features_grid(spark, d):
+    cells = customer_cells(spark, d).withColumn("n", F.lit(1).cast("bigint"))
+    return spatial.virtual_features(cells, "c_nationkey", values=["n"]).select("c_nationkey", "n", F.array_join("blocks", ",").alias("blocks"), F.array_join("contiguity", ",").alias("beside"))
+
+
+@query(_CELLS + """SELECT r AS c_nationkey, ax, ay, bx, "by" FROM s GROUP BY ALL HAVING count(*) % 2 = 1""")
+def dissolve_boundary_grid(spark, d):
+    s = spatial.dissolve_boundary(customer_cells(spark, d), "c_nationkey")
+    return s.select("c_nationkey", *(F.col(f"{p}.{c}").cast("int").alias(f"{p}{c}") for p in "ab" for c in "xy"))
+
+
+@query(_CELLS + """SELECT ax, ay, bx, "by", count(DISTINCT k) AS n_arcs FROM s GROUP BY ALL HAVING count(DISTINCT k) > 1""")
+def duplicate_segments_grid(spark, d):
+    s = spatial.duplicate_segments(customer_cells(spark, d).select(F.col("c_custkey").alias("arc_id"), G.exterior_points(F.col("g")).alias("pts")))
+    return s.select(*(F.col(f"{p}.{c}").cast("int").alias(f"{p}{c}") for p in "ab" for c in "xy"), "n_arcs")
+
+
 @query()
 def interior_sharing(spark, d):
     arcs = order_boxes(spark, d).select(F.col("id").alias("arc_id"), G.exterior_points(F.col("g")).alias("pts"))

@@ -64,3 +64,10 @@ def test_splice_of_short_and_null_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.edited, r.n_before, r.n_after) for r in QUERIES["edits_splice_whole"](spark, str(tmp_path)).collect()}
     assert got == {k: (t[:3] + "<cut>" + t[8:], len(t), len(t[:3] + t[8:]) + 5) if t is not None else (None, None, None) for k, t in enumerate(texts)}
+
+
+def test_grid_grows_with_its_table(spark):
+    from terrafold.plans.queries import customer_cells
+
+    small, large = (customer_cells(spark, d) for d in (DATA, "/root/testdata/sf0.01"))
+    assert large.count() > 5 * small.count() > 5 * 25

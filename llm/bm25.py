@@ -1,4 +1,4 @@
-"""Exact top-k documents by BM25, with block-max pruning per shard and a merge of all shards.
+"""Exact top-k documents by BM25: block-max WAND over an inverted index per shard, and a merge of all shards.
 
 Terms are lower-case (A-Z) words; a query is the set of its text's terms. With N rows,
 df rows holding a term, a row's count tf of it and its words dl (average avgdl):
@@ -6,18 +6,25 @@ score = sum of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 *
 N, df and avgdl are counted over all rows before any shard is scored, so scores of
 different shards are comparable and the merge is exact.
 
-A shard is a run of rows of one task with about ``SHARD_BYTES`` of text. Its inverted index
-holds, for each query term, the rows and the term's share of their scores. Lists over
-``1 / DENSE`` of the shard are long: these also keep the greatest share in each block
-of ``BLOCK`` rows. For a query, the short lists are added up row by row; a row's sum plus its block's
-maxima of the long lists bounds its score. The best k sums are scored in full and give
-the threshold; of all other rows only those whose bound reaches it are looked
-up in the long lists. Whatever is below the threshold can't be among the k best, so the
-pruning loses nothing.
+Index. A shard is a run of rows of one task with about ``SHARD_BYTES`` of text, its rows
+ordered by length. Each query term has its postings in row order, cut in blocks with the
+greatest share of a score in each. Blocks of a list over ``1 / DENSE`` of the shard span
+``BLOCK`` rows; in shorter lists every posting is a block of its own.
 
-Queries go to the tasks in blocks of at most ``BLOCK_TERMS`` terms, one pass over the
-rows each, so what is broadcast is bounded; each shard returns k rows per query and the
-best k of all are taken by window. Ties go to the smaller id.
+Search. The threshold of a query is its k-th best score so far. A row is a pivot only if
+the maxima of the blocks that cover it, summed over the query's lists, reach the
+threshold; postings of the long lists are read for pivots alone, those of highest bound first,
+and the threshold rises after each ``WAVE`` of them. Everything else is skipped unread. Whatever is
+below the threshold can't be among the k best, so skipping loses nothing.
+
+Thresholds across shards. Rows are searched in rounds, each several times as large as all
+before it: the k-th best rows of the rounds before, best of all shards, are sent with
+the next round's queries, so that its shards skip from the start and return only
+rows that can still be among the k best. On average a round returns a constant
+number of rows a query, whatever the number of its shards.
+
+Queries go to the tasks in blocks of at most ``BLOCK_TERMS`` terms, so what is broadcast is
+bounded. Ties go to the smaller id.
 
 Null and blank texts have no terms: as queries they find nothing, as rows they are
 never found. Rows that share no term with a query are not returned. Repeated rows
@@ -30,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +47,17 @@ from llm.staging import staged
 K1, B = 1.2, 0.75
 TOP = 10
 SHARD_BYTES = 16 << 20
-BLOCK = 64
+BLOCK = 4
 DENSE = 16
+#: Pivots scored before the threshold is raised.
+WAVE = 64
+#: Rows of the first round, and how many times as many as all before it a later round has.
+FIRST_ROWS = 16_384
+GROWTH = 3
+#: Rows of a task in all rounds but the last.
+TASK_ROWS = 4_096
+#: Parts of the rows, by a hash of the id, from which rounds are made.
+PARTS = 1 << 20
 BLOCK_TERMS = 2_000_000
 #: Decimals of a score; rows are ranked by the rounded score.
 DECIMALS = 6
@@ -99,50 +116,76 @@ class Shard:
     """An inverted index of some rows: row, number of the query term, count, and the words of each row."""
 
     def __init__(self, row: np.ndarray, at: np.ndarray, tf: np.ndarray, words: np.ndarray, idf: np.ndarray, average: float):
-        order = np.argsort(at, kind="stable")  # rows come in order
+        self.n, self.order = len(words), np.argsort(words, kind="stable")  # rows by length, so that a block's rows are alike
+        place = np.empty(self.n, dtype=np.int64)
+        place[self.order] = np.arange(self.n)
+        row = place[row]
+        order = np.lexsort((row, at))
         at, self.row, tf = at[order], row[order], tf[order]
-        self.n, terms = len(words), idf
-        self.share = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[self.row] / average))
-        self.first = np.searchsorted(at, np.arange(len(terms) + 1))
+        self.share = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[self.order][self.row] / average))
+        self.first = np.searchsorted(at, np.arange(len(idf) + 1))
         size = np.diff(self.first)
         long = np.flatnonzero(size * DENSE > self.n)
-        self.long = np.full(len(terms), -1, dtype=np.int64)
+        self.long = np.full(len(idf), -1, dtype=np.int64)
         self.long[long] = np.arange(len(long))
-        self.dense = np.zeros((len(long), self.n))
+        blocks = -(-self.n // BLOCK)
+        self.dense = np.zeros((len(long), blocks * BLOCK))
         for k, t in enumerate(long.tolist()):
             part = slice(self.first[t], self.first[t + 1])
             self.dense[k, self.row[part]] = self.share[part]
-        blocks = -(-self.n // BLOCK)
-        padded = np.zeros((len(long), blocks * BLOCK))
-        padded[:, : self.n] = self.dense
-        self.most = padded.reshape(len(long), blocks, BLOCK).max(axis=2)
-        self.block = np.arange(self.n) // BLOCK
-        #: Rows looked up in long lists, of all that might have been.
+        most = self.dense.reshape(len(long), blocks, BLOCK).max(axis=2)
+        self.most = np.nextafter(most.astype(np.float32), np.float32(np.inf)) * (most > 0)
+        self.dense = np.ascontiguousarray(self.dense[:, : self.n].T)
+        #: Rows scored in the long lists, of all that might have been.
         self.scored = self.seen = 0
 
-    def search(self, query: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the shard's best for a query (indexes of terms); ties with the last are all kept."""
+    def search(self, query: np.ndarray, top: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (numbers as given) and rounded scores that may be among the ``top`` best and reach ``floor``; ties with the last are all there."""
         dense = self.long[query]
         short = query[dense < 0]
         dense = dense[dense >= 0]
         n = self.first[short + 1] - self.first[short]
-        flat = np.repeat(self.first[short] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        flat = np.repeat(self.first[short] - np.cumsum(n) + n, n) + np.arange(n.sum())
         score = np.bincount(self.row[flat], weights=self.share[flat], minlength=self.n)
-        bound = score + self.most[dense].sum(axis=0)[self.block] if len(dense) else score
         self.seen += self.n
-        if self.n <= top:
-            rows = np.arange(self.n)
+        if len(dense):
+            bound = np.repeat(self.most[dense].sum(axis=0), BLOCK)[: self.n] + score
+            slack = 1 - 1e-5
         else:
-            seeds = np.argpartition(-bound, top - 1)[:top]
-            full = score[seeds] + self.dense[np.ix_(dense, seeds)].sum(axis=0)
-            floor = full.min() - 2 * 10.0**-DECIMALS
-            rows = np.flatnonzero(bound >= floor)
-        self.scored += len(rows)
-        full = np.round(score[rows] + self.dense[np.ix_(dense, rows)].sum(axis=0), DECIMALS)
-        if len(rows) > top:
-            keep = full >= np.partition(full, len(full) - top)[len(full) - top]
-            rows, full = rows[keep], full[keep]
-        return rows[full > 0], full[full > 0]
+            bound, slack = score, 1.0
+        least = max(floor - 10.0**-DECIMALS, 1e-300)
+        pivots = np.flatnonzero(bound >= least * slack)
+        rows, found = [], []
+        if len(pivots) > WAVE:
+            pivots = pivots[np.argsort(-bound[pivots])]
+        wave = WAVE
+        while len(pivots):
+            some, pivots = pivots[:wave], pivots[wave:]
+            self.scored += len(some)
+            rows.append(some)
+            found.append(score[some] + self.dense[some[:, None], dense].sum(axis=1) if len(dense) else score[some])
+            wave *= 2
+            if len(pivots):
+                best = np.concatenate(found)
+                if len(best) >= top:
+                    least = max(least, np.partition(best, len(best) - top)[len(best) - top] - 10.0**-DECIMALS)
+                pivots = pivots[: np.searchsorted(-bound[pivots], -least * slack, side="right")]
+        if not rows:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        rows, full = np.concatenate(rows), np.round(np.concatenate(found), DECIMALS)
+        keep = (full > 0) & (full >= floor)
+        if keep.sum() > top:
+            keep &= full >= np.partition(full, len(full) - top)[len(full) - top]
+        return self.order[rows[keep]], full[keep]
+
+
+def _rounds(rows: int) -> list[int]:
+    """The share of rows, in parts of ``PARTS``, up to which each round goes."""
+    ends, upto = [], FIRST_ROWS
+    while upto * (1 + GROWTH / 2) < rows:
+        ends.append(max(1, PARTS * upto // rows))
+        upto *= 1 + GROWTH
+    return sorted({*ends, PARTS})
 
 
 def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP) -> DataFrame:
@@ -155,12 +198,14 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col
     counted = staged(base.select("text").mapInArrow(_counts, "term bigint, df bigint, words bigint"), "counts")
     rows, words = counted.filter("term is null").agg(F.sum("df"), F.sum("words")).first()
     schema = f"query {query_kind}, id {kind}, score double"
-    out = spark.createDataFrame([], schema)
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
+    out = None
     if rows and words:
         average = words / rows
         df = counted.filter("term is not null").groupBy("term").agg(F.sum("df").alias("df"))
         idf = F.log(1 + (F.lit(float(rows)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         known = staged(asked.join(df, "term").select("query", "term", idf.alias("idf")), "weighted")
+        mark = F.pmod(F.xxhash64("id"), F.lit(PARTS))
         blocks = -(-known.count() // BLOCK_TERMS)
         for block in range(blocks):
             chosen = known.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).toArrow()
@@ -171,42 +216,78 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col
             order = np.argsort(which, kind="stable")
             lists = np.searchsorted(terms, chosen["term"].to_numpy()[order])
             ends = np.searchsorted(which[order], np.arange(len(names.dictionary) + 1))
-            held = spark.sparkContext.broadcast((terms, weights, names.dictionary, lists, ends))
-
-            def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-                terms, weights, names, lists, ends = held.value
-
-                def answers(parts: list, ids: list) -> Iterator[pa.RecordBatch]:
-                    row, at, tf, words = (np.concatenate([p[k] for p in parts]) for k in range(4))
-                    parts.clear()
-                    shard, keys = Shard(row, at, tf, words, weights, average), pa.concat_arrays(ids)
-                    found = []
-                    for q in range(len(names)):
-                        rows, scores = shard.search(lists[ends[q] : ends[q + 1]], top)
-                        found.append((np.full(len(rows), q), rows, scores))
-                    q, rows, scores = (np.concatenate([f[k] for f in found]) for k in range(3))
-                    for k in range(0, len(q), 1 << 16):
-                        part = slice(k, k + (1 << 16))
-                        yield pa.RecordBatch.from_arrays([names.take(pa.array(q[part])), keys.take(pa.array(rows[part])), pa.array(scores[part])], ["query", "id", "score"])
-
-                parts, ids, size, n = [], [], 0, 0
-                for batch in batches:
-                    for lo, row, term, tf, words in _terms(batch.column(1)):
-                        at = np.searchsorted(terms, term)
-                        at[at == len(terms)] = 0
-                        asked = terms[at] == term
-                        parts.append(tuple(x[asked].astype(np.int32) for x in (row + n, at, tf)) + (words,))
-                        piece = batch.column(0).slice(lo, len(words))
-                        ids.append(piece)
-                        n += len(words)
-                        size += batch.column(1).slice(lo, len(words)).nbytes
-                        if size >= SHARD_BYTES:
-                            yield from answers(parts, ids)
-                            parts, ids, size, n = [], [], 0, 0
-                if parts:
+            kept, began = None, 0
+            for upto in _rounds(rows):
+                held = spark.sparkContext.broadcast((terms, weights, names.dictionary, lists, ends, *_floors(kept, names.dictionary, top)))
+                part = base.filter((mark >= began) & (mark < upto))
+                if upto < PARTS:  # whole shards, not the shreds of all tasks
+                    part = part.repartition(-(-rows * (upto - began) // (PARTS * TASK_ROWS)))
+                found = part.mapInArrow(_answers(held, average, top), schema)
+                found = found if kept is None else kept.drop("rank").unionByName(found)
+                kept = staged(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top), "best")
+                began = upto
+            out = kept if out is None else out.unionByName(kept)
+    if out is None:
+        out = spark.createDataFrame([], f"{schema}, rank int")
+    return out.select(F.col("query").alias("query_id"), "rank", F.col("id").alias(id_col), "score")
+
+
+def _floors(kept: DataFrame | None, names: pa.Array, top: int) -> tuple[np.ndarray, pa.Array]:
+    """Score and id of the k-th best row so far of each query of a block (0 and null where fewer rows are known)."""
+    if kept is None:
+        return np.zeros(len(names)), None
+    last = kept.filter(F.col("rank") == top).select("query", "score", "id").toArrow().combine_chunks()
+    at = pc.index_in(names, last["query"].combine_chunks() if len(last) else pa.array([], names.type))
+    return pc.fill_null(last["score"].take(at), 0.0).to_numpy(), last["id"].take(at).combine_chunks()
+
+
+def _answers(held, average: float, top: int):
+    """The search of a block of queries in a task's rows, shard by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, weights, names, lists, ends, floors, last = held.value
+        floors, last = floors.copy(), last.to_pylist() if last is not None else [None] * len(names)
+
+        def answers(parts: list, ids: list) -> Iterator[pa.RecordBatch]:
+            row, at, tf, words = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            parts.clear()
+            shard, keys = Shard(row, at, tf, words, weights, average), pa.concat_arrays(ids)
+            rank = np.empty(len(keys), dtype=np.int64)
+            rank[pc.sort_indices(keys, null_placement="at_end").to_numpy()] = np.arange(len(keys))
+            found = []
+            for q in range(len(names)):
+                rows, scores = shard.search(lists[ends[q] : ends[q + 1]], top, floors[q])
+                if last[q] is not None and (scores == floors[q]).any():  # ties with the k-th best row must have a smaller id
+                    keep = (scores > floors[q]) | pc.fill_null(pc.less(keys.take(pa.array(rows)), pa.scalar(last[q], keys.type)), False).to_numpy(zero_copy_only=False)
+                    rows, scores = rows[keep], scores[keep]
+                if len(rows) >= top:  # the task's later shards start from here
+                    best = np.lexsort((rank[rows], -scores))[:top]
+                    rows, scores = rows[best], scores[best]
+                    floors[q], last[q] = scores[-1], keys[int(rows[-1])].as_py()
+                if len(rows):
+                    found.append((np.full(len(rows), q), rows, scores))
+            if not found:
+                return
+            q, rows, scores = (np.concatenate([f[k] for f in found]) for k in range(3))
+            for k in range(0, len(q), 1 << 16):
+                part = slice(k, k + (1 << 16))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q[part])), keys.take(pa.array(rows[part])), pa.array(scores[part])], ["query", "id", "score"])
+
+        parts, ids, size, n = [], [], 0, 0
+        for batch in batches:
+            for lo, row, term, tf, words in _terms(batch.column(1)):
+                at = np.searchsorted(terms, term)
+                at[at == len(terms)] = 0
+                asked = terms[at] == term
+                parts.append(tuple(x[asked].astype(np.int32) for x in (row + n, at, tf)) + (words,))
+                piece = batch.column(0).slice(lo, len(words))
+                ids.append(piece)
+                n += len(words)
+                size += batch.column(1).slice(lo, len(words)).nbytes
+                if size >= SHARD_BYTES:
                     yield from answers(parts, ids)
+                    parts, ids, size, n = [], [], 0, 0
+        if parts:
+            yield from answers(parts, ids)
 
-            out = out.unionByName(base.mapInArrow(run, schema))
-    best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
-    out = out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
-    return out.select(F.col("query").alias("query_id"), "rank", F.col("id").alias(id_col), "score")
+    return run

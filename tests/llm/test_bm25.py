@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+
 from llm import bm25
 
 
@@ -27,6 +29,9 @@ def test_against_all_rows(spark, monkeypatch):
     monkeypatch.setattr(bm25, "SHARD_BYTES", 4_000)
     monkeypatch.setattr(bm25, "BLOCK", 4)
     monkeypatch.setattr(bm25, "BLOCK_TERMS", 300)
+    monkeypatch.setattr(bm25, "FIRST_ROWS", 20)
+    monkeypatch.setattr(bm25, "TASK_ROWS", 10)
+    monkeypatch.setattr(bm25, "WAVE", 3)
     r = random.Random(6)
     common, rare = [f"c{n}" for n in range(12)], [f"Rare{n}" for n in range(300)]
     rows = [(0, None), (1, " "), (2, "nobody has this"), (3, "c1 " * 3000)]
@@ -39,3 +44,22 @@ def test_against_all_rows(spark, monkeypatch):
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want))
     assert bm25.search(docs.limit(0), docs).count() == bm25.search(docs, docs.limit(0)).count() == 0
+
+
+def test_skips_rows_below_the_threshold():
+    r = np.random.default_rng(3)
+    n, terms = 4000, 60
+    row, at = np.nonzero(r.random((n, terms)) < np.geomspace(0.6, 0.002, terms))
+    tf, words = r.integers(1, 4, len(row)), r.integers(20, 400, n)
+    idf = np.linspace(0.5, 6, terms)
+    shard, every = bm25.Shard(row, at, tf, words, idf, words.mean()), np.zeros((n, terms))
+    every[row, at] = idf[at] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * words[row] / words.mean()))
+    for query in ([*range(terms)], [0, 1, 2], [59], [10, 30, 50]):
+        full = np.round(every[:, query].sum(axis=1), 6)
+        want = np.flatnonzero(full >= max(np.sort(full)[-10], 1e-9))
+        rows, scores = shard.search(np.array(query), 10)
+        assert set(rows) == set(want) and np.allclose(scores, full[rows], atol=2e-6)
+        floor = np.sort(full)[-3]
+        rows, scores = shard.search(np.array(query), 10, floor)
+        assert set(rows) == set(np.flatnonzero((full >= floor) & (full > 0)))
+    assert shard.scored < shard.seen / 4

@@ -8,8 +8,12 @@ Lemma: an occurrence with ``e`` edits shares at least ``T = m + 1 - q * (e + 1)`
 q-grams with the item, at positions whose diagonals (document minus item position)
 differ by at most ``e``. Diagonals are cut in bands of ``2 * e + 1`` that overlap by half, so one
 band holds all of them. Shared q-grams are counted per item and band; bands with
-``T`` or more are kept, and only those are aligned, inside the band. ``e`` is lowered
-where ``T`` would fall below 1; items shorter than q are matched as they are.
+``T`` or more are kept, and only those are aligned, inside the band. An item's ``q`` is ``Q``, or
+less where ``T`` would fall below 1 (``m // (e + 1)``), so short items keep their whole budget.
+
+Bands of one document and item that touch are aligned as one. A literal copy of the item in
+the band needs no alignment; the others of a slice of documents are aligned together, a
+row of one array each, and a row ends when all its cells are over the budget.
 
 The benchmark's grams are sent to all tasks in parts of at most ``PART_BYTES`` of items,
 each part a map over the documents without a shuffle, however many parts it takes.
@@ -35,6 +39,10 @@ EDIT_SHARE = 0.08
 PART_BYTES = 8 << 20
 #: Bits of the first, approximate look-up of a gram.
 SIEVE_BITS = 23
+#: Shared grams counted at a time, cells of the arrays in which bands are aligned together, and bytes of a slice of documents.
+HITS = 1 << 21
+CELLS = 1 << 16
+SLICE_BYTES = 2 << 20
 
 _U = np.uint64
 _CODE = np.arange(256, dtype=np.uint8)
@@ -57,127 +65,196 @@ def plain(text: str | None) -> bytes:
 
 
 def grams(b: np.ndarray, q: int) -> np.ndarray:
-    """A hash of each q bytes, of 8 at a time exactly."""
+    """A hash of each q bytes (of up to 8 exactly)."""
     if len(b) < q:
         return np.zeros(0, dtype=np.uint64)
     x = b.astype(np.uint64)
-    two = x[:-1] | x[1:] << _U(8)
-    four = two[:-2] | two[2:] << _U(16)
-    eight = four[:-4] | four[4:] << _U(32) if q >= 8 else four
-    n, k = len(b) - q + 1, 8 if q >= 8 else 4
-    out = eight[:n] * _U(0x9E3779B97F4A7C15)
-    out ^= out >> _U(29)
-    while k < q:
-        step = min(k, q - k)
-        part = {1: x, 2: two, 4: four}.get(step)
-        if part is None:
-            step, part = (4, four) if step > 4 else (2, two)
-        out = (out ^ part[k : k + n]) * _U(0xBF58476D1CE4E5B9)
-        out ^= out >> _U(31)
-        k += step
+    n = len(b) - q + 1
+    # runs of 1, 2, 4 and 8 bytes as numbers; a gram is cut into such runs
+    runs = {1: x}
+    for k in (1, 2, 4):
+        if 2 * k <= q:
+            runs[2 * k] = runs[k][:-k] | runs[k][k:] << _U(8 * k)
+    out, at = np.zeros(n, dtype=np.uint64), 0
+    for k in (8, 4, 2, 1):
+        while q - at >= k:
+            out = (out ^ runs[k][at : at + n]) * _U(0xBF58476D1CE4E5B9)
+            out ^= out >> _U(29)
+            at += k
     return out
 
 
-class Items:
-    """Benchmark items with the positions of their grams."""
+def _budget(m: int, q: int, share: float) -> tuple[int, int, int]:
+    """Edits, gram length and least number of shared grams of an item of m bytes."""
+    e = int(share * m)
+    q = min(q, m // (e + 1))
+    return e, q, m + 1 - q * (e + 1)
 
-    def __init__(self, ids: list, texts: list[bytes], q: int = Q, share: float = EDIT_SHARE):
-        keep = [n for n, t in enumerate(texts) if t]
-        self.ids, self.texts, self.q = [ids[n] for n in keep], [texts[n] for n in keep], q
-        self.edits = [max(0, min(int(share * len(t)), len(t) // q - 1)) for t in self.texts]
-        self.least = [len(t) + 1 - q * (e + 1) for t, e in zip(self.texts, self.edits)]
-        self.short = [n for n, t in enumerate(self.texts) if len(t) < q]
-        found = [(grams(np.frombuffer(t, np.uint8), q), n) for n, t in enumerate(self.texts) if len(t) >= q]
-        code = np.concatenate([g for g, _ in found]) if found else np.zeros(0, np.uint64)
-        item = np.concatenate([np.full(len(g), n) for g, n in found]) if found else np.zeros(0, np.int64)
-        pos = np.concatenate([np.arange(len(g)) for g, _ in found]) if found else np.zeros(0, np.int64)
+
+class Index:
+    """The grams of one length of some items, with their positions."""
+
+    def __init__(self, q: int, numbers: list[int], texts: list[bytes]):
+        self.q = q
+        found = [grams(np.frombuffer(texts[n], np.uint8), q) for n in numbers]
+        code = np.concatenate(found)
         order = np.argsort(code, kind="stable")
-        self.item, self.pos = item[order], pos[order]
+        self.item = np.repeat(np.array(numbers), [len(g) for g in found])[order]
+        self.pos = np.concatenate([np.arange(len(g)) for g in found])[order]
         self.code, first = np.unique(code[order], return_index=True)
         self.first = np.append(first, len(code))
         self.sieve = np.zeros(1 << SIEVE_BITS, dtype=bool)
         self.sieve[self.code >> _U(64 - SIEVE_BITS)] = True
-        self.width = np.array(self.edits, dtype=np.int64) * 2 + 1
+
+    def hits(self, b: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Text, item and diagonal of each shared gram, at most about ``HITS`` at a time."""
+        g = grams(b, self.q)
+        at = np.flatnonzero(self.sieve[g >> _U(64 - SIEVE_BITS)])
+        which = np.searchsorted(self.code, g[at])
+        which[which == len(self.code)] = 0
+        good = self.code[which] == g[at]
+        at, which = at[good], which[good]
+        text = np.searchsorted(off, at, side="right") - 1
+        good = at + self.q <= off[text + 1]
+        at, which, text = at[good], which[good], text[good]
+        n = self.first[which + 1] - self.first[which]
+        ends = np.cumsum(n)
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HITS, side="right")))
+            m, w = n[lo:hi], which[lo:hi]
+            flat = np.repeat(self.first[w] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            yield np.repeat(text[lo:hi], m), self.item[flat], np.repeat(at[lo:hi], m) - self.pos[flat]
+            lo = hi
+
+
+class Items:
+    """Benchmark items with the positions of their grams."""
+
+    def __init__(self, ids: list, texts: list[bytes], q: int = Q, share: float = EDIT_SHARE):
+        keep = [n for n, t in enumerate(texts) if t]
+        self.ids, self.texts = [ids[n] for n in keep], [texts[n] for n in keep]
+        budgets = [_budget(len(t), q, share) for t in self.texts]
+        self.edits = np.array([e for e, _, _ in budgets], dtype=np.int64)
+        self.least = np.array([t for _, _, t in budgets], dtype=np.int64)
+        of: dict[int, list[int]] = {}
+        for n, (_, k, _) in enumerate(budgets):
+            of.setdefault(k, []).append(n)
+        self.indexes = [Index(k, numbers, self.texts) for k, numbers in of.items()]
 
     def find(self, b: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, begin, end, edits) of the best occurrence of each item in each text of a batch."""
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
-        if len(self.code):
-            g = grams(b, self.q)
-            at = np.flatnonzero(self.sieve[g >> _U(64 - SIEVE_BITS)])
-            which = np.searchsorted(self.code, g[at])
-            which[which == len(self.code)] = 0
-            good = self.code[which] == g[at]
-            at, which = at[good], which[good]
-            text = np.searchsorted(off, at, side="right") - 1
-            good = at + self.q <= off[text + 1]
-            at, which, text = at[good], which[good], text[good]
-            n = self.first[which + 1] - self.first[which]
-            flat = np.repeat(self.first[which] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            item, text = self.item[flat], np.repeat(text, n)
-            diagonal = np.repeat(at, n) - self.pos[flat]
-            for key, band, low in self._bands(text, item, diagonal):
-                found = align(self.texts[key[1]], b, max(off[key[0]], 0), off[key[0] + 1], low, low + band, self.edits[key[1]])
-                if found and (key not in out or found[2] < out[key][2]):
-                    out[key] = found
-        for n in self.short:
-            for t in range(len(off) - 1):
-                p = b[off[t] : off[t + 1]].tobytes().find(self.texts[n])
-                if p >= 0:
-                    out[t, n] = (off[t] + p, off[t] + p + len(self.texts[n]), 0)
+        rest = []
+        raw = b.tobytes()
+        for index in self.indexes:
+            for text, item, low, high in self._bands(index.hits(b, off)):
+                e, t = int(self.edits[item]), self.texts[item]
+                start, stop = int(off[text]), int(off[text + 1])
+                at = raw.find(t, max(low - e, start), min(high + e + len(t), stop))
+                if at >= 0:
+                    if out.get((text, item), (0, 0, 1))[2]:
+                        out[text, item] = (at, at + len(t), 0)
+                elif e:
+                    rest.append((text, item, start, stop, low, high))
+        rest = [r for r in rest if out.get(r[:2], (0, 0, 1))[2]]
+        rest.sort(key=lambda r: len(self.texts[r[1]]))
+        lo = 0
+        while lo < len(rest):  # rows of about one size together
+            hi, cells = lo, 0
+            while hi < len(rest) and (hi == lo or cells < CELLS):
+                _, item, _, _, low, high = rest[hi]
+                cells += high - low + 1 + 2 * int(self.edits[item])
+                hi += 1
+            some = rest[lo:hi]
+            found = align([self.texts[i] for _, i, *_ in some], b, *(np.array([r[k] for r in some]) for k in range(2, 6)), self.edits[[i for _, i, *_ in some]])
+            for (text, item, *_), at in zip(some, found):
+                if at and ((text, item) not in out or at[2] < out[text, item][2]):
+                    out[text, item] = at
+            lo = hi
         return [(t, i, *v) for (t, i), v in out.items()]
 
-    def _bands(self, text: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> Iterator[tuple[tuple[int, int], int, int]]:
-        """Bands with enough shared grams: text and item, width less one, lowest diagonal."""
-        half = (self.width[item] + 1) // 2
-        band = np.floor_divide(diagonal, half)
-        # a band's diagonals are two halves, so a gram is in the band of its half and the one before
-        text, item, band = np.tile(text, 2), np.tile(item, 2), np.concatenate([band, band - 1])
-        order = np.lexsort((band, item, text))
-        text, item, band = text[order], item[order], band[order]
+    def _bands(self, hits: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, int, int]]:
+        """Text, item, lowest and highest diagonal of runs of bands with enough shared grams."""
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def merged():
+            text, item, band, n = (np.concatenate([h[k] for h in held]) for k in range(4))
+            order = np.lexsort((band, item, text))
+            text, item, band, n = text[order], item[order], band[order], n[order]
+            new = np.ones(len(text), dtype=bool)
+            new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
+            at = np.flatnonzero(new)
+            return text[at], item[at], band[at], np.add.reduceat(n, at) if len(at) else n
+
+        for text, item, diagonal in hits:
+            band = np.floor_divide(diagonal, self.edits[item] + 1)
+            # a band's diagonals are two halves, so a gram is in the band of its half and the one before
+            held.append((np.tile(text, 2), np.tile(item, 2), np.concatenate([band, band - 1]), np.ones(2 * len(text), dtype=np.int64)))
+            held = [merged()]
+        if not held:
+            return
+        text, item, band, n = held[0]
+        keep = n >= self.least[item]
+        text, item, band = text[keep], item[keep], band[keep]
+        if not len(text):
+            return
         new = np.ones(len(text), dtype=bool)
-        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (band[1:] > band[:-1] + 2)
         first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(text)))
-        keep = first[count >= np.array(self.least)[item[first]]]
-        for k in keep.tolist():
-            h = (int(self.width[item[k]]) + 1) // 2
-            yield (int(text[k]), int(item[k])), 2 * h - 1, int(band[k]) * h
+        last = np.append(first[1:], len(text)) - 1
+        half = self.edits[item[first]] + 1
+        yield from zip(text[first].tolist(), item[first].tolist(), (band[first] * half).tolist(), ((band[last] + 2) * half - 1).tolist())
 
 
-def align(item: bytes, b: np.ndarray, start: int, stop: int, low: int, high: int, most: int) -> tuple[int, int, int] | None:
-    """Best semi-global alignment of an item inside b[start:stop] on diagonals low to high, or None above ``most`` edits.
+def align(items: list[bytes], b: np.ndarray, start: np.ndarray, stop: np.ndarray, low: np.ndarray, high: np.ndarray, most: np.ndarray) -> list[tuple[int, int, int] | None]:
+    """Best semi-global alignment of each item inside b[start:stop] on diagonals low to high, or None above ``most`` edits.
 
-    A row is a byte of the item; cell d holds the least edits with the item's prefix
-    ending on diagonal low + d. Gains of two edits leave the band only beyond ``most``, so
-    the band is widened by ``most`` on both sides.
+    One row of an array per item; step i takes byte i of all items. Cell d holds the least edits with
+    the item's prefix ending on diagonal low + d. Gains of two edits leave the band only
+    beyond ``most``, so the band is widened by ``most`` on both sides.
     """
-    low, high = low - most, high + most
-    d = np.arange(low, high + 1)
-    big = 1 << 20
-    cost = np.where((d >= start) & (d <= stop), 0, big).astype(np.int64)
-    begin = d.copy()
-    steps = np.arange(len(d))
-    for i, c in enumerate(item):
-        j = d + i  # the byte that the diagonal meets
-        inside = (j >= start) & (j < stop)
-        same = np.zeros(len(d), dtype=np.int64)
-        same[inside] = b[j[inside]] != c
+    big = np.int32(1 << 20)
+    low, sizes = low - most, np.array([len(t) for t in items])
+    width = high + most - low + 1
+    text = np.zeros((len(items), int(sizes.max())), dtype=np.uint8)
+    for n, t in enumerate(items):
+        text[n, : len(t)] = np.frombuffer(t, np.uint8)
+    steps = np.arange(int(width.max()), dtype=np.int32)
+    live, out = np.arange(len(items)), [None] * len(items)
+    j = low[:, None] + steps  # the byte that the diagonal meets
+    cost = np.where((steps < width[:, None]) & (j >= start[:, None]) & (j <= stop[:, None]), 0, big).astype(np.int32)
+    begin = j.copy()
+    tail = np.full((len(items), 1), big, dtype=np.int32)
+    i = 0
+    while True:
+        ended = (sizes[live] == i) | (cost.min(axis=1) > most[live])
+        if ended.any():
+            for r in np.flatnonzero(ended & (sizes[live] == i)).tolist():
+                k, n = int(cost[r].argmin()), int(live[r])
+                if cost[r, k] <= most[n]:
+                    out[n] = (int(begin[r, k]), int(low[n]) + k + i, int(cost[r, k]))
+            live, cost, begin, j = live[~ended], cost[~ended], begin[~ended], j[~ended]
+            tail = tail[: len(live)]
+        if not len(live):
+            return out
+        first, last = start[live][:, None], stop[live][:, None]
+        inside = (j >= first) & (j < last) & (steps < width[live][:, None])
+        same = b[np.clip(j, 0, len(b) - 1)] != text[live, i][:, None]
         change = np.where(inside, cost + same, big)
         # a byte of the item left out: the next diagonal's cell of the row before
-        skip = np.append(cost[1:] + 1, big)
-        skip = np.where((j + 1 >= start) & (j < stop), skip, big)
-        own = np.minimum(change, skip)
-        own_begin = np.where(change <= skip, begin, np.append(begin[1:], 0))
+        reach = (j + 1 >= first) & (j < last) & (steps < width[live][:, None])
+        skip = np.where(reach, np.concatenate([cost[:, 1:] + 1, tail], axis=1), big)
+        left_out = skip < change
+        own = np.where(left_out, skip, change)
+        own_begin = np.where(left_out, np.concatenate([begin[:, 1:], tail], axis=1), begin)
         # bytes of the document put in: running minimum along the row
         key = own - steps
-        at = np.maximum.accumulate(np.where(key == np.minimum.accumulate(key), steps, 0))
-        cost = np.where((j + 1 >= start) & (j < stop), own[at] + steps - at, big)
-        begin = own_begin[at]
-    k = int(cost.argmin())
-    if cost[k] > most:
-        return None
-    return int(begin[k]), int(d[k]) + len(item), int(cost[k])
+        at = np.maximum.accumulate(np.where(key == np.minimum.accumulate(key, axis=1), steps, 0), axis=1)
+        cost = np.where(reach, np.take_along_axis(key, at, axis=1) + steps, big)
+        begin = np.take_along_axis(own_begin, at, axis=1)
+        j = j + 1
+        i += 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = Q, share: float = EDIT_SHARE) -> DataFrame:
@@ -197,7 +274,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch], held=held, item_type=item_type) -> Iterator[pa.RecordBatch]:
             known = Items(*held.value, q, share)
             for batch in batches:
-                for lo, hi in textkit.slices(batch.column(1)):
+                for lo, hi in textkit.slices(batch.column(1), SLICE_BYTES):
                     data, off = textkit.raw(batch.column(1).slice(lo, hi - lo))
                     b, where, at = normal(data, off)
                     found = known.find(b, where)

@@ -1,21 +1,21 @@
-"""Token counts of whole texts, huge ones by overlapping chunks that are spliced where they provably agree.
+"""Token counts of whole texts by overlapping chunks that are spliced where they provably agree.
 
 Counts are those of a tokenizer file of the tokenizers library with a byte-level
 pattern, without special tokens added; added strings inside texts count as the
 library counts them.
 
-A huge text is encoded in overlapping chunks with offsets. The pattern reads left
-to right and looks ahead by one character at most, so a word boundary of a chunk
-holds for the whole text if the chunk's reading began at a true boundary and a
-character of the chunk follows the boundary. The next chunk begins anywhere; from
-the first word boundary that both chunks name inside their overlap, both read the
-same text from the same state, and the rest of the next chunk is the whole text's
+A text is encoded in overlapping chunks of ``CHUNK_CHARS`` characters with offsets (a text that fits one
+chunk is that chunk). The pattern reads left to right and looks ahead by ``AHEAD`` characters at
+most, so a word boundary of a chunk holds for the whole text if the chunk's reading began at
+a true boundary and so many characters of the chunk follow the boundary. The next chunk begins
+anywhere; from the first word boundary that both chunks name inside their overlap, both read
+the same text from the same state, and the rest of the next chunk is the whole text's
 reading. The text is spliced there. If the two name no common boundary, the next
 chunk starts further left (the overlap doubles) until they do, at worst at the
 last splice, which is true by itself. A chunk never ends inside an added string.
 
-Other texts are cut at single blanks between two other characters, where the
-pattern always cuts, and the library's count of each piece is remembered.
+The chunks of a slice of texts are encoded together; only an overlap that fails is encoded
+again. A task holds one slice, so a text of any length costs its own size in memory.
 """
 
 from __future__ import annotations
@@ -26,20 +26,42 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from llm import textkit
+from llm.staging import by_bytes
 
-#: Characters of a chunk of a huge text, and of the first overlap of two chunks.
-CHUNK_CHARS = 32_768
-OVERLAP_CHARS = 1_024
-#: Pieces whose counts a worker remembers before its memory starts anew.
-MEMORY_PIECES = 400_000
-MEMORY_CHARS = 64
-BATCH_BYTES = 4 << 20
+#: Characters of a chunk, and of the first overlap of two chunks.
+CHUNK_CHARS = 2_048
+OVERLAP_CHARS = 128
+#: Characters that the pattern reads to end a word (a contraction's).
+AHEAD = 3
+BATCH_BYTES = 1 << 20
 
-_CUT = regex.compile(r"(?<=\S) (?=\S)")
+
+class Chunk:
+    """One encoded stretch of a text."""
+
+    def __init__(self, start: int, end: int, encoding):
+        self.start, self.end, self.encoding, self.tokens = start, end, encoding, len(encoding)
+
+    def before(self, at: int) -> int | None:
+        """Tokens of the chunk before a character of the text, if a word begins there."""
+        if at == self.start:
+            return 0
+        e, k = self.encoding, self.encoding.char_to_token(at - self.start)
+        if not k or e.token_to_chars(k)[0] != at - self.start or e.token_to_word(k) == e.token_to_word(k - 1):
+            return None
+        while e.token_to_chars(k - 1)[0] == at - self.start:  # tokens of one character's bytes
+            k -= 1
+        return None if e.token_to_word(k) == e.token_to_word(k - 1) else k
+
+    def last_word(self) -> int:
+        """First character of the chunk's last word, which may go on beyond the chunk."""
+        e, k = self.encoding, self.tokens - 1
+        while k and e.token_to_word(k - 1) == e.token_to_word(self.tokens - 1):
+            k -= 1
+        return self.start + e.token_to_chars(k)[0]
 
 
 class Counter:
@@ -48,103 +70,70 @@ class Counter:
     def __init__(self, path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.processors import ByteLevel
 
         self.chunk, self.overlap = chunk, overlap
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenizer.post_processor = ByteLevel(trim_offsets=False)  # a word's offsets include its blank
         with open(path, encoding="utf-8") as f:
             self.added = [t["content"] for t in json.load(f)["added_tokens"]]
-        self.memory: dict[str, int] = {}
-        #: How often an overlap had to be widened.
-        self.widened = 0
-
-    def pieces(self, text: str) -> list[str]:
-        """A text cut where the pattern always cuts; every piece but the first stands after a blank."""
-        flat = text.replace("\n", " ")
-        if " ".join(flat.split()) == flat:
-            return text.replace("\n", " \n").split(" ")
-        first, *rest = _CUT.split(text)
-        return [first, *rest]
+        #: Texts counted by more than one chunk, and overlaps that had to be widened.
+        self.spliced = self.widened = 0
 
     def counts(self, texts: list[str]) -> list[int]:
         """The token count of each text."""
-        out: list[int | None] = [None] * len(texts)
-        cut: dict[int, list[str]] = {}
-        for n, t in enumerate(texts):
-            if len(t) > 2 * self.chunk:
-                out[n] = self.huge(t)
-            elif any(s in t for s in self.added):
-                out[n] = len(self.tokenizer.encode(t, add_special_tokens=False).ids)
-            else:
-                first, *rest = self.pieces(t)
-                cut[n] = [p if p[:1] == "\n" else " " + p for p in rest]
-                if first:
-                    cut[n].append(first)
-        new = list({p for pieces in cut.values() for p in pieces if p not in self.memory})
-        found = dict(zip(new, map(len, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)))) if new else {}
-        if len(self.memory) + len(new) > MEMORY_PIECES:
-            self.memory = {p: self.memory[p] for pieces in cut.values() for p in pieces if p in self.memory}
-        long = {p: k for p, k in found.items() if len(p) > MEMORY_CHARS}
-        self.memory |= found
-        for n, pieces in cut.items():
-            out[n] = sum(map(self.memory.__getitem__, pieces))
-        for p in long:
-            del self.memory[p]
-        return out
+        plans = [self._plan(t) for t in texts]
+        encoded = iter(self.tokenizer.encode_batch([t[a:b] for t, plan in zip(texts, plans) for a, b in plan], add_special_tokens=False))
+        return [self._spliced(t, [Chunk(a, b, next(encoded)) for a, b in plan]) for t, plan in zip(texts, plans)]
+
+    def _plan(self, text: str) -> list[tuple[int, int]]:
+        """Start and end of a text's chunks; each ends ``overlap`` characters after the next one's start."""
+        out, start = [], 0
+        while True:
+            end = self._end(text, start, min(len(text), start + self.chunk + self.overlap))
+            out.append((start, end))
+            if end == len(text):
+                return out
+            start = max(start + 1, end - self.overlap)
 
     def _end(self, text: str, start: int, end: int) -> int:
-        """``end``, or where an added string begins that would be cut there."""
+        """``end``, or where an added string ends that would be cut there."""
         for s in self.added:
-            for k in range(len(s) - 1, 0, -1):
+            for k in range(1, len(s)):
                 if end - k >= start and text.startswith(s, end - k):
-                    return self._end(text, start, end - k)
+                    return self._end(text, start, end - k + len(s))
         return end
 
-    def _read(self, text: str, start: int, end: int) -> tuple[list[int], list[int]]:
-        """First character of each word of a chunk in the whole text, and the tokens before it in the chunk."""
-        e = self.tokenizer.encode(text[start:end], add_special_tokens=False)
-        at, before, last = [], [], None
-        for n, (word, (a, _)) in enumerate(zip(e.word_ids, e.offsets)):
-            if word != last:
-                at.append(start + a)
-                before.append(n)
-                last = word
-        return [*at, end], [*before, len(e.ids)]
-
-    def huge(self, text: str) -> int:
-        """The count of a text by overlapping chunks."""
-        n = len(text)
-        if not n:
-            return 0
-        total, splice = 0, 0  # splice: a true boundary up to which all is counted
-        end = self._end(text, 0, min(n, self.chunk))
-        at, before = self._read(text, 0, end)
-        done = 0  # tokens of the chunk before the splice
-        while end < n:
+    def _spliced(self, text: str, chunks: list[Chunk]) -> int:
+        """The count of a text from its chunks."""
+        now, *rest = chunks
+        if not rest:
+            return now.tokens
+        self.spliced += 1
+        total, splice, done = 0, now.start, 0  # splice: a true boundary up to which all is counted; done: tokens of the chunk before it
+        for nxt in rest:
             overlap = self.overlap
-            while True:
-                start = max(splice, end - overlap)
-                stop = self._end(text, start, min(n, start + self.chunk + overlap))
-                if stop > end or start == splice:
-                    stop = max(stop, min(n, end + 1))
-                next_at, next_before = self._read(text, start, stop)
-                # the last word may go on beyond the chunk, so its end proves nothing
-                true = {a: k for a, k in zip(at[:-1], before[:-1]) if a >= max(start, splice)}
-                common = next((a for a in next_at[:-1] if a in true), None)
-                if common is not None and (stop > end):
-                    break
+            while (common := self._common(now, nxt, splice)) is None:
                 self.widened += 1
-                if start == splice:
-                    overlap = self.chunk + 2 * overlap
-                    if stop == n:
-                        common = splice
-                        break
                 overlap *= 2
-            total += true[common] - done if common in true else 0
-            done = next_before[next_at.index(common)]
-            splice, end, at, before = common, stop, next_at, next_before
-        return total + before[-1] - done
+                start = max(splice, nxt.start - overlap)
+                nxt = Chunk(start, nxt.end, self.tokenizer.encode(text[start : nxt.end], add_special_tokens=False))
+            at, mine, its = common
+            total += mine - done
+            splice, done, now = at, its, nxt
+        return total + now.tokens - done
+
+    @staticmethod
+    def _common(now: Chunk, nxt: Chunk, splice: int) -> tuple[int, int, int] | None:
+        """A boundary that both chunks name and the chunk before proves, with the tokens before it in each."""
+        if nxt.start == splice:  # true by itself
+            return splice, now.before(splice), 0
+        for at in range(max(nxt.start, splice), min(now.end - AHEAD, now.last_word()) + 1):
+            if (its := nxt.before(at)) is not None and (at > nxt.start) and (mine := now.before(at)) is not None:
+                return at, mine, its
+        return None
 
 
 @functools.cache
@@ -158,9 +147,11 @@ def token_counts(
 ) -> DataFrame:
     """One row per input row: its id, ``n_bytes`` (UTF-8) and ``n_tokens``; null and empty texts have 0 of both.
 
-    A map over the rows without a shuffle; repeated rows are kept and other columns ignored.
+    A map over the rows without a shuffle; repeated rows are kept and other columns ignored;
+    an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    by_bytes(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path, chunk, overlap)
@@ -172,7 +163,6 @@ def token_counts(
                     [batch.column(0).slice(lo, hi - lo), pa.array(off[1:] - off[:-1], pa.int64()), pa.array(c.counts(texts), pa.int64())],
                     ["id", "n_bytes", "n_tokens"],
                 )
-        c.memory = {}  # the worker may serve other operators next
 
     chosen = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     return chosen.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint").withColumnRenamed("id", id_col)

@@ -47,10 +47,21 @@ def test_memory_starts_anew(monkeypatch, library):
 def test_chunked_counts_equal_library(library):
     c = token_counts.Counter(PATH, chunk=64, overlap=8)
     texts = noise(1500, 700, 2) + ["a" * 1000, " " * 1000, "<|endoftext|>" * 60, "ab " * 400, "\n \n" * 200]
-    for text in texts:
-        assert c.huge(text) == len(library.encode(text, add_special_tokens=False).ids), text
-    assert c.widened > 0
-    assert c.counts(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    texts += [a + b for a in ("it", "!", "9 ", "\n") for b in ("'re so" * 60, "'ve'll" * 60, "don't  " * 50)]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    for text, got, n in zip(texts, c.counts(texts), want):
+        assert got == n, text
+    assert c.widened > 0 and c.spliced > 1000
+    c = token_counts.Counter(PATH)
+    assert c.counts(["the cat's hat, " * 1000, "x" * 9000]) == [len(library.encode(t).ids) for t in ("the cat's hat, " * 1000, "x" * 9000)] and c.spliced == 2
+
+
+def test_long_runs_equal_library(library):
+    r = random.Random(4)
+    texts = ["".join(r.choices(a, k=4000)) for a in ("etaoinshrdlu", "的一是不了人我在有他", "ab")] + ["a" * 5000, "!" * 3000]
+    v = bpe.Vocabulary(PATH)
+    for text, packed in zip(texts, v.packed(texts)):
+        assert np.frombuffer(packed, "<u4").tolist() == library.encode(text).ids
 
 
 def test_frames(spark, library):

@@ -7,9 +7,10 @@ which the forward algorithm adds up from left to right; a text's is the product
 its words. The prediction is the language of the largest probability, the score its
 share among the languages.
 
-Words are runs of letters in lower case, with the vocabulary's mark for a word's
-start in front. Words over ``LONGEST`` letters are cut into parts of that length. Letters
-that are no piece count as one unknown piece each.
+Words are runs of letters in lower case, of any length, with the vocabulary's mark for a
+word's start in front. All pieces that a word can hold take part; pieces with other
+characters occur in no word and change no sum. Letters that are no piece count as one
+unknown piece each. Sums are scaled on the way, so long words neither vanish nor tie.
 
 A null text, or one without a letter, is ``und`` with score 0, as is every text if no
 language could be learned. Ties go to the first language in order. Repeated rows are
@@ -29,20 +30,22 @@ from pyspark.sql import functions as F
 
 from llm import textkit
 from llm.sampling import bounded, held_out
-from llm.staging import staged
+from llm.staging import by_bytes, staged
 
 #: Labelled documents per language to learn from, at most about so many.
 LEARN_DOCS = 1_000
 #: Rounds of expectation maximisation.
 ROUNDS = 2
 SMOOTHING = 0.1
-#: Letters of a word's part, and of a piece, at most.
-LONGEST = 24
-PIECE_LONGEST = 12
 #: Probability of a letter that is no piece.
 UNKNOWN = 1e-9
-#: Words remembered per worker before its memory starts anew.
-MEMORY_WORDS = 200_000
+#: Positions after which sums are scaled; in so many, none can vanish.
+RESCALE = 16
+#: Letters of the words that a worker remembers before its memory starts anew.
+MEMORY_LETTERS = 1_000_000
+#: Cells of the arrays in which words are cut together, and bytes of text taken at a time.
+CELLS = 1 << 19
+SLICE_BYTES = 1 << 20
 UNDETERMINED = "und"
 
 _LETTERS = regex.compile(r"\p{L}+")
@@ -51,10 +54,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 def words_of(text: str) -> list[str]:
     """The words of a text that the model reads."""
-    out = _LETTERS.findall(text.lower())
-    if any(len(w) > LONGEST for w in out):
-        out = [w[k : k + LONGEST] for w in out for k in range(0, len(w), LONGEST)]
-    return out
+    return _LETTERS.findall(text.lower())
 
 
 @functools.cache
@@ -65,7 +65,7 @@ def pieces(path: str) -> dict[str, int]:
     p = sentencepiece.SentencePieceProcessor(model_file=path)
     found = [p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))]
     mark = "▁"
-    keep = [x for x in found if len(x) <= PIECE_LONGEST and x == x.lower() and x != mark and regex.fullmatch(rf"{mark}?\p{{L}}+", x)]
+    keep = [x for x in found if x == x.lower() and x != mark and regex.fullmatch(rf"{mark}?\p{{L}}+", x)]
     return {x: n for n, x in enumerate(sorted(set(keep)))}
 
 
@@ -103,45 +103,52 @@ class Lattice:
 
 
 def forward(edges: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """[word, position, language]: probability of all segmentations of what stands before the position."""
+    """[word, language]: log of the sum over all segmentations of each word.
+
+    Every ``RESCALE`` positions the columns still needed are divided by the last one,
+    and the divisors' logs added up.
+    """
     n, width, longest = edges.shape
-    alpha = np.zeros((n, width + 1, p.shape[1]))
-    alpha[:, 0] = 1
+    alpha, log = np.zeros((width + 1, n, p.shape[1])), np.zeros((n, p.shape[1]))
+    alpha[0] = 1
     for end in range(1, width + 1):
         for k in range(min(longest, end)):
-            alpha[:, end] += alpha[:, end - 1 - k] * p[edges[:, end - 1 - k, k]]
-    return alpha
+            alpha[end] += alpha[end - 1 - k] * p[edges[:, end - 1 - k, k]]
+        if end % RESCALE == 0:
+            scale = alpha[end].copy()
+            alpha[max(0, end - longest + 1) : end + 1] /= scale
+            log += np.log(scale)
+    return np.log(alpha[width]) + log
 
 
 def expected(edges: np.ndarray, p: np.ndarray, language: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Languages, pieces and expected uses, over all segmentations of words with counts ``n``."""
     count, width, longest = edges.shape
-    column = p[:, language]  # [piece, word]
-    at = np.arange(count)
-    weight = column[edges, at[:, None, None]]
-    alpha, beta = np.zeros((count, width + 1)), np.zeros((count, width + 1))
-    alpha[:, 0] = beta[:, width] = 1
+    weight = np.log(np.maximum(p, 1e-300))[edges, language[:, None, None]]
+    weight[edges == p.shape[0] - 1] = -np.inf
+    alpha, beta = np.full((width + 1, count), -np.inf), np.full((width + 1, count), -np.inf)
+    alpha[0] = beta[width] = 0
     for end in range(1, width + 1):
         for k in range(min(longest, end)):
-            alpha[:, end] += alpha[:, end - 1 - k] * weight[:, end - 1 - k, k]
+            alpha[end] = np.logaddexp(alpha[end], alpha[end - 1 - k] + weight[:, end - 1 - k, k])
     for start in range(width - 1, -1, -1):
         for k in range(min(longest, width - start)):
-            beta[:, start] += weight[:, start, k] * beta[:, start + k + 1]
+            beta[start] = np.logaddexp(beta[start], weight[:, start, k] + beta[start + k + 1])
     uses = np.zeros_like(weight)
     for k in range(longest):
         m = width - k
-        uses[:, :m, k] = alpha[:, :m] * weight[:, :m, k] * beta[:, k + 1 :]
-    uses *= (n / alpha[:, width])[:, None, None]
+        uses[:, :m, k] = np.exp(alpha[:m].T + weight[:, :m, k] + beta[k + 1 :].T - alpha[width][:, None])
+    uses *= n[:, None, None]
     lang = np.broadcast_to(language[:, None, None], edges.shape)
     keep = (edges < p.shape[0] - 2) & (uses > 0)
     return lang[keep], edges[keep], uses[keep]
 
 
-def _by_length(words: list[str], most: int = 4096) -> Iterator[np.ndarray]:
-    """Indexes of words of one length, in groups."""
+def _by_length(words: list[str], longest: int) -> Iterator[np.ndarray]:
+    """Indexes of words of one length, in groups of about ``CELLS`` cells."""
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    for size in np.unique(sizes):
-        at = np.flatnonzero(sizes == size)
+    for size in np.unique(sizes).tolist():
+        at, most = np.flatnonzero(sizes == size), max(1, CELLS // ((size + 1) * longest))
         yield from (at[k : k + most] for k in range(0, len(at), most))
 
 
@@ -161,9 +168,8 @@ class Model:
         """[word, language] log probabilities."""
         out = np.zeros((len(words), len(self.languages)))
         lattice = _lattice(self.path)
-        for at in _by_length(words):
-            edges = lattice.edges([words[n] for n in at.tolist()])
-            out[at] = np.log(np.maximum(forward(edges, self.table)[:, -1], 1e-300))
+        for at in _by_length(words, lattice.longest):
+            out[at] = forward(lattice.edges([words[n] for n in at.tolist()]), self.table)
         return out
 
 
@@ -187,6 +193,7 @@ def learn(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 words = words_of(text.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string())], ["lang", "word"])
 
+    by_bytes(docs.sparkSession)
     words = bounded(known, "lang", "id", per_language).select("lang", "text").mapInArrow(split, "lang string, word string")
     words = staged(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     languages = sorted(r.lang for r in words.select("lang").distinct().collect())
@@ -202,7 +209,7 @@ def learn(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             for batch in batches:
                 lang = np.array([number[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
                 text, n = batch.column(1).to_pylist(), batch.column(2).to_numpy()
-                for at in _by_length(text, 1024):
+                for at in _by_length(text, lattice.longest):
                     which, piece, use = expected(lattice.edges([text[k] for k in at.tolist()]), p, lang[at], n[at])
                     np.add.at(total, (which, piece), use)
             which, piece = np.nonzero(total)
@@ -223,22 +230,27 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     first = F.struct(*(docs[c] for c in docs.columns)) if carry else docs[id_col]
     chosen = docs.select(first.alias("id"), docs[text_col].alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
+    by_bytes(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         number: dict[str, int] = {}
-        scores = np.zeros((0, len(m.languages)))
+        scores, letters = np.zeros((0, len(m.languages))), 0
         for batch in batches:
-            for lo, hi in textkit.slices(batch.column(1), 2 << 20):
+            for lo, hi in textkit.slices(batch.column(1), SLICE_BYTES):
                 texts = batch.column(1).slice(lo, hi - lo).to_pylist()
                 words = [words_of(t) if t else [] for t in texts]
                 new = list({w for ws in words for w in ws} - number.keys())
-                if len(number) + len(new) > MEMORY_WORDS:
-                    number, scores = {}, np.zeros((0, len(m.languages)))
+                if letters > MEMORY_LETTERS:
+                    number, letters = {}, 0
                     new = list({w for ws in words for w in ws})
-                number |= zip(new, range(len(number), len(number) + len(new)))
-                scores = np.concatenate([scores, m.word_scores(new)])
+                have = len(number)
+                number |= zip(new, range(have, have + len(new)))
+                letters += sum(map(len, new))
+                if len(number) > len(scores):
+                    scores = np.concatenate([scores[:have], np.zeros((have + 2 * len(new), len(m.languages)))])
+                scores[have : len(number)] = m.word_scores(new)
                 flat = np.fromiter(map(number.__getitem__, (w for ws in words for w in ws)), dtype=np.int64)
                 ends = np.cumsum([0, *map(len, words)])
                 lang, share = [], []

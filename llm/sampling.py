@@ -15,11 +15,9 @@ def bounded(rows: DataFrame, label: str, id_col: str, per_label: int) -> DataFra
     """About ``per_label`` rows of each label (all, if there are fewer), chosen by a hash of the id.
 
     The share kept of a label follows from its count, so the sample's size is bounded
-    however large the table is; only the counts of labels come to the driver.
+    however large the table is; counts join back by label, and none comes to the driver.
+    Rows without a label are left out.
     """
-    counts = rows.groupBy(label).count().collect()
-    keep = F.lit(False)
-    for value, n in counts:
-        draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, per_label / n))
-        keep = keep | ((F.col(label) == F.lit(value)) & draw)
-    return rows.filter(keep)
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30))
+    return rows.join(counts, label).filter(draw * F.col("_n") < F.lit((1 << 30) * per_label)).select(rows.columns)

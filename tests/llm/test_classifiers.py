@@ -36,11 +36,27 @@ def test_forward_sums_all_segmentations():
 
     for words in (["a", "b", "z"], ["abab", "bbaa", "xaby"], ["ababa", "aaaaa"]):
         edges = lattice.edges(words)
-        assert np.allclose(language_id.forward(edges, p)[:, -1], [brute(w) for w in words], rtol=1e-9)
+        assert np.allclose(np.exp(language_id.forward(edges, p)), [brute(w) for w in words], rtol=1e-9)
         lang, piece, uses = language_id.expected(edges, p, np.zeros(len(words), dtype=int), np.ones(len(words)))
         assert uses.sum() > 0 and (lang == 0).all() and (piece < 8).all()
 
 
+def test_long_words_are_summed_whole():
+    """Words beyond floating point's range, against the same sum in logs, letter by letter."""
+    lattice, model_pieces = language_id._lattice(PIECES), language_id.pieces(PIECES)
+    rng = np.random.default_rng(2)
+    p = language_id._table(rng.random((len(model_pieces), 2)))
+    for word in ("the" * 400, "ж" * 300, "straßenbahnhaltestellenüberdachung"):
+        s, total = "▁" + word, np.full((len(word) + 2, 2), -np.inf)
+        total[0] = 0
+        for end in range(1, len(s) + 1):
+            for start in range(max(0, end - lattice.longest), end):
+                row = model_pieces.get(s[start:end], lattice.size if end - start == 1 else None)
+                if row is not None:
+                    total[end] = np.logaddexp(total[end], total[start] + np.log(p[row]))
+        assert np.allclose(language_id.forward(lattice.edges([word]), p)[0], total[-1], rtol=1e-9)
+
+
 def test_language_edges(spark):
     rows = [(1, "the house is red", "en"), (2, "la maison est rouge", "fr"), (3, None, "en"), (4, "123 !!", "fr"), (5, "the red", None), (6, "x" * 100_000, None), (7, "", None)] * 2
     rows += [(i, "the house and the garden", "en") for i in range(10, 30)] + [(i, "la maison et le jardin", "fr") for i in range(30, 50)]

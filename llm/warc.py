@@ -23,15 +23,16 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.staging import shared_path, sized, staged
+from llm.staging import by_bytes, shared_path, staged
 
 #: Payloads below this size (bytes) are always responses.
 LEAST_BYTES = 0
-#: Records per file, which bounds what a reading task holds.
-FILE_RECORDS = 2_000
+#: Bytes of records in a file at most (one record at least): a file is read whole.
+FILE_BYTES = 64 << 20
 #: Bytes decompressed at a time.
 CHUNK = 1 << 20
 
@@ -43,11 +44,9 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 def base32_sha1(payload: Column) -> Column:
     """Upper-case base32 of the SHA-1 of a string or binary column."""
     digest = F.sha1(payload)
-    out = []
-    for k in range(8):  # 5 hexadecimal digits are 20 bits are 4 letters
-        bits = F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int")
-        out += [F.substring(F.lit(_BASE32), F.shiftright(bits, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*out)
+    # 10 hexadecimal digits are 40 bits are 8 digits to the base 32
+    parts = [F.lpad(F.conv(F.substring(digest, 10 * k + 1, 10), 16, 32), 8, "0") for k in range(4)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", _BASE32)
 
 
 def _http(payload_bytes: Column) -> Column:
@@ -72,7 +71,7 @@ def _one_line(value: Column) -> Column:
 
 
 def records(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
-    """(record) a response record for each row."""
+    """(record, size) a response record for each row, and the bytes of its payload."""
     payload = F.coalesce(pages[payload_col].cast("string"), F.lit(""))
     base = pages.select(pages[id_col].cast("string").alias("id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"))
     block = F.concat(_http(F.octet_length("payload")), F.col("payload"))
@@ -84,12 +83,27 @@ def records(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> Da
         ("X-Source-ID", _one_line(F.col("id"))),
         ("Content-Type", F.lit("application/http;msgtype=response")),
     ]
-    return base.select(_record(fields, block).alias("record"))
+    return base.select(_record(fields, block).alias("record"), F.octet_length("payload").alias("size"))
+
+
+def _classes(largest: int | None) -> Iterator[tuple[int, int]]:
+    """Classes of payload sizes up to the largest: above, and up to so many bytes."""
+    low, high = -1, 1 << 16
+    while largest is not None and low < largest:
+        yield low, high
+        low, high = high, 4 * high
+
+
+def _write(rows: DataFrame, path: str, high: int) -> None:
+    """Writes a column of records with payloads up to ``high`` bytes, as many a file as ``FILE_BYTES`` surely hold."""
+    folder = f"{path}/upto-{high}"
+    rows.select("record").write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_BYTES // high)).text(folder)
 
 
 def write_archive(rows: DataFrame, path: str) -> None:
-    """Writes a column of records as gzipped WARC files below a path."""
-    rows.select("record").write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    """Writes (record, size) as gzipped WARC files below a path, a folder for each class of payload sizes."""
+    for low, high in _classes(rows.agg(F.max("size")).first()[0]):
+        _write(rows.filter((F.col("size") > low) & (F.col("size") <= high)), path, high)
 
 
 def _parse(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -167,25 +181,33 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
                 if rows:
                     yield packed(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content")
+    except AnalysisException:  # an archive without records has no folder
+        return spark.createDataFrame([], _SCHEMA)
     return files.mapInArrow(run, _SCHEMA)
 
 
 def verdicts(headers: DataFrame, id_type: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(source_id, digest, first): of every record whose payload has a smaller id's copy, that id; from headers only."""
+    """(record_id, first, first_record): of every record whose payload has a smaller id's copy, the id and record id of that; from headers only."""
     sized_enough = headers.filter(F.col("payload_bytes") >= least_bytes)
     key = F.col("source_id").cast(id_type)
-    first = sized_enough.groupBy("digest", "payload_bytes").agg(F.min(key).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "payload_bytes", "first")
-    first = sized(staged(first, "first-copies"))
+    first = sized_enough.groupBy("digest", "payload_bytes").agg(F.min(F.struct(key.isNull().alias("none"), key.alias("id"), F.col("record_id").alias("record"))).alias("f"), F.count("*").alias("n"))
+    first = staged(first.filter("n > 1").select("digest", "payload_bytes", F.col("f.id").alias("first"), F.col("f.record").alias("first_record")), "first-copies")
     joined = sized_enough.join(first, ["digest", "payload_bytes"])
-    return joined.filter(key.isNull() | (key != F.col("first"))).select("record_id", "first").distinct()
+    return joined.filter(F.col("first").isNotNull() & (key.isNull() | (key != F.col("first")))).select("record_id", "first", "first_record").distinct()
 
 
 def deduplicate(spark: SparkSession, path: str, out: str, id_type: str, least_bytes: int = LEAST_BYTES) -> None:
     """Reads the archive at ``path`` and writes one at ``out`` with revisits instead of repeated payloads."""
     headers = staged(read_archive(spark, path, payloads=False).select("record_id", "source_id", "digest", "payload_bytes"), "headers")
-    again = sized(staged(verdicts(headers, id_type, least_bytes), "verdicts"))
-    rows = read_archive(spark, path).join(again, "record_id", "left")
+    again = staged(verdicts(headers, id_type, least_bytes), "verdicts")
+    for _, high in _classes(headers.agg(F.max("payload_bytes")).first()[0]):
+        _write(_fresh(read_archive(spark, f"{path}/upto-{high}").join(again, "record_id", "left")), out, high)
+
+
+def _fresh(rows: DataFrame) -> DataFrame:
+    """(record) with fresh headers of records joined to their verdicts; revisits without payload."""
     revisit = F.col("first").isNotNull()
     block = F.when(revisit, F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")).otherwise(F.concat(_http(F.col("payload_bytes")), F.coalesce("payload", F.lit(""))))
     fields = [
@@ -196,18 +218,11 @@ def deduplicate(spark: SparkSession, path: str, out: str, id_type: str, least_by
         ("WARC-Profile", F.when(revisit, _REVISIT_PROFILE)),
         ("X-Source-ID", F.col("source_id")),
         ("X-Refers-To-Source-ID", F.when(revisit, F.col("first"))),
-        ("WARC-Refers-To", F.when(revisit, _record_id(F.concat(F.lit("dedup:"), _record_id(F.concat(F.lit("capture:"), F.col("first").cast("string"), F.lit(":"), _sha1_of(F.col("digest")))))))),
+        ("WARC-Refers-To", F.when(revisit, _record_id(F.concat(F.lit("dedup:"), F.col("first_record"))))),
         ("X-Payload-Length", F.when(revisit, F.col("payload_bytes"))),
         ("Content-Type", F.lit("application/http;msgtype=response")),
     ]
-    write_archive(rows.select(_record(fields, block).alias("record")), out)
-
-
-def _sha1_of(base32: Column) -> Column:
-    """Hexadecimal SHA-1 from its base32 form."""
-    values = [F.instr(F.lit(_BASE32), F.substring(base32, k + 1, 1)) - 1 for k in range(32)]
-    groups = [values[4 * k] * 32768 + values[4 * k + 1] * 1024 + values[4 * k + 2] * 32 + values[4 * k + 3] for k in range(8)]
-    return F.concat(*(F.lpad(F.lower(F.hex(g)), 5, "0") for g in groups))
+    return rows.select(_record(fields, block).alias("record"))
 
 
 def resolve_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -217,6 +232,7 @@ def resolve_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     payload, ``record_type`` and ``refers_to`` (the id of the response with that payload).
     """
     spark, kind = pages.sparkSession, pages.schema[id_col].dataType.simpleString()
+    by_bytes(spark)
     captured, deduplicated = shared_path(spark, "captured"), shared_path(spark, "deduplicated")
     write_archive(records(pages, id_col, url_col, payload_col), captured)
     deduplicate(spark, captured, deduplicated, kind, least_bytes)

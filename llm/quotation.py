@@ -136,7 +136,7 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     base = messages.select(messages[conv_col].alias("conv"), messages[turn_col].alias("turn"), messages[role_col].alias("role"), messages[text_col].alias("text"))
     parents = staged(links(base), "parents")
     placed = paths(parents).join(parents, ["conv", "turn"]).select(F.col("conv").alias("c"), F.col("turn").alias("t"), "parent", "depth", "path")
-    placed = sized(staged(placed, "placed"))
+    placed = staged(placed, "placed")
     out = base.join(placed, (F.col("conv") == F.col("c")) & (F.col("turn") == F.col("t")), "left")
     text = own_text(F.col("text"))
     return out.select(

@@ -2,8 +2,9 @@
 
 A window is ``width`` consecutive words of one document. A word goes if a window
 over it also starts in a document with a smaller id; windows are judged on the
-input. Each window has a Rabin-Karp hash, and Spark takes the smallest document id
-per hash.
+input. Each window has a Rabin-Karp hash of 64 bits and a second one of 32 (other word
+values, same sums), and Spark takes the smallest document id per pair of hashes: with 10**13
+windows a false repeat is less likely than one in a thousand.
 
 Windows that occur once are most of a corpus, and are told apart before any window
 is shuffled: half of a window's words make a gram, and the gram with the smallest
@@ -15,7 +16,8 @@ Jobs: anchors per document; the smallest and largest id per anchor; windows belo
 anchors with two ids or more; the smallest id per window hash; removed windows
 merged to maximal intervals per document; the texts without them. A hash in a third
 of all documents is combined before its shuffle when counted, and joined back by
-broadcast while the repeated hashes are few, else in parts by Spark's skew join.
+broadcast while the repeated hashes take a few megabytes, else in parts by Spark's skew join.
+Each table is deleted once the next one is written.
 
 Null ids own nothing and lose nothing; null and empty texts have no words; rows
 with equal id and text are judged alike; an empty table gives an empty result.
@@ -31,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm import textkit
-from llm.staging import sized, staged
+from llm.staging import dropped, sized, staged
 
 WIDTH = 50
 #: Windows whose grams are compared in one numpy pass.
 BLOCK = 1 << 16
+#: What makes a word's value for the second hash.
+SECOND = np.uint64(0xA0761D6478BD642F)
 BATCH_BYTES = 4 << 20
 
 
@@ -89,7 +93,9 @@ def _window_rows(width: int):
             for lo, hi in textkit.slices(batch.column(2)):
                 data, off = textkit.raw(batch.column(2).slice(lo, hi - lo))
                 starts, ends, first = textkit.words(data, off)
-                windows, at = textkit.window_hashes(textkit.word_hashes(data, starts, ends), first, width)
+                words = textkit.word_hashes(data, starts, ends)
+                windows, at = textkit.window_hashes(words, first, width)
+                checks = textkit.window_hashes(textkit.mix(words ^ SECOND), first, width)[0].astype(np.uint32)
                 ranges = batch.column(3).slice(lo, hi - lo)
                 row = np.repeat(np.arange(hi - lo), np.diff(ranges.offsets.to_numpy()))
                 a, b = (ranges.flatten().field(k).to_numpy() + first[row] for k in (0, 1))
@@ -97,7 +103,7 @@ def _window_rows(width: int):
                 np.add.at(mark, a, 1)
                 np.add.at(mark, b + 1, -1)
                 keep = mark.cumsum()[at] > 0
-                windows, at = windows[keep], at[keep]
+                windows, checks, at = windows[keep], checks[keep], at[keep]
                 row = np.searchsorted(first, at, side="right") - 1
                 for k in range(0, max(len(at), 1), BLOCK):
                     part = slice(k, k + BLOCK)
@@ -105,11 +111,12 @@ def _window_rows(width: int):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(windows[part].view(np.int64)),
+                            pa.array(checks[part].view(np.int32)),
                             batch.column(0).take(take),
                             batch.column(1).take(take),
                             pa.array((at[part] - first[row[part]]).astype(np.int32)),
                         ],
-                        ["hash", "id", "key", "pos"],
+                        ["hash", "check", "id", "key", "pos"],
                     )
 
     return run
@@ -161,16 +168,19 @@ def removed_intervals(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id
     base = base.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     anchors = staged(base.mapInArrow(_anchor_rows(width), f"hash bigint, id {kind}, key bigint, lo int, hi int"), "anchors")
     shared = anchors.groupBy("hash").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("hash")
-    shared = sized(staged(shared, "shared-anchors"))
-    ranges = anchors.join(shared, "hash", "left_semi").groupBy("id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    shared = staged(shared, "shared-anchors")
+    ranges = anchors.join(sized(shared), "hash", "left_semi").groupBy("id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     ranges = staged(ranges, "ranges")
+    dropped(anchors, shared)
     near = base.join(sized(ranges.select("id", "key")), ["id", "key"], "left_semi").join(ranges, ["id", "key"])
-    windows = near.select("id", "key", "text", "ranges").mapInArrow(_window_rows(width), f"hash bigint, id {kind}, key bigint, pos int")
+    windows = near.select("id", "key", "text", "ranges").mapInArrow(_window_rows(width), f"hash bigint, check int, id {kind}, key bigint, pos int")
     windows = staged(windows, "windows")
-    owner = windows.groupBy("hash").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").select("hash", "owner")
-    owner = sized(staged(owner, "owners"))
-    gone = windows.join(owner, "hash").filter("id > owner").groupBy("id", "key").agg(F.collect_set("pos").alias("positions"))
-    return gone.mapInArrow(_intervals(width), f"id {kind}, key bigint, removed array<struct<begin:int,end:int>>")
+    owner = windows.groupBy("hash", "check").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").select("hash", "check", "owner")
+    owner = staged(owner, "owners")
+    gone = windows.join(sized(owner), ["hash", "check"]).filter("id > owner").groupBy("id", "key").agg(F.collect_set("pos").alias("positions"))
+    out = staged(gone.mapInArrow(_intervals(width), f"id {kind}, key bigint, removed array<struct<begin:int,end:int>>"), "removed")
+    dropped(ranges, windows, owner)
+    return out
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -179,8 +189,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     ``kept_text`` joins the kept words with one blank. With ``carry`` the id column is
     ``row``, a struct of all columns of the input; without, other columns are ignored.
     """
-    removed = staged(removed_intervals(docs, width, id_col, text_col), "removed")
-    removed = sized(removed.select(F.col("id").alias("r_id"), F.col("key").alias("r_key"), "removed"))
+    removed = removed_intervals(docs, width, id_col, text_col).select(F.col("id").alias("r_id"), F.col("key").alias("r_key"), "removed")
     out = F.struct(*(docs[c] for c in docs.columns)) if carry else docs[id_col]
     base = docs.select(out.alias("out"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = base.schema["out"].dataType.simpleString()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.staging import staged
+from llm.staging import dropped, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,6 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         new = staged(_star(_star(now, True), False), "links")
         seen = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        dropped(now)
         now = new
         if seen == state:
             break

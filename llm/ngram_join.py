@@ -11,10 +11,12 @@ sets are counted there, and sets that they leave short send all their shingles a
 have the rest of the range counted among themselves. The order decides only the work.
 
 Index. A list holds the sets with one shingle in their prefix, cut in blocks by set
-size (one block spans one ratio of the threshold) and sorted by size inside. Sets
-of blocks more than one step apart can't be similar, so a set is met only by its own
-block and the one below: the others are skipped unread. Inside those, position and size
-bound the overlap of a pair before anything is fetched.
+size (one block spans one ratio of the threshold) and by the shingle's position in the
+prefix (``STEPS`` steps). What two sets share through a shingle is bounded by what follows
+its positions. As the smaller set of a pair, a set enters only with its early positions, and it
+meets only those blocks of its own and the next size whose step lets some size in
+the block reach the threshold: all others are skipped unread. Inside a block, position and
+size bound the overlap of each pair before anything is fetched.
 
 Answers. Each set is first compared with one or two of its blocks' leaders (their
 smallest sets), those that share most lists with it, then with the head of the largest
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 
 from llm import textkit
 from llm.components import components
-from llm.staging import sized, staged
+from llm.staging import dropped, sized, staged
 
 #: Part of the hash range whose shingles every set sends.
 LOW_PART = 0.25
@@ -53,6 +55,8 @@ FREQUENT = 48
 FREQUENT_ROWS = 200_000
 #: Rounds in which sets are compared with the head of the largest family in their lists, while links are found.
 JOIN_ROUNDS = 1
+#: Blocks of a list by position, for each block of sizes.
+STEPS = 4
 #: Bits of a parity bitmap: the power of two from the set size on, within these.
 BITS_LEAST, BITS_MOST = 128, 4096
 
@@ -91,12 +95,18 @@ def _bits(n: int) -> int:
     return min(max(BITS_LEAST, 1 << max(n - 1, 1).bit_length()), BITS_MOST)
 
 
-def _bitmap(values: np.ndarray) -> list[int]:
-    """Parity of the shingles per bit, as longs."""
-    bits = _bits(len(values))
-    at = values.view(np.uint64) & np.uint64(bits - 1)
-    odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+def _bitmaps(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity of each set's shingles per bit, as longs end to end, and their offsets."""
+    bits = np.array([_bits(n) for n in np.diff(off).tolist()], dtype=np.int64)
+    first = np.concatenate([[0], np.cumsum(bits)])
+    own = np.repeat(np.arange(len(bits)), np.diff(off))
+    at = first[own] + (values.view(np.uint64) & (bits[own] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(first[-1])) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64), first // 64
+
+
+def _lists(off: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values, pa.int64()))
 
 
 def _classes_rows(n: int, lower: bool):
@@ -108,20 +118,11 @@ def _classes_rows(n: int, lower: bool):
                 np.cumsum(textkit.mix(values.view(np.uint64) ^ np.uint64(0x5DEECE66D)), out=mixed[1, 1:])
                 sums = (mixed[:, off[1:]] - mixed[:, off[:-1]]).view(np.int64)
                 size = np.diff(off)
-                part, bitmap = [], []
-                for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-                    v = values[a:b]
-                    part.append(v if b - a <= SMALL else v[: np.searchsorted(v, _LOW)])
-                    bitmap.append(_bitmap(v))
+                sent = (np.repeat(size, size) <= SMALL) | (values < _LOW)
+                part = np.concatenate([[0], np.cumsum(sent)])[off]
+                bitmap, longs = _bitmaps(values, off)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, len(size)),
-                        pa.array(size, pa.int64()),
-                        pa.array(sums[0]),
-                        pa.array(sums[1]),
-                        pa.array(part, pa.list_(pa.int64())),
-                        pa.array(bitmap, pa.list_(pa.int64())),
-                    ],
+                    [batch.column(0).slice(lo, len(size)), pa.array(size, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), _lists(part, values[sent]), _lists(longs, bitmap)],
                     ["id", "size", "d1", "d2", "part", "bitmap"],
                 )
 
@@ -208,7 +209,9 @@ def _overlaps(pairs: DataFrame, reps: DataFrame, base: DataFrame, n: int, lower:
     sets = staged(base.join(sized(ids), "id", "left_semi").mapInArrow(_set_rows(n, lower), f"id {kind}, shingles array<bigint>"), "sets")
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("a_set")), "a")
     joined = joined.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("b_set")), "b")
-    return joined.withColumn("overlap", F.size(F.array_intersect("a_set", "b_set")).cast("long")).drop("a_set", "b_set")
+    out = staged(joined.withColumn("overlap", F.size(F.array_intersect("a_set", "b_set")).cast("long")).drop("a_set", "b_set"), "overlaps")
+    dropped(pairs, ids, sets)
+    return out
 
 
 def _mixed(index: DataFrame, families: DataFrame) -> DataFrame:
@@ -236,8 +239,11 @@ def similarity_classes(
     rows = staged(rows, "sets")
     classes = staged(rows.filter("size > 0").groupBy("size", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")), "classes")
     own = classes.filter("rep is not null").select(F.col("rep").alias("id"))
-    reps = rows.join(own, "id", "left_semi").dropDuplicates(["id"])
-    reps = staged(reps.select("id", "size", "part", "bitmap"), "representatives")
+    reps = staged(rows.join(own, "id", "left_semi").dropDuplicates(["id"]).select("id", "size", "part"), "representatives")
+    bitmaps = staged(rows.join(own, "id", "left_semi").dropDuplicates(["id"]).select("id", "size", "bitmap"), "bitmaps")
+    slim = staged(rows.select("id", "size", "d1", "d2"), "digests")
+    dropped(rows)
+    rows = slim
 
     # frequent shingles, and prefixes
     counts = reps.select(F.explode("part").alias("x")).groupBy("x").agg(F.count("*").alias("count")).filter(F.col("count") > FREQUENT)
@@ -263,6 +269,8 @@ def similarity_classes(
     posting = posting.withColumn("_before", F.lag("id").over(near)).withColumn("_after", F.lead("id").over(near))
     posting = posting.filter(F.col("_before").isNotNull() | F.col("_after").isNotNull()).drop("_before", "_after")
     index = staged(posting.withColumn("block", block), "index")
+    dropped(first, whole, reps)
+    reps = bitmaps
 
     # families around the leaders of blocks
     leader = index.groupBy("x", "block").agg(F.min(F.struct("size", "id")).alias("lead"))
@@ -273,12 +281,12 @@ def similarity_classes(
     star = star.groupBy("id", "below").agg(F.max_by("a", F.struct("lists", -F.col("a"))).alias("a"))
     star = staged(star.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct(), "star")
     enough = 100 * F.col("overlap") >= percent * (F.col("a_size") + F.col("b_size") - F.col("overlap"))
-    found = staged(_overlaps(star, reps, base, n, lower, percent).filter(enough), "found")
-    families = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    families = staged(families, "families")
+    found = _overlaps(star, reps, base, n, lower, percent).filter(enough)
+    families = staged(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "families")
 
     # lists of one family need nothing more; in others, sets outside the list's largest family are compared with its head
     member = staged(_mixed(index, families), "members")
+    dropped(index)
     for _ in range(JOIN_ROUNDS):
         sizes = member.groupBy("x", "family").agg(F.count("*").alias("n"))
         largest = sizes.groupBy("x").agg(F.max_by("family", F.struct("n", -F.col("family"))).alias("head"))
@@ -286,21 +294,32 @@ def similarity_classes(
         joining = joining.groupBy("id").agg(F.max_by("head", F.struct("lists", -F.col("head"))).alias("head"))
         joining = joining.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).join(star, ["a", "b"], "left_anti")
         joining = staged(joining.distinct(), "joining")
-        new = staged(_overlaps(joining, reps, base, n, lower, percent).filter(enough), "found")
+        if joining.isEmpty():
+            break
+        new = _overlaps(joining, reps, base, n, lower, percent).filter(enough)
         star, found = star.unionByName(joining), found.unionByName(new)
         if new.isEmpty():
             break
         families = staged(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "families")
-        member = staged(_mixed(member.drop("family"), families), "members")
+        narrower = staged(_mixed(member.drop("family"), families), "members")
+        dropped(member)
+        member = narrower
 
     # pairs across families
-    left = member.select("x", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"), F.col("family").alias("fa"), "block")
-    left = left.select("*", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("near"))
-    right = member.select("x", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("pos").alias("pb"), F.col("family").alias("fb"), F.col("block").alias("near"))
+    t = percent / 100
+    step = F.least(F.floor(F.col("pos") * F.lit(STEPS / (1 - t)) / F.col("size")), F.lit(STEPS - 1)) if percent < 100 else F.lit(0)
+    member = member.withColumn("step", step.cast("int"))
+    # the greatest size in a block that can be as similar, and the steps that it may reach
+    most = lambda o: F.least(F.pow(F.lit(1 / t), F.col("block") + o + 1), F.col("size") / F.lit(t))
+    reached = [(o, k, F.lit(k * (1 - t) * (1 + t) / STEPS - 1e-9) <= 1 - F.lit(t) * F.col("size") / most(o)) for o in (0, 1) for k in range(STEPS)]
+    near = F.filter(F.array(*(F.when(fits, F.struct((F.col("block") + o).alias("near"), F.lit(k).alias("step"))) for o, k, fits in reached)), lambda b: b.isNotNull())
+    left = member.filter(F.col("pos") <= F.col("size") - _needed(F.col("size"), F.col("size"), percent))
+    left = left.select("x", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"), F.col("family").alias("fa"), F.inline(near))
+    right = member.select("x", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("pos").alias("pb"), F.col("family").alias("fb"), F.col("block").alias("near"), "step")
     bound = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= _needed(F.col("sa"), F.col("sb"), percent)
     ahead = (F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))
     fits = (F.col("fa") != F.col("fb")) & ahead & (100 * F.col("sa") >= percent * F.col("sb")) & bound
-    cross = left.join(right, ["x", "near"]).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cross = left.join(right, ["x", "near", "step"]).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cross = cross.join(star, ["a", "b"], "left_anti")
     # a set's overlap with its pivot, and so what it has beyond it
     pivots = found.select(F.col("b").alias("id"), F.col("a").alias("pivot"), (F.col("b_size") - F.col("overlap")).alias("beyond"))
@@ -309,17 +328,19 @@ def similarity_classes(
         of = pivots.select(F.col("id").alias(side), F.col("pivot").alias(f"{side}_pivot"), F.col("beyond").alias(f"{side}_beyond"))
         cross = cross.join(of, side, "left").withColumn(f"{side}_pivot", F.coalesce(f"{side}_pivot", side)).withColumn(f"{side}_beyond", F.coalesce(f"{side}_beyond", F.lit(0)))
     cross = cross.withColumn("u", F.least("a_pivot", "b_pivot")).withColumn("v", F.greatest("a_pivot", "b_pivot"))
+    # bitmaps bound what is left
     for side in ("a", "b"):
         cross = cross.join(reps.select(F.col("id").alias(side), F.col("size").alias(f"{side}_size"), F.col("bitmap").alias(f"{side}_bitmap")), side)
     cross = staged(cross.filter(_may_link(percent)).drop("a_bitmap", "b_bitmap"), "cross")
     heads = cross.filter("(a <> a_pivot or b <> b_pivot) and u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
-    heads = staged(_overlaps(heads, reps, base, n, lower, percent, bitmaps=False).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("overlap").alias("met")), "heads")
+    heads = _overlaps(heads, reps, base, n, lower, percent, bitmaps=False).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("overlap").alias("met"))
     left_over = cross.join(heads, ["u", "v"], "left").filter(
         F.col("met").isNull() | (F.col("met") + F.col("a_beyond") + F.col("b_beyond") >= _needed(F.col("a_size"), F.col("b_size"), percent))
     )
     more = _overlaps(left_over.select("a", "b"), reps, base, n, lower, percent).filter(enough)
     links = found.select("a", "b").unionByName(more.select("a", "b"))
     groups = staged(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
+    dropped(member, bitmaps)
 
     named = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("size", "d1", "d2", F.coalesce("component", "rep").alias("component_id"), "n_copies")
     out = rows.select("id", "size", "d1", "d2").join(named, ["size", "d1", "d2"], "left")

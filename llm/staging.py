@@ -1,21 +1,29 @@
-"""Cutting lineage through tables in the folder that the cluster shares."""
+"""Cutting lineage through tables in the folder that the cluster shares, and bounds of what tasks and broadcasts hold."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a narrow table (a few longs) up to which a side is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes (rows times the width of a row) up to which a side is broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 8 << 20
+#: Bytes of an Arrow batch that a Python worker is sent at once.
+ARROW_BYTES = 4 << 20
+
+#: Bytes of a value of fixed width.
+_WIDTHS = {"bigint": 8, "double": 8, "timestamp": 8, "int": 4, "float": 4, "date": 4, "smallint": 2, "tinyint": 1, "boolean": 1}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where the setting is missing (tests)."""
+    """The folder in ``spark.checkpoint.dir``, which all executors must share; without one, a new folder if Spark is one local process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -26,17 +34,33 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def by_bytes(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes too, so that long texts don't fill a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(ARROW_BYTES))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet below the shared folder and read back.
 
     Later stages reread the files, so a lost executor costs the rows in flight
     and never the stages before.
     """
+    by_bytes(df.sparkSession)
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A staged narrow table, marked for broadcast if its counted rows are at most ``most``."""
-    return F.broadcast(df) if df.count() <= most else df
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing will read again."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A staged table, marked for broadcast if it has columns of fixed width only and at most ``most`` bytes of them."""
+    widths = [_WIDTHS.get(f.dataType.simpleString()) for f in df.schema]
+    return F.broadcast(df) if None not in widths and df.count() * sum(widths) <= most else df

@@ -194,8 +194,8 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col
     query_kind = queries.schema[id_col].dataType.simpleString()
     base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     asked = queries.select(queries[id_col].alias("query"), queries[text_col].alias("text")).filter("query is not null and text is not null")
-    asked = staged(asked.mapInArrow(_query_terms, f"query {query_kind}, term bigint").distinct(), "query-terms")
-    counted = staged(base.select("text").mapInArrow(_counts, "term bigint, df bigint, words bigint"), "counts")
+    asked = staged(asked.mapInArrow(textkit.tidy(_query_terms), f"query {query_kind}, term bigint").distinct(), "query-terms")
+    counted = staged(base.select("text").mapInArrow(textkit.tidy(_counts), "term bigint, df bigint, words bigint"), "counts")
     rows, words = counted.filter("term is null").agg(F.sum("df"), F.sum("words")).first()
     schema = f"query {query_kind}, id {kind}, score double"
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
@@ -222,7 +222,7 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col
                 part = base.filter((mark >= began) & (mark < upto))
                 if upto < PARTS:  # whole shards, not the shreds of all tasks
                     part = part.repartition(-(-rows * (upto - began) // (PARTS * TASK_ROWS)))
-                found = part.mapInArrow(_answers(held, average, top), schema)
+                found = part.mapInArrow(textkit.tidy(_answers(held, average, top)), schema)
                 found = found if kept is None else kept.drop("rank").unionByName(found)
                 kept = staged(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top), "best")
                 began = upto

@@ -40,11 +40,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Bytes of a word from which on it is merged by a heap.
 LONG_WORD = 128
 #: Pieces and words remembered per worker before either memory starts anew.
-MEMORY_PIECES = 300_000
+MEMORY_PIECES = 100_000
 #: Cells of the arrays in which words are merged together.
 ROW_CELLS = 1 << 19
 #: Text bytes per batch handed back to Spark.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 _NONE = 1 << 60
 
@@ -275,5 +275,5 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         v.by_word, v.by_piece = {}, {}  # the worker may serve other operators next
 
     chosen = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    out = chosen.mapInArrow(run, f"id {kind}, ids binary, n_tokens bigint, decoded string")
+    out = chosen.mapInArrow(textkit.tidy(run), f"id {kind}, ids binary, n_tokens bigint, decoded string")
     return out.withColumnRenamed("id", id_col)

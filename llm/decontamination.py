@@ -42,7 +42,7 @@ SIEVE_BITS = 23
 #: Shared grams counted at a time, cells of the arrays in which bands are aligned together, and bytes of a slice of documents.
 HITS = 1 << 21
 CELLS = 1 << 16
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _CODE = np.arange(256, dtype=np.uint8)
@@ -290,7 +290,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         ["id", "item", "begin", "end", "n_edits"],
                     )
 
-        found = base.mapInArrow(run, schema)
+        found = base.mapInArrow(textkit.tidy(run), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)

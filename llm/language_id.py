@@ -194,7 +194,7 @@ def learn(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string())], ["lang", "word"])
 
     by_bytes(docs.sparkSession)
-    words = bounded(known, "lang", "id", per_language).select("lang", "text").mapInArrow(split, "lang string, word string")
+    words = bounded(known, "lang", "id", per_language).select("lang", "text").mapInArrow(textkit.tidy(split), "lang string, word string")
     words = staged(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     languages = sorted(r.lang for r in words.select("lang").distinct().collect())
     size = len(pieces(path))
@@ -215,7 +215,7 @@ def learn(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             which, piece = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(piece, pa.int64()), pa.array(total[which, piece])], ["lang", "piece", "uses"])
 
-        summed = words.mapInArrow(uses, "lang bigint, piece bigint, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toPandas()
+        summed = words.mapInArrow(textkit.tidy(uses), "lang bigint, piece bigint, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toPandas()
         counts = np.zeros((size, len(languages)))
         counts[summed["piece"], summed["lang"]] = summed["uses"]
         table = _table(counts)
@@ -266,7 +266,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     share.append(float(total[best] / total.sum()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(share, pa.float64())], ["id", "lang_pred", "score"])
 
-    return chosen.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", "row" if carry else id_col)
+    return chosen.mapInArrow(textkit.tidy(run), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", "row" if carry else id_col)
 
 
 def identify(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:

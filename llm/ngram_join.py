@@ -206,7 +206,7 @@ def _overlaps(pairs: DataFrame, reps: DataFrame, base: DataFrame, n: int, lower:
     pairs = staged(pairs.drop("a_bitmap", "b_bitmap"), "pairs")
     ids = staged(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     kind = base.schema["id"].dataType.simpleString()
-    sets = staged(base.join(sized(ids), "id", "left_semi").mapInArrow(_set_rows(n, lower), f"id {kind}, shingles array<bigint>"), "sets")
+    sets = staged(base.join(sized(ids), "id", "left_semi").mapInArrow(textkit.tidy(_set_rows(n, lower)), f"id {kind}, shingles array<bigint>"), "sets")
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("a_set")), "a")
     joined = joined.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("b_set")), "b")
     out = staged(joined.withColumn("overlap", F.size(F.array_intersect("a_set", "b_set")).cast("long")).drop("a_set", "b_set"), "overlaps")
@@ -235,7 +235,7 @@ def similarity_classes(
     """
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    rows = base.mapInArrow(_classes_rows(n, lower), f"id {kind}, size bigint, d1 bigint, d2 bigint, part array<bigint>, bitmap array<bigint>")
+    rows = base.mapInArrow(textkit.tidy(_classes_rows(n, lower)), f"id {kind}, size bigint, d1 bigint, d2 bigint, part array<bigint>, bitmap array<bigint>")
     rows = staged(rows, "sets")
     classes = staged(rows.filter("size > 0").groupBy("size", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")), "classes")
     own = classes.filter("rep is not null").select(F.col("rep").alias("id"))
@@ -249,9 +249,9 @@ def similarity_classes(
     counts = reps.select(F.explode("part").alias("x")).groupBy("x").agg(F.count("*").alias("count")).filter(F.col("count") > FREQUENT)
     frequent, many = _frequent(staged(counts, "counts"))
     schema = f"id {kind}, size bigint, prefix array<bigint>"
-    first = staged(reps.select("id", "size", "part").mapInArrow(_prefix_rows(frequent, many, percent), schema), "prefixes")
+    first = staged(reps.select("id", "size", "part").mapInArrow(textkit.tidy(_prefix_rows(frequent, many, percent)), schema), "prefixes")
     short = sized(staged(first.filter("prefix is null").select("id"), "short"))
-    whole = staged(base.join(short, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_set_rows(n, lower), f"id {kind}, shingles array<bigint>"), "whole")
+    whole = staged(base.join(short, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(textkit.tidy(_set_rows(n, lower)), f"id {kind}, shingles array<bigint>"), "whole")
     high = whole.select(F.explode("shingles").alias("x")).unionByName(reps.filter(F.col("size") <= SMALL).select(F.explode("part").alias("x"))).filter(F.col("x") >= int(_LOW))
     counts = high.groupBy("x").agg(F.count("*").alias("count")).filter(F.col("count") > FREQUENT)
     frequent_high, many_high = _frequent(staged(counts, "counts"))
@@ -259,7 +259,7 @@ def similarity_classes(
     frequent, many = np.concatenate([frequent[low], frequent_high]), np.concatenate([many[low], many_high])
     small = reps.filter(F.col("size") <= SMALL).select("id", "size", "part")
     again = small.unionByName(whole.select("id", F.size("shingles").cast("bigint").alias("size"), F.col("shingles").alias("part")))
-    second = again.mapInArrow(_prefix_rows(frequent, many, percent), schema)
+    second = again.mapInArrow(textkit.tidy(_prefix_rows(frequent, many, percent)), schema)
     prefixes = first.filter(F.col("prefix").isNotNull() & (F.col("size") > SMALL)).unionByName(second)
 
     # the index: lists of two sets or more, cut in blocks by size

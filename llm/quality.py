@@ -176,7 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo), *lists], ["id", "label", "index", "weight"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = rows.select("id", "text", "chars", "label").mapInArrow(run, f"id {kind}, label int, index array<int>, weight array<float>").toArrow().sort_by("id").combine_chunks()
+    found = rows.select("id", "text", "chars", "label").mapInArrow(textkit.tidy(run), f"id {kind}, label int, index array<int>, weight array<float>").toArrow().sort_by("id").combine_chunks()
     label = found["label"].to_numpy().astype(np.float64)
     if not len(label):
         m = Machine(0.0)
@@ -202,4 +202,4 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 s = held.value.scores(*features(batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo).to_numpy()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(s.astype(np.float64)), pa.array((s >= KEEP_AT).astype(np.int32))], ["id", "score", "predicted"])
 
-    return _columns(docs, id_col, text_col, chars_col).mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    return _columns(docs, id_col, text_col, chars_col).mapInArrow(textkit.tidy(run), f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)

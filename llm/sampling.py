@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from llm.staging import sized, staged
+
 
 def held_out(id_col: str) -> Column:
     """True for the fold that no learning may read: crc32 of the id as text, modulo 5, is 0."""
@@ -18,6 +20,6 @@ def bounded(rows: DataFrame, label: str, id_col: str, per_label: int) -> DataFra
     however large the table is; counts join back by label, and none comes to the driver.
     Rows without a label are left out.
     """
-    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    counts = sized(staged(rows.groupBy(label).agg(F.count("*").alias("_n")), "labels"))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30))
     return rows.join(counts, label).filter(draw * F.col("_n") < F.lit((1 << 30) * per_label)).select(rows.columns)

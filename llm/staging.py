@@ -61,6 +61,10 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """A staged table, marked for broadcast if it has columns of fixed width only and at most ``most`` bytes of them."""
-    widths = [_WIDTHS.get(f.dataType.simpleString()) for f in df.schema]
-    return F.broadcast(df) if None not in widths and df.count() * sum(widths) <= most else df
+    """A staged table, marked for broadcast if it has numbers and strings only and they take at most ``most`` bytes."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    if not all(k in _WIDTHS or k == "string" for k in kinds.values()):
+        return df
+    texts = [F.coalesce(F.sum(F.octet_length(f"`{c}`")), F.lit(0)) for c, k in kinds.items() if k == "string"]
+    n, *lengths = df.agg(F.count("*"), *texts).first()
+    return F.broadcast(df) if n * sum(_WIDTHS.get(k, 16) for k in kinds.values()) + sum(lengths) <= most else df

@@ -40,7 +40,7 @@ WIDTH = 50
 BLOCK = 1 << 16
 #: What makes a word's value for the second hash.
 SECOND = np.uint64(0xA0761D6478BD642F)
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def _anchors(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,19 +166,19 @@ def removed_intervals(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("key"), docs[text_col].alias("text"))
     base = base.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    anchors = staged(base.mapInArrow(_anchor_rows(width), f"hash bigint, id {kind}, key bigint, lo int, hi int"), "anchors")
+    anchors = staged(base.mapInArrow(textkit.tidy(_anchor_rows(width)), f"hash bigint, id {kind}, key bigint, lo int, hi int"), "anchors")
     shared = anchors.groupBy("hash").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("hash")
     shared = staged(shared, "shared-anchors")
     ranges = anchors.join(sized(shared), "hash", "left_semi").groupBy("id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     ranges = staged(ranges, "ranges")
     dropped(anchors, shared)
     near = base.join(sized(ranges.select("id", "key")), ["id", "key"], "left_semi").join(ranges, ["id", "key"])
-    windows = near.select("id", "key", "text", "ranges").mapInArrow(_window_rows(width), f"hash bigint, check int, id {kind}, key bigint, pos int")
+    windows = near.select("id", "key", "text", "ranges").mapInArrow(textkit.tidy(_window_rows(width)), f"hash bigint, check int, id {kind}, key bigint, pos int")
     windows = staged(windows, "windows")
     owner = windows.groupBy("hash", "check").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").select("hash", "check", "owner")
     owner = staged(owner, "owners")
     gone = windows.join(sized(owner), ["hash", "check"]).filter("id > owner").groupBy("id", "key").agg(F.collect_set("pos").alias("positions"))
-    out = staged(gone.mapInArrow(_intervals(width), f"id {kind}, key bigint, removed array<struct<begin:int,end:int>>"), "removed")
+    out = staged(gone.mapInArrow(textkit.tidy(_intervals(width)), f"id {kind}, key bigint, removed array<struct<begin:int,end:int>>"), "removed")
     dropped(ranges, windows, owner)
     return out
 
@@ -194,5 +194,5 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     base = docs.select(out.alias("out"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = base.schema["out"].dataType.simpleString()
     joined = base.join(removed, (F.col("id") == F.col("r_id")) & (F.xxhash64("text") == F.col("r_key")), "left").select("out", "text", "removed")
-    out = joined.mapInArrow(_kept, f"id {kind}, n_words bigint, n_removed bigint, removed array<struct<begin:int,end:int>>, kept_text string")
+    out = joined.mapInArrow(textkit.tidy(_kept), f"id {kind}, n_words bigint, n_removed bigint, removed array<struct<begin:int,end:int>>, kept_text string")
     return out.withColumnRenamed("id", "row" if carry else id_col)

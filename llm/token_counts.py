@@ -165,4 +165,4 @@ def token_counts(
                 )
 
     chosen = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return chosen.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint").withColumnRenamed("id", id_col)
+    return chosen.mapInArrow(textkit.tidy(run), f"id {kind}, n_bytes bigint, n_tokens bigint").withColumnRenamed("id", id_col)

@@ -27,6 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from llm import textkit
 from llm.staging import by_bytes, shared_path, staged
 
 #: Payloads below this size (bytes) are always responses.
@@ -185,7 +186,7 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
         files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content")
     except AnalysisException:  # an archive without records has no folder
         return spark.createDataFrame([], _SCHEMA)
-    return files.mapInArrow(run, _SCHEMA)
+    return files.mapInArrow(textkit.tidy(run), _SCHEMA)
 
 
 def verdicts(headers: DataFrame, id_type: str, least_bytes: int = LEAST_BYTES) -> DataFrame:

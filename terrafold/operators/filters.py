@@ -229,42 +229,113 @@ def with_search_text(df: DataFrame, types: dict[str, str] | None = None, now: Co
 # row formats
 
 
-_DETAIL = re.compile(r"\s*(?:(?P<number>\d+(?:\.\d+)?)|(?P<name>[A-Za-z_]\w*)|(?P<text>'[^']*')|(?P<op>[-+*/()?:]))")
+_DETAIL = re.compile(r"\s*(?:(?P<number>\d+(?:\.\d+)?)|(?P<name>[A-Za-z_]\w*)|(?P<text>'[^']*')|(?P<op>[=!]==?|&&|\|\||[<>]=?|[-+*/()?:!]))")
+#: Binary operators from the loosest to the tightest.
+_LEVELS = (("||",), ("&&",), ("==", "===", "!=", "!=="), ("<", "<=", ">", ">="), ("+", "-"), ("*", "/"))
+
+
+class _Detail:
+    """Reads an expression to (kind, column); kind is number, truth or text."""
+
+    def __init__(self, tokens: list[tuple[str, str]], columns: list[str]):
+        self.tokens, self.columns, self.at = tokens, columns, 0
+
+    def take(self, *ops: str) -> str | None:
+        if self.at < len(self.tokens) and self.tokens[self.at][0] == "op" and self.tokens[self.at][1] in ops:
+            self.at += 1
+            return self.tokens[self.at - 1][1]
+        return None
+
+    def need(self, op: str) -> None:
+        if not self.take(op):
+            raise ValueError(f"{op} is missing")
+
+    @staticmethod
+    def truth(x: tuple[str, Column]) -> Column:
+        kind, c = x
+        return F.coalesce(c if kind == "truth" else (c != "") if kind == "text" else (c != 0) & ~F.isnan(c), F.lit(False))
+
+    @staticmethod
+    def number(x: tuple[str, Column]) -> Column:
+        return x[1].cast("int").cast("double") if x[0] == "truth" else x[1].try_cast("double") if x[0] == "text" else x[1]
+
+    def choice(self) -> tuple[str, Column]:
+        test = self.binary(0)
+        if not self.take("?"):
+            return test
+        yes = self.choice()
+        self.need(":")
+        no = self.choice()
+        if yes[0] != no[0]:  # one of them is no number
+            yes, no = (("number", F.lit(0.0)) if x[0] == "truth" else x for x in (yes, no))
+            if yes[0] != no[0]:
+                raise ValueError("a number or a text")
+        return yes[0], F.when(self.truth(test), yes[1]).otherwise(no[1])
+
+    def binary(self, level: int) -> tuple[str, Column]:
+        if level == len(_LEVELS):
+            return self.unary()
+        left = self.binary(level + 1)
+        while op := self.take(*_LEVELS[level]):
+            right = self.binary(level + 1)
+            if op in ("||", "&&"):
+                a, b = self.truth(left), self.truth(right)
+                left = ("truth", a | b if op == "||" else a & b)
+                continue
+            same = left[0] == right[0] == "text"
+            a, b = (left[1], right[1]) if same else (self.number(left), self.number(right))
+            if same and op == "+":
+                left = ("text", F.concat(a, b))
+            elif level < 4:
+                left = ("truth", {"==": a == b, "=": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op[:2]])
+            else:
+                a, b = self.number(left), self.number(right)
+                left = ("number", a + b if op == "+" else a - b if op == "-" else a * b if op == "*" else F.when(b != 0, a / b))
+        return left
+
+    def unary(self) -> tuple[str, Column]:
+        if self.take("!"):
+            return "truth", ~self.truth(self.unary())
+        if self.take("-"):
+            return "number", -self.number(self.unary())
+        if self.take("+"):
+            return "number", self.number(self.unary())
+        if self.take("("):
+            inner = self.choice()
+            self.need(")")
+            return inner
+        kind, value = self.tokens[self.at]
+        self.at += 1
+        if kind == "number":
+            return "number", F.lit(float(value))
+        if kind == "text":
+            return "text", F.lit(value[1:-1])
+        if kind != "name" or value not in self.columns:
+            raise ValueError(value)
+        return "number", F.col(f"`{value}`").cast("double")
 
 
 def detail(expression: str, columns: list[str]) -> Column:
-    """``=Dem / (Dem + Rep)`` over numeric columns; unknown names, errors and results that are no number are 0.
+    """``=Dem / (Dem + Rep)`` over numeric columns, with comparisons, ``&& || !`` and ``a ? b : c``.
 
-    Only numbers, names, ``+ - * / ( )`` and quoted texts are let through to SQL.
+    Unknown names, errors and results that are no number are 0, as is what a divisor of 0 leads to.
     """
-    out, text = [], expression.lstrip("=")
-    at = 0
+    tokens, text, at = [], expression.strip().removeprefix("="), 0
     while at < len(text.rstrip()):
         m = _DETAIL.match(text, at)
-        if m is None or m["op"] in ("?", ":"):
+        if m is None:
             return F.lit(0.0)
+        tokens.append((m.lastgroup, m[m.lastgroup]))
         at = m.end()
-        if m["name"]:
-            if m["name"] not in columns:
-                return F.lit(0.0)
-            out.append(f"CAST(`{m['name']}` AS DOUBLE)")
-        elif m["number"]:
-            out.append(f"CAST({m['number']} AS DOUBLE)")
-        else:
-            out.append(m["op"] or m["text"])
-    for k in [k for k, x in enumerate(out[:-1]) if x == "/"]:  # a divisor of 0 gives null, then 0
-        j, depth = k + 1, 0
-        while j < len(out) - 1 and out[j] in "+-":
-            j += 1
-        while j < len(out):
-            depth += (out[j][0] == "(") - out[j].count(")") * (out[j][0] == ")")
-            if depth <= 0:
-                break
-            j += 1
-        out[k + 1] = f"nullif({out[k + 1]}"
-        out[min(j, len(out) - 1)] += ", 0.0D)"
-    sql = " ".join(out)
-    return F.coalesce(F.nanvl(F.expr(sql).cast("double"), F.lit(0.0)), F.lit(0.0))
+    reader = _Detail(tokens, columns)
+    try:
+        kind, out = reader.choice()
+    except (ValueError, IndexError):
+        return F.lit(0.0)
+    if kind == "truth" or reader.at < len(tokens):
+        return F.lit(0.0)
+    out = out.try_cast("double") if kind == "text" else out
+    return F.coalesce(F.nanvl(out, F.lit(0.0)), F.lit(0.0))
 
 
 def row_total(df: DataFrame, columns: list[str], name: str = "Total") -> DataFrame:
@@ -278,13 +349,18 @@ def row_total(df: DataFrame, columns: list[str], name: str = "Total") -> DataFra
 
 
 def session_mode(user: str, now: Column) -> dict[str, Column]:
-    """Predicates over (createdBy, published, deleted, modifyTime) by mode."""
-    mine, gone = F.col("createdBy") == user, F.coalesce(F.col("deleted"), F.lit(False))
+    """Predicates over (createdBy, published, deleted, modifyTime) by mode.
+
+    Trash, recent and owned sessions are the user's own; a session without an owner is nobody's, and one
+    without a modify time counts as recent. Public and shared ones may be deleted.
+    """
+    mine, gone = F.coalesce(F.col("createdBy") == user, F.lit(False)), F.coalesce(F.col("deleted"), F.lit(False))
+    fresh = F.col("modifyTime").isNull() | (F.col("modifyTime") > now - F.expr("INTERVAL 7 DAYS"))
     return {
-        "public": F.col("published").isNotNull() & (F.col("published") != "") & ~gone,
-        "shared": ~mine & ~gone,
+        "public": F.col("published").isNotNull(),
+        "shared": ~mine,
         "trash": mine & gone,
-        "recent": ~gone & (F.col("modifyTime") > now - F.expr("INTERVAL 7 DAYS")),
+        "recent": mine & ~gone & fresh,
         "owned": mine & ~gone,
     }
 

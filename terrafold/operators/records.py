@@ -20,7 +20,8 @@ def _leaves(schema: T.StructType, path: tuple[str, ...] = ()) -> list[tuple[tupl
 
 def accumulate(df: DataFrame, keys: list[str], order: str, record: str = "rec") -> DataFrame:
     """Merges the struct column ``record`` of each key: numbers add up, leaves named ``min`` and ``max`` keep
-    the least and greatest, other leaves the last non-null value by ``order``. One shuffle, combined before it."""
+    the least and greatest, other leaves the last value by ``order``. A null leaf is a missing property and overwrites
+    nothing. One shuffle, combined before it."""
     schema = df.schema[record].dataType
     aggregates: dict[tuple[str, ...], Column] = {}
     for path, kind in _leaves(schema):
@@ -158,9 +159,24 @@ def delta(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 #: Fixed value: name properties in order of preference.
-NAME_COLUMNS = ["name", "NAME", "Name", "NAMELSAD20", "NAMELSAD10", "NAMELSAD", "PRECINCT", "Precinct", "GEOID20", "GEOID10", "GEOID", "id"]
+NAME_COLUMNS = [
+    "name", "entry_name", "Name", "NAME", "NAMELSAD", "namelsad", "NAME10", "name10", "NAMELSAD10", "namelsad10",
+    "NAME20", "name20", "NAMELSAD20", "namelsad20", "NAME30", "name30", "NAMELSAD30", "namelsad30",
+]
+#: Fixed value: words that a name does without, the first of each, in this order.
+NAME_NOISE = ["Voting Districts", "Precinct", "Voting District"]
 
 
 def display_name(columns: list[str]) -> Column:
-    """The first name column that is not null."""
-    return F.coalesce(*(F.col(c) for c in NAME_COLUMNS if c in columns))
+    """The first name property that a row has, without noise words; a block group's is its GEOID10 without the state.
+
+    Column names are told apart by case. Rows without a name show their id.
+    """
+    name = F.coalesce(*(F.col(f"`{c}`") for c in NAME_COLUMNS if c in columns), F.lit(None).cast("string"))
+    short = name
+    for noise in NAME_NOISE:
+        short = F.regexp_replace(short, f"^((?s:.*?)){noise}", "$1")
+    short = F.trim(short)
+    if "GEOID10" in columns:
+        short = F.when(name.startswith("Block Group") & F.col("GEOID10").isNotNull(), F.expr("substring(CAST(GEOID10 AS STRING), 3)")).otherwise(short)
+    return F.when(name.isNotNull(), short).otherwise(F.col("id").cast("string") if "id" in columns else F.lit(None).cast("string"))

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as G
@@ -19,53 +19,56 @@ from terrafold.functions import geometry as G
 
 def hull(points: np.ndarray) -> np.ndarray:
     """Corners of the convex hull, counter-clockwise, from the least point."""
-    p = np.unique(points, axis=0)
+    p = sorted(set(map(tuple, points.tolist())))
     if len(p) < 3:
-        return p
-    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-    chains = []
+        return np.array(p)
+    chains: list = []
     for order in (p, p[::-1]):
         chain: list = []
-        for q in order:
-            while len(chain) > 1 and turn(chain[-2], chain[-1], q) <= 0:
+        for x, y in order:
+            while len(chain) > 1:
+                (ax, ay), (bx, by) = chain[-2:]
+                if (bx - ax) * (y - ay) - (by - ay) * (x - ax) > 0:
+                    break
                 chain.pop()
-            chain.append(q)
+            chain.append((x, y))
         chains += chain[:-1]
     return np.array(chains)
 
 
-def enclosing_circle(points: np.ndarray) -> tuple[float, float, float]:
-    """Centre and radius of the smallest circle around points, from their hull, widening past the farthest point."""
-    p = hull(points)
+def _through(q: list) -> tuple[float, float, float]:
+    """The circle with two points as diameter, or through three."""
+    (ax, ay), (bx, by) = q[:2]
+    if len(q) == 2:
+        return (ax + bx) / 2, (ay + by) / 2, math.hypot(ax - bx, ay - by) / 2
+    bx, by, cx, cy = bx - ax, by - ay, q[2][0] - ax, q[2][1] - ay
+    d = 2 * (bx * cy - by * cx)
+    x, y = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
+    return ax + x, ay + y, math.hypot(x, y)
 
-    def through(q: list) -> tuple[float, float, float]:
-        if len(q) == 1:
-            return q[0][0], q[0][1], 0.0
-        if len(q) == 2:
-            c = (q[0] + q[1]) / 2
-            return c[0], c[1], math.dist(q[0], q[1]) / 2
-        m = 2 * np.array([q[1] - q[0], q[2] - q[0]])
-        c = np.linalg.solve(m, [q[1] @ q[1] - q[0] @ q[0], q[2] @ q[2] - q[0] @ q[0]])
-        return c[0], c[1], math.dist(c, q[0])
 
-    best = through([p[0]])
+def enclosing_circle(corners: np.ndarray) -> tuple[float, float, float]:
+    """Centre and radius of the smallest circle around the corners of a hull, widening past each point outside."""
+    p = corners.tolist()
+
+    def outside(q: list, circle: tuple[float, float, float]) -> bool:
+        return math.hypot(q[0] - circle[0], q[1] - circle[1]) > circle[2] * (1 + 1e-12)
+
+    best = (*p[0], 0.0)
     for i, a in enumerate(p):
-        if math.dist(a, best[:2]) <= best[2] * (1 + 1e-12):
-            continue
-        best = through([a])
-        for j, b in enumerate(p[:i]):
-            if math.dist(b, best[:2]) <= best[2] * (1 + 1e-12):
-                continue
-            best = through([a, b])
-            for c in p[:j]:
-                if math.dist(c, best[:2]) > best[2] * (1 + 1e-12):
-                    best = through([a, b, c])
-    return tuple(map(float, best))
-
-
-def least_rectangle(points: np.ndarray) -> tuple[float, float, float]:
-    """Area, longer and shorter side of the smallest rectangle around points; a side lies along a hull edge."""
-    p = hull(points)
+        if outside(a, best):
+            best = (*a, 0.0)
+            for j, b in enumerate(p[:i]):
+                if outside(b, best):
+                    best = _through([a, b])
+                    for c in p[:j]:
+                        if outside(c, best):
+                            best = _through([a, b, c])
+    return best
+
+
+def least_rectangle(p: np.ndarray) -> tuple[float, float, float]:
+    """Area, longer and shorter side of the smallest rectangle around a hull's corners; a side lies along an edge."""
     edges = np.roll(p, -1, axis=0) - p
     unit = edges / np.linalg.norm(edges, axis=1, keepdims=True)
     along = p @ unit.T
@@ -166,8 +169,14 @@ def simplified(features: DataFrame, tolerance: float = 1e-4, id_col: str = "id")
     return features.select(F.col(id_col).alias("id"), "g").mapInPandas(run, f"id {kind}, g {G.GEOMETRY}").withColumnRenamed("id", id_col)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows of few input splits dealt to all cores, as the work per row is much more than its shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def measured(features: DataFrame, id_col: str = "id", tolerance: float = 1e-4) -> DataFrame:
-    """(id, hull_points, hull_area, circle_x, circle_y, circle_r, box_area, box_length, box_width, kept_points), planar."""
+    """(id, hull, hull_points, hull_area, circle_x, circle_y, circle_r, box_area, box_length, box_width, kept_points), planar."""
     kind = features.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,17 +187,36 @@ def measured(features: DataFrame, id_col: str = "id", tolerance: float = 1e-4) -
                 h = hull(p)
                 x, y = h[:, 0], h[:, 1]
                 area = abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
-                out.append((key, len(h), area, *enclosing_circle(p), *least_rectangle(p), int(thin(p, tolerance).sum())))
-            yield pd.DataFrame(out, columns=["id", "hull_points", "hull_area", "circle_x", "circle_y", "circle_r", "box_area", "box_length", "box_width", "kept_points"])
+                out.append((key, [{"x": a, "y": b} for a, b in h.tolist()], len(h), area, *enclosing_circle(h), *least_rectangle(h), int(thin(p, tolerance).sum())))
+            yield pd.DataFrame(out, columns=["id", "hull", "hull_points", "hull_area", "circle_x", "circle_y", "circle_r", "box_area", "box_length", "box_width", "kept_points"])
 
     flat = features.select(F.col(id_col).alias("id"), G.exterior_points(F.col("g")).alias("p")).select("id", F.col("p.x").alias("xs"), F.col("p.y").alias("ys")).filter("size(xs) >= 3")
-    schema = f"id {kind}, hull_points int, hull_area double, circle_x double, circle_y double, circle_r double, box_area double, box_length double, box_width double, kept_points int"
-    return flat.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    schema = f"id {kind}, hull array<struct<x:double,y:double>>, hull_points int, hull_area double, circle_x double, circle_y double, circle_r double, box_area double, box_length double, box_width double, kept_points int"
+    return _spread(flat).mapInPandas(run, schema).withColumnRenamed("id", id_col)
+
+
+def circle_area(y: Column, r: Column) -> Column:
+    """Square metres of the circle of ``r`` degrees around latitude ``y`` as drawn on a map of longitude and latitude."""
+    t = F.radians(r)
+    return (G.EARTH_RADIUS**2 * math.pi) * t * t * F.cos(F.radians(y)) * (1 - t * t / 8 + t * t * t * t / 192)
 
 
 def compactness(features: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, reock, polsby_popper, convex_hull, schwartzberg, value): planar shares of the circle, perimeter and hull."""
-    base = features.select(id_col, G.area_flat(F.col("g")).alias("a"), G.perimeter_flat(F.col("g")).alias("l"))
-    out = base.join(measured(features, id_col).select(id_col, "hull_area", "circle_r"), id_col)
-    reock, popper = F.col("a") / (math.pi * F.pow("circle_r", 2)), 4 * math.pi * F.col("a") / F.pow("l", 2)
-    return out.select(id_col, reock.alias("reock"), popper.alias("polsby_popper"), (F.col("a") / F.col("hull_area")).alias("convex_hull"), F.sqrt(popper).alias("schwartzberg"), F.floor((reock + popper) / 2 * 100).alias("value"))
+    """(id, reock, polsby_popper, convex_hull, schwartzberg, value): a feature's area on the sphere as a share of its
+    smallest circle's, of the circle's with its perimeter, and of its hull's; its circle's perimeter as a share of its own.
+
+    Features without area or circle have 0 in all. Circles are true circles of degrees.
+    """
+    base = features.select(id_col, G.area(F.col("g")).alias("a"), G.perimeter(F.col("g")).alias("l"))
+    out = base.join(measured(features, id_col).select(id_col, "hull", "circle_y", "circle_r"), id_col)
+    round_to = lambda r: F.col("a") / circle_area(F.col("circle_y"), r)
+    reock, popper = round_to(F.col("circle_r")), round_to(F.col("l") / (2 * math.pi * G.METRES_PER_DEGREE))
+    shares = {
+        "reock": reock,
+        "polsby_popper": popper,
+        "convex_hull": F.col("a") / G.ring_area(F.col("hull")),
+        "schwartzberg": 2 * math.pi * F.sqrt(F.col("a") / math.pi) / F.col("l"),
+        "value": F.floor((reock + popper) / 2 * 100).cast("double"),
+    }
+    real = (F.col("a") > 0) & (F.col("circle_r") > 0)
+    return out.select(id_col, *(F.when(real, c).otherwise(0.0).alias(n) for n, c in shares.items()))

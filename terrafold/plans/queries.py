@@ -97,8 +97,29 @@ def detail_and_total(spark, d):
     return out.select("l_orderkey", "l_linenumber", F.floor(value * 100 + 0.123456).cast("double").alias("value"), F.round("Total", 4).alias("total"))
 
 
-@query(f"""SELECT o_orderkey, o_orderstatus = 'O' AND NOT d AS is_public, o_custkey % 7 <> 3 AND NOT d AS is_shared, o_custkey % 7 = 3 AND d AS is_trash,
-  NOT d AND o_orderdate > TIMESTAMP '{NOW}' - INTERVAL 7 DAY AS is_recent, o_custkey % 7 = 3 AND NOT d AS is_owned
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 AND l_discount <> 0 THEN floor(l_extendedprice / l_quantity * 100 + 0.123456) ELSE l_tax - 1 END AS value FROM lineitem""")
+def detail_conditional(spark, d):
+    line = table(spark, d, "lineitem")
+    value = filters.detail("=l_quantity > 25 && l_discount != 0 ? l_extendedprice / l_quantity : -1 + l_tax", line.columns)
+    return line.select("l_orderkey", "l_linenumber", F.when(value > 0, F.floor(value * 100 + 0.123456).cast("double")).otherwise(value).alias("value"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_custkey::VARCHAR WHEN 1 THEN substr('08' || c_custkey, 3)
+  WHEN 2 THEN trim(replace(c_name, 'Customer', '')) ELSE trim(c_mktsegment) END AS name FROM customer""")
+def display_names(spark, d):
+    c, k = table(spark, d, "customer"), F.col("c_custkey") % 4
+    rows = c.select(
+        "c_custkey",
+        F.col("c_custkey").cast("string").alias("id"),
+        F.when(k == 1, F.concat(F.lit("Block Group "), F.col("c_name"))).when(k == 2, F.concat(F.regexp_replace("c_name", "Customer", "Voting District"), F.lit(" "))).alias("NAME"),
+        F.when(k == 3, F.concat(F.lit("Precinct "), F.col("c_mktsegment"))).alias("NAMELSAD20"),
+        F.concat(F.lit("08"), F.col("c_custkey").cast("string")).alias("GEOID10"),
+    )
+    return rows.select("c_custkey", records.display_name(rows.columns).alias("name"))
+
+
+@query(f"""SELECT o_orderkey, o_orderstatus = 'O' AS is_public, o_custkey % 7 <> 3 AS is_shared, o_custkey % 7 = 3 AND d AS is_trash,
+  o_custkey % 7 = 3 AND NOT d AND o_orderdate > TIMESTAMP '{NOW}' - INTERVAL 7 DAY AS is_recent, o_custkey % 7 = 3 AND NOT d AS is_owned
   FROM (SELECT *, o_orderkey % 5 = 0 AS d FROM orders)""")
 def session_modes(spark, d):
     o = table(spark, d, "orders")
@@ -526,10 +547,15 @@ def shape_measures(spark, d):
     return m.select("id", "hull_points", F.round("hull_area", 6).alias("hull_area"), F.round("circle_r", 6).alias("circle_r"), F.round("box_area", 6).alias("box_area"), "kept_points")
 
 
-@query(f"SELECT id, round(4 * w * h / (pi() * (w * w + h * h)), 6) AS reock, round(pi() * w * h / (w + h) ** 2, 6) AS polsby_popper, 1.0::DOUBLE AS convex_hull FROM {_BOXES}")
+@query(f"""SELECT id, round(a / (z * cos(radians(y + h / 2)) * t ** 2 * (1 - t ** 2 / 8 + t ** 4 / 192)), 6) AS reock,
+  round(a / (z * cos(radians(y + h / 2)) * u ** 2 * (1 - u ** 2 / 8 + u ** 4 / 192)), 6) AS polsby_popper,
+  1.0::DOUBLE AS convex_hull, round(2 * sqrt(pi() * a) / l, 6) AS schwartzberg
+  FROM (SELECT *, pi() * 6371000.0 ** 2 AS z, radians(sqrt(w * w + h * h) / 2) AS t, radians(l / (2 * pi() * 111139.0)) AS u FROM (
+  SELECT *, abs(radians(w) * (sin(radians(y + h)) - sin(radians(y)))) * 6371000.0 ** 2 AS a,
+  2 * 6371000.0 * (radians(h) + asin(cos(radians(y)) * sin(radians(w / 2))) + asin(cos(radians(y + h)) * sin(radians(w / 2)))) AS l FROM {_BOXES}))""")
 def compactness(spark, d):
     c = shapes.compactness(order_boxes(spark, d))
-    return c.select("id", F.round("reock", 6).alias("reock"), F.round("polsby_popper", 6).alias("polsby_popper"), F.round("convex_hull", 6).alias("convex_hull"))
+    return c.select("id", F.round("reock", 6).alias("reock"), F.round("polsby_popper", 6).alias("polsby_popper"), F.round("convex_hull", 6).alias("convex_hull"), F.round("schwartzberg", 6).alias("schwartzberg"))
 
 
 @query(f"SELECT id FROM {_BOXES} WHERE x < -105 AND x + w > -115 AND y < 39 AND y + h > 33")

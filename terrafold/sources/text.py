@@ -69,7 +69,7 @@ def read_lines(spark: SparkSession, path: str, strict: bool = False) -> DataFram
 
 
 #: Fixed value: properties that may hold an id, in order of preference.
-ID_PROPERTIES = ["id", "GEOID20", "GEOID10", "GEOID", "GEOIDVTD", "CODE", "PRECINCT", "NAME"]
+ID_PROPERTIES = ["id", "GEOID", "GEOID10", "GEOID20", "GEOID30", "DISTRICT", "DISTRICTNO", "DISTRICTNAME"]
 
 
 def geometry_from_json(kind: Column, coordinates: Column) -> Column:
@@ -82,11 +82,19 @@ def geometry_from_json(kind: Column, coordinates: Column) -> Column:
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """(id, properties, geom_type, g, ord) of a FeatureCollection's polygons, rewound; features without geometry are left out.
 
-    The id is the first of the id properties that the feature has, else its position.
+    The collection's id property is the first of ``ID_PROPERTIES`` (as written or in lower case) that its first
+    feature has. Without one, or if its values are not there for all features or not unique, ids are positions.
     """
     schema = "features array<struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("features").alias("ord", "f"))
-    named = F.coalesce(*(F.try_element_at("f.properties", F.lit(p)) for p in ID_PROPERTIES), (F.col("ord") + 1).cast("string"))
+    files = spark.read.schema(schema).option("multiLine", True).json(path)
+    first = F.get("features", F.lit(0))["properties"]
+    spelled = [x for p in ID_PROPERTIES for x in dict.fromkeys((p, p.lower()))]
+    chosen = F.coalesce(*(F.when(F.map_contains_key(first, x), F.lit(x)) for x in spelled))
+    files = files.withColumn("ids", F.transform("features", lambda f: F.try_element_at(f["properties"], chosen)))
+    whole = (F.array_size(F.array_distinct(F.array_compact("ids"))) == F.size("ids")) & chosen.isNotNull()
+    rows = files.select(F.posexplode(F.arrays_zip("features", "ids")).alias("ord", "z"), whole.alias("whole"))
+    rows = rows.select("ord", F.col("z.features").alias("f"), F.when(F.col("whole"), F.col("z.ids")).alias("named"))
+    named = F.coalesce("named", (F.col("ord") + 1).cast("string"))
     out = rows.select(named.alias("id"), F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("geom_type"), geometry_from_json(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("g"), "ord")
     return out.filter("g is not null and properties is not null").withColumn("g", G.rewound(F.col("g")))
 

@@ -162,7 +162,14 @@ def test_geojson(spark, tmp_path):
         '{"type":"Feature","properties":{"x":"1"},"geometry":{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]]]}},{"type":"Feature","properties":{},"geometry":null}]}'
     )
     rows = {r.id: r.g for r in text.read_geojson(spark, str(tmp_path / "a.json")).collect()}
-    assert set(rows) == {"7", "2"} and [tuple(p) for p in rows["7"][0][0]] == [(0, 0), (1, 1), (0, 1), (0, 0)]
+    assert set(rows) == {"1", "2"} and [tuple(p) for p in rows["1"][0][0]] == [(0, 0), (1, 1), (0, 1), (0, 0)]
+    same = '{"features":[%s]}' % ",".join(
+        '{"type":"Feature","properties":{"district":"%s","GEOID30":null},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}}' % d for d in "ba"
+    )
+    (tmp_path / "c.json").write_text(same.replace(',"GEOID30":null', ""))
+    assert [r.id for r in text.read_geojson(spark, str(tmp_path / "c.json")).orderBy("ord").collect()] == ["b", "a"]
+    (tmp_path / "d.json").write_text(same)
+    assert [r.id for r in text.read_geojson(spark, str(tmp_path / "d.json")).orderBy("ord").collect()] == ["1", "2"]
     (tmp_path / "b.csv").write_text("a,b\n\n'c,d'|e\n")
     assert sorted(r.fields for r in text.read_lines(spark, str(tmp_path / "b.csv")).collect()) == [["a", "b"], ["c,d", "e"]]
 

@@ -66,7 +66,7 @@ def test_filter_is_pushed_as_one_filter(people):
 
 def test_detail(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 0.0), (None, 1.0)], "a double, b double")
-    for text, want in (("=a / b", [0.5, 0, 0]), ("=a / (b - b)", [0, 0, 0]), ("=2 * (a + b) / -b", [-3.0, 0, 0]), ("=a + nothing", [0, 0, 0]), ("=a; drop", [0, 0, 0]), ("='x'", None)):
+    for text, want in (("=a / b", [0.5, 0, 0]), ("=a / (b - b)", [0, 0, 0]), ("=2 * (a + b) / -b", [-3.0, 0, 0]), ("=a + nothing", [0, 0, 0]), ("=a; drop", [0, 0, 0]), ("=a > 2 ? b : a * 2", [2.0, 0, 0]), ("=(a) ? a : 7", [1.0, 3.0, 7.0]), ("=!b || a == 1 ? 1 : 2", [1.0, 1.0, 2.0]), ("=a > 1", [0, 0, 0]), ("=a ? 1", [0, 0, 0]), ("='x'", None)):
         if want is not None:
             assert [r[0] for r in df.select(filters.detail(text, df.columns)).collect()] == want
     assert [r.Total for r in filters.row_total(df, ["a", "b"]).collect()] == [3.0, 3.0, 1.0]
@@ -77,6 +77,8 @@ def test_sessions_and_access(spark):
     s = spark.createDataFrame(rows, "createdBy string, published string, deleted boolean, modifyTime string").withColumn("modifyTime", F.to_timestamp("modifyTime"))
     modes = filters.session_mode("me", F.to_timestamp(F.lit("2024-01-10")))
     assert {m: s.filter(c).count() for m, c in modes.items()} == {"public": 1, "shared": 1, "trash": 1, "recent": 1, "owned": 2}
+    odd = spark.createDataFrame([("me", None, None, None), (None, "", True, None)], "createdBy string, published string, deleted boolean, modifyTime timestamp")
+    assert {m: odd.filter(c).count() for m, c in modes.items()} == {"public": 1, "shared": 1, "trash": 0, "recent": 1, "owned": 1}
     entries = spark.createDataFrame([(1, ["u"], 1), (1, ["u", "v"], 2), (1, ["v"], 4), (2, [], 8)], "id int, userIDs array<string>, perm int")
     assert [tuple(r) for r in filters.access_map_permission(entries, ["id"], "u").collect()] == [(1, 3)]
     assert [r[0] for r in entries.select(filters.access_permission(F.struct("userIDs", "perm"), "u")).collect()] == [1, 2, 0, 8]

@@ -155,6 +155,19 @@ def bounds_center(a: Column) -> tuple[Column, Column]:
     return (a["left"] + a["right"]) / 2, (a["top"] + a["bottom"]) / 2
 
 
+def bounds_width(a: Column) -> Column:
+    return F.abs(a["right"] - a["left"])
+
+
+def bounds_height(a: Column) -> Column:
+    return F.abs(a["bottom"] - a["top"])
+
+
+def bounds_empty(a: Column) -> Column:
+    """Whether a box is missing or has no area."""
+    return a.isNull() | a["left"].isNull() | (bounds_area(a) == 0)
+
+
 def bounds_area(a: Column) -> Column:
     return area(box_polygon(a["left"], a["top"], a["right"], a["bottom"]))
 

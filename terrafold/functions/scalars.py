@@ -152,6 +152,27 @@ def is_empty(value: Column) -> Column:
     return value.isNull() | (F.size(value) == 0)
 
 
+def count_keys(m: Column) -> Column:
+    """Entries of a map; -1 for null."""
+    return F.when(m.isNull(), -1).otherwise(F.size(m))
+
+
+def nth_key(m: Column, n: int = 0) -> Column:
+    """The key of entry ``n`` in the map's order, the first for negative ``n``; null beyond the last."""
+    return F.get(F.map_keys(m), F.lit(max(n, 0)))
+
+
+def nth_value(m: Column, n: int = 0) -> Column:
+    """The value of entry ``n`` in the map's order, the first for negative ``n``; null beyond the last."""
+    return F.get(F.map_values(m), F.lit(max(n, 0)))
+
+
+def shallow_equal(a: Column, b: Column) -> Column:
+    """Whether two maps have the same keys with the same values; null equals null."""
+    entries = lambda m: F.array_sort(F.map_entries(m))
+    return entries(a).eqNullSafe(entries(b))
+
+
 def partial_equal(wanted: dict[str, object]) -> Column:
     """All named columns equal the given values; null equals null."""
     return reduce(and_, (F.col(k).eqNullSafe(F.lit(v)) for k, v in wanted.items()), F.lit(True))

@@ -32,6 +32,13 @@ def counter_state(edits: DataFrame) -> DataFrame:
     return live.groupBy("resource", "key").agg(F.sum("value").alias("value"))
 
 
+def counter_rebase(mine: DataFrame, prior: DataFrame, prior_is_service: bool) -> DataFrame:
+    """``mine`` after ``prior``: a key that ``prior`` deletes loses its edits, unless ``prior`` is the service's."""
+    if prior_is_service:
+        return mine
+    return mine.join(prior.filter("op = 'del'").select("resource", "key").distinct(), ["resource", "key"], "left_anti").select(mine.columns)
+
+
 def counter_composed(edits: DataFrame) -> DataFrame:
     """(resource, key, op, value) as edits compose: the first op of each key stays and all values add up."""
     return edits.groupBy("resource", "key").agg(F.min_by("op", "clock").alias("op"), F.sum(F.coalesce("value", F.lit(0.0))).alias("value"))

@@ -132,6 +132,39 @@ def op8_chat_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.reply_order(table(spark, sf_dir, "conversations"))
 
 
+def quoting_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies between messages that quote: of three turns the second quotes the first, the third quotes both, nested.
+
+    The given conversations quote nothing, so each message gets the quoted form of the
+    turns before it in front of its own text; all messages are in.
+    """
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    before = lambda k: c.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("text").alias(f"text_{k}"))
+    quote = lambda marks, text: F.concat(F.lit(marks), F.replace(text, F.lit("\n"), F.lit("\n" + marks)))
+    one, two = quote("> ", F.col("text_1")), quote(">> ", F.col("text_2"))
+    front = F.when(F.col("turn") % 3 == 1, one).when(F.col("turn") % 3 == 2, F.concat_ws("\n", two, one))
+    quoting = c.join(before(1), ["conv_id", "turn"], "left").join(before(2), ["conv_id", "turn"], "left")
+    quoting = quoting.withColumn("text", F.when(F.col("text_1").isNotNull() & front.isNotNull(), F.concat(front, F.lit("\n\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    return quotation.reply_order(quoting.drop("text_1", "text_2")).select("conv_id", "turn", "reply_to", "depth")
+
+
+QUOTING_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, trim(lower(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM conversations
+), p AS (
+  SELECT a.conv_id, a.turn, min(o.turn) AS reply_to
+  FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 JOIN c o ON o.conv_id = b.conv_id AND o.t = b.t
+  WHERE a.turn % 3 IN (1, 2) AND regexp_matches(b.t, '[\p{L}\p{N}]') GROUP BY ALL
+), l AS (
+  SELECT c.conv_id, c.turn, p.reply_to FROM c LEFT JOIN p USING (conv_id, turn)
+), r AS (
+  SELECT conv_id, turn, reply_to, 0 AS depth FROM l WHERE reply_to IS NULL
+  UNION ALL SELECT l.conv_id, l.turn, l.reply_to, r.depth + 1 FROM l JOIN r ON l.conv_id = r.conv_id AND l.reply_to = r.turn
+)
+SELECT conv_id, turn, reply_to, depth::INT AS depth FROM r
+"""
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents by BM25 for every document whose id is divisible by 50."""
     docs = table(spark, sf_dir, "documents")
@@ -176,6 +209,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_quotation": op8_chat_quotation,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
+    "quoting_turns": quoting_turns,
 }
 
 ORACLES: dict[str, str] = {
@@ -183,4 +217,5 @@ ORACLES: dict[str, str] = {
     "op4_warc_revisits": OP4_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op9_exact_top_k": OP9_SQL,
+    "quoting_turns": QUOTING_SQL,
 }

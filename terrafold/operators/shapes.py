@@ -169,8 +169,8 @@ def simplified(features: DataFrame, tolerance: float = 1e-4, id_col: str = "id")
     return features.select(F.col(id_col).alias("id"), "g").mapInPandas(run, f"id {kind}, g {G.GEOMETRY}").withColumnRenamed("id", id_col)
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Rows of few input splits dealt to all cores, as the work per row is much more than its shuffle."""
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with few input splits dealt to all cores, as the work per row is much more than its shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
@@ -192,7 +192,7 @@ def measured(features: DataFrame, id_col: str = "id", tolerance: float = 1e-4) -
 
     flat = features.select(F.col(id_col).alias("id"), G.exterior_points(F.col("g")).alias("p")).select("id", F.col("p.x").alias("xs"), F.col("p.y").alias("ys")).filter("size(xs) >= 3")
     schema = f"id {kind}, hull array<struct<x:double,y:double>>, hull_points int, hull_area double, circle_x double, circle_y double, circle_r double, box_area double, box_length double, box_width double, kept_points int"
-    return _spread(flat).mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    return spread(flat).mapInPandas(run, schema).withColumnRenamed("id", id_col)
 
 
 def circle_area(y: Column, r: Column) -> Column:

@@ -20,23 +20,22 @@ def with_cells(df: DataFrame, size: float, g: str = "g") -> DataFrame:
     return boxed.withColumn("cx", F.explode(_cells(F.col("bb.left"), F.col("bb.right"), size))).withColumn("cy", F.explode(_cells(F.col("bb.bottom"), F.col("bb.top"), size)))
 
 
-def points_in(points: DataFrame, features: DataFrame, size: float, point_id: str = "id", feature_id: str = "district") -> DataFrame:
-    """(point, feature) for points (id, x, y) inside features (id, g): an equi-join on grid cells, then the exact test.
+def points_in(points: DataFrame, features: DataFrame, size: float, point_id: str = "id", feature_id: str = "district", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(p, f, g) and the columns of features in ``carry`` for points (id, x, y) inside features (id, g): an equi-join on grid cells, then the exact test.
 
     A feature is cut into its cells before the join, so a cell's points meet only the
     features near them; Spark broadcasts the features if they are small, else shuffles both sides by cell.
     """
     placed = points.select(F.col(point_id).alias("p"), "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
-    parts = with_cells(features.select(F.col(feature_id).alias("f"), "g"), size)
+    parts = with_cells(features.select(F.col(feature_id).alias("f"), "g", *carry), size)
     near = (F.col("x") >= F.col("bb.left")) & (F.col("x") <= F.col("bb.right")) & (F.col("y") >= F.col("bb.bottom")) & (F.col("y") <= F.col("bb.top"))
-    return placed.join(parts, ["cx", "cy"]).filter(near & G.contains(F.col("g"), F.col("x"), F.col("y"))).select("p", "f", "g")
+    return placed.join(parts, ["cx", "cy"]).filter(near & G.contains(F.col("g"), F.col("x"), F.col("y"))).select("p", "f", "g", *carry)
 
 
 def assign_smallest(points: DataFrame, features: DataFrame, size: float, point_id: str = "id", feature_id: str = "district") -> DataFrame:
     """(point, feature): each point's smallest feature by area, the smaller id on ties; points outside all are left out."""
-    sized = features.withColumn("_a", G.area(F.col("g"))).select(feature_id, "_a")
-    met = points_in(points, features, size, point_id, feature_id).select("p", F.col("f").alias(feature_id)).join(sized, feature_id)
-    return met.groupBy(F.col("p").alias(point_id)).agg(F.min_by(feature_id, F.struct("_a", feature_id)).alias(feature_id))
+    met = points_in(points, features.withColumn("_a", G.area(F.col("g"))), size, point_id, feature_id, ("_a",))
+    return met.groupBy(F.col("p").alias(point_id)).agg(F.min_by("f", F.struct("_a", "f")).alias(feature_id))
 
 
 def select_box(features: DataFrame, left: float, top: float, right: float, bottom: float, mode: str) -> DataFrame:

@@ -435,7 +435,7 @@ def _least_areas(spark, d, boxes):
 @query(f"""WITH m AS (SELECT p.id, b.id AS district, abs(radians(w) * (sin(radians(y + h)) - sin(radians(y)))) AS a FROM {_POINTS} p, {_BOXES} b WHERE px > x AND px < x + w AND py > y AND py < y + h)
   SELECT id, round(min(a), 9) AS least FROM m GROUP BY 1""")
 def assign_smallest(spark, d):
-    return _least_areas(spark, d, order_boxes(spark, d))
+    return _least_areas(spark, d, shapes.spread(order_boxes(spark, d)))
 
 
 @query("""WITH c AS (SELECT n_nationkey AS k, n_nationkey % 5 AS i, n_nationkey // 5 AS j FROM nation), e AS (SELECT a.k, b.k AS o, 'n' || a.k AS id, 'n' || b.k AS neighbor FROM c a, c b WHERE abs(a.i - b.i) + abs(a.j - b.j) = 1),
@@ -536,7 +536,7 @@ def select_intersects(spark, d):
 
 @query(f"SELECT n AS a, id AS b FROM {_NATIONS}, {_BOXES} WHERE x < nx + 2 AND x + w > nx AND y < ny + 2 AND y + h > ny")
 def spatial_overlap_join(spark, d):
-    boxes = order_boxes(spark, d).withColumnRenamed("id", "b")
+    boxes = shapes.spread(order_boxes(spark, d)).withColumnRenamed("id", "b")
     return spatial.overlapping(nation_boxes(spark, d).withColumnRenamed("id", "a"), boxes, 1.0)
 
 
@@ -544,7 +544,7 @@ def spatial_overlap_join(spark, d):
   round(w * h + 4 - (least(x + w, nx + 2) - greatest(x, nx)) * (least(y + h, ny + 2) - greatest(y, ny)), 6) AS both
   FROM {_NATIONS}, {_BOXES} WHERE x < nx + 2 AND x + w > nx AND y < ny + 2 AND y + h > ny""")
 def intersection_areas(spark, d):
-    return _shared_areas(spark, d, order_boxes(spark, d))
+    return _shared_areas(spark, d, shapes.spread(order_boxes(spark, d)))
 
 
 def _shared_areas(spark, d, boxes):
@@ -702,7 +702,7 @@ def moved_points(spark, d):
 @query(f"SELECT id, round(w * h / 2, 6) AS area FROM {_BOXES}")
 def difference_areas(spark, d):
     """What a box keeps outside a copy of itself moved by half its width."""
-    b = order_boxes(spark, d).select("id", "g", G.bounds(F.col("g"), False).alias("b"))
+    b = shapes.spread(order_boxes(spark, d)).select("id", "g", G.bounds(F.col("g"), False).alias("b"))
     half = G.bounds_width(F.col("b")) / 2
     moved = G.map_points(F.col("g"), lambda x, y: (x + half, y))
     return b.select("id", F.round(G.difference_area(F.col("g"), moved), 6).alias("area"))

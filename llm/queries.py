@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bm25, bpe, decontamination, language_id, ngram_join, quality, quotation, sampling, substring_dedup, token_counts, warc
+from llm import (
+    bm25, bpe, decontamination, importance, language_id, ngram_join, quality, quotation, sampling, secret_scan, substring_dedup, token_counts, vector_codes, warc,
+)
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -198,6 +200,94 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight toward the benchmark's words, and the draw of a tenth of those with 20 words or more."""
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP11_SQL = r"""
+WITH crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS i))
+), d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM documents
+), q AS (
+  SELECT unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w
+  FROM benchmark
+), o AS (
+  SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY ALL
+), h AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), (2 * i + 1)::BIGINT, 2))::BIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) % 10000 AS k
+  FROM (SELECT w FROM o UNION SELECT w FROM q), crc
+), s AS (
+  SELECT k, sum(n) AS n FROM o JOIN h USING (w) GROUP BY k
+), t AS (
+  SELECT k, count(*) AS n FROM q JOIN h USING (w) GROUP BY k
+), g AS (
+  SELECT k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT DISTINCT k FROM h) LEFT JOIN s USING (k) LEFT JOIN t USING (k)
+), m AS (
+  SELECT doc_id, sum(n * gain) AS total FROM o JOIN h USING (w) JOIN g USING (k) GROUP BY doc_id
+), r AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_features, CASE WHEN len(ws) = 0 THEN 0 ELSE floor(total::DOUBLE / len(ws)) END::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise
+  FROM d LEFT JOIN m USING (doc_id)
+), x AS (
+  SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id) AS place FROM r
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= (SELECT count(*) * 10 // 100 FROM r WHERE n_features >= 20) THEN place END AS rank FROM x
+"""
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: fixed patterns, and stretches of high entropy that the allow-list doesn't explain."""
+    found = secret_scan.secrets(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.FIXED))
+    return found.select("doc_id", *(of(k).alias(f"n_{k}") for k in secret_scan.FIXED), F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's product code: 16 parts, 64 entries each, two rounds."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))[0]
+
+
+def _assigned(entries: str) -> str:
+    """SQL: each part's nearest entry (its distance times 64 plus the entry, at the least)."""
+    return f"SELECT vec_id, j, x, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + e) AS de FROM p JOIN {entries} USING (j) GROUP BY vec_id, j, x"
+
+
+def _means(assigned: str, entries: str) -> str:
+    """SQL: entries after a round."""
+    return f"""SELECT j, e, coalesce(m.c, o.c) AS c FROM {entries} o LEFT JOIN (
+  SELECT j, e, list(floor(s / n)::BIGINT ORDER BY i) AS c FROM (
+    SELECT j, de % 64 AS e, i, sum(x[i])::DOUBLE AS s, count(*) AS n FROM {assigned}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS i) GROUP BY ALL) GROUP BY ALL) m USING (j, e)"""
+
+
+OP13_SQL = f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT vec_id, j, v[j * (len(v) // 16) + 1 : (j + 1) * (len(v) // 16)] AS x FROM k, (SELECT unnest(range(16)) AS j)
+), c0 AS MATERIALIZED (
+  SELECT j, row_number() OVER (PARTITION BY j ORDER BY vec_id) - 1 AS e, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 64)
+), a1 AS MATERIALIZED ({_assigned("c0")}), c1 AS MATERIALIZED ({_means("a1", "c0")}
+), a2 AS MATERIALIZED ({_assigned("c1")}), c2 AS MATERIALIZED ({_means("a2", "c1")}
+), a3 AS MATERIALIZED ({_assigned("c2")}), r AS (
+  SELECT vec_id, string_agg(printf('%02x', de % 64), '' ORDER BY j) AS code, sum(de // 64)::BIGINT AS error FROM a3 GROUP BY vec_id
+), s AS (
+  SELECT vec_id, label, code, error FROM r JOIN k USING (vec_id)
+)
+SELECT vec_id, label, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY j, e)) FROM c2) AS codebooks_sha256 FROM s
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
@@ -209,6 +299,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_quotation": op8_chat_quotation,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_vector_codes": op13_vector_codes,
     "quoting_turns": quoting_turns,
 }
 
@@ -217,5 +310,7 @@ ORACLES: dict[str, str] = {
     "op4_warc_revisits": OP4_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op9_exact_top_k": OP9_SQL,
+    "op11_importance_resampling": OP11_SQL,
+    "op13_vector_codes": OP13_SQL,
     "quoting_turns": QUOTING_SQL,
 }

@@ -43,6 +43,10 @@ for _low, _high in ((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)):
     _CLEAN[_low : _high + 1] = np.arange(_low, _high + 1)
 _CLEAN[0x41:0x5B] = np.arange(0x61, 0x7B)
 
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1)
+
 
 def _turn(x: np.ndarray, n: int) -> np.ndarray:
     return (x << _U(n)) | (x >> _U(64 - n))
@@ -79,6 +83,23 @@ def xxh64(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return out
 
 
+def crc32(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """CRC-32 of stretches of ``data``: a byte of all stretches of up to 64 bytes at a time; longer ones singly."""
+    out = np.zeros(len(starts), dtype=np.uint32)
+    order = np.argsort(-lengths, kind="stable")
+    size = lengths[order]
+    long = int(np.searchsorted(-size, -64, side="left"))
+    for k in order[:long].tolist():
+        out[k] = zlib.crc32(data[starts[k] : starts[k] + lengths[k]])
+    order, size = order[long:], size[long:]
+    at, crc = starts[order], np.full(len(order), 0xFFFFFFFF, dtype=np.uint32)
+    for k in range(int(size.max(initial=0))):
+        m = int(np.searchsorted(-size, -k, side="left"))  # those with a byte there
+        crc[:m] = _CRC[(crc[:m] ^ data[at[:m] + k]) & np.uint32(255)] ^ (crc[:m] >> np.uint32(8))
+    out[order] = ~crc
+    return out
+
+
 def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Whether the stretches at ``a`` and ``b`` (of equal lengths, none empty) hold equal bytes."""
     if not len(a):
@@ -146,8 +167,7 @@ def features(data: np.ndarray, off: np.ndarray, longest: int, buckets: int, carr
         of.append(text[at])
     starts, lengths, text = (np.concatenate(x).astype(np.int64) for x in (from_, size, of))
     slot, holder = intern(joined, starts, lengths, xxh64(joined, starts, lengths))
-    view = memoryview(joined)
-    bucket = np.fromiter((zlib.crc32(view[s : s + k]) % buckets for s, k in zip(starts[holder].tolist(), lengths[holder].tolist())), np.int64, len(holder))
+    bucket = (crc32(joined, starts[holder], lengths[holder]) % np.uint32(buckets)).astype(np.int64)
     return Interned(slot, text, bucket, np.bincount(slot, minlength=len(holder)), np.diff(first))
 
 

@@ -47,10 +47,14 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task that hands freed memory back to the system when it ends, as its worker may go on to serve other operators."""
+    """A task that hands freed memory back to the system when it ends, as its worker may go on to serve other operators.
+
+    Arrow's buffers come from the system's allocator, as its own pool reserves memory by the gigabyte.
+    """
 
     @functools.wraps(run)
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as G
+from terrafold.operators.staging import staged
 
 
 def hull(points: np.ndarray) -> np.ndarray:
@@ -78,6 +79,23 @@ def least_rectangle(p: np.ndarray) -> tuple[float, float, float]:
     return float(w[k] * h[k]), float(max(w[k], h[k])), float(min(w[k], h[k]))
 
 
+def farthest(corners: np.ndarray) -> float:
+    """Greatest distance of two corners of a hull (counter-clockwise), by calipers turned once around: a corner and the one farthest from the edge at it."""
+    n = len(corners)
+    if n < 3:
+        return float(np.hypot(*(corners[0] - corners[-1])))
+    p, best, j = corners.tolist(), 0.0, 1
+    for i in range(n):
+        (ax, ay), (bx, by) = p[i], p[(i + 1) % n]
+        while True:
+            (cx, cy), (dx, dy) = p[j], p[(j + 1) % n]
+            best = max(best, math.hypot(ax - cx, ay - cy), math.hypot(bx - cx, by - cy))
+            if (bx - ax) * (dy - cy) - (by - ay) * (dx - cx) <= 0:
+                break
+            j = (j + 1) % n
+    return best
+
+
 def thin(points: np.ndarray, tolerance: float) -> np.ndarray:
     """Which points of a line stay: those farther than the tolerance from the chords between kept ones."""
     keep = np.zeros(len(points), dtype=bool)
@@ -171,12 +189,11 @@ def simplified(features: DataFrame, tolerance: float = 1e-4, id_col: str = "id")
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a scan with few input splits dealt to all cores, as the work per row is much more than its shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def measured(features: DataFrame, id_col: str = "id", tolerance: float = 1e-4) -> DataFrame:
-    """(id, hull, hull_points, hull_area, circle_x, circle_y, circle_r, box_area, box_length, box_width, kept_points), planar."""
+    """(id, hull, hull_points, hull_area, circle_x, circle_y, circle_r, box_area, box_length, box_width, kept_points, farthest), planar."""
     kind = features.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,14 +204,54 @@ def measured(features: DataFrame, id_col: str = "id", tolerance: float = 1e-4) -
                 h = hull(p)
                 x, y = h[:, 0], h[:, 1]
                 area = abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
-                out.append((key, [{"x": a, "y": b} for a, b in h.tolist()], len(h), area, *enclosing_circle(h), *least_rectangle(h), int(thin(p, tolerance).sum())))
-            yield pd.DataFrame(out, columns=["id", "hull", "hull_points", "hull_area", "circle_x", "circle_y", "circle_r", "box_area", "box_length", "box_width", "kept_points"])
+                out.append((key, [{"x": a, "y": b} for a, b in h.tolist()], len(h), area, *enclosing_circle(h), *least_rectangle(h), int(thin(p, tolerance).sum()), farthest(h)))
+            yield pd.DataFrame(out, columns=["id", "hull", "hull_points", "hull_area", "circle_x", "circle_y", "circle_r", "box_area", "box_length", "box_width", "kept_points", "farthest"])
 
     flat = features.select(F.col(id_col).alias("id"), G.exterior_points(F.col("g")).alias("p")).select("id", F.col("p.x").alias("xs"), F.col("p.y").alias("ys")).filter("size(xs) >= 3")
-    schema = f"id {kind}, hull array<struct<x:double,y:double>>, hull_points int, hull_area double, circle_x double, circle_y double, circle_r double, box_area double, box_length double, box_width double, kept_points int"
+    schema = f"id {kind}, hull array<struct<x:double,y:double>>, hull_points int, hull_area double, circle_x double, circle_y double, circle_r double, box_area double, box_length double, box_width double, kept_points int, farthest double"
     return spread(flat).mapInPandas(run, schema).withColumnRenamed("id", id_col)
 
 
+def diameters(features: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, metres, flat, farthest): across the smallest circle around a feature, the longer of its two axes on the sphere and in the plane, and between its two farthest points."""
+    m = measured(features, id_col)
+    x, y, r = F.col("circle_x"), F.col("circle_y"), F.col("circle_r")
+    metres = F.greatest(G.haversine(x - r, y, x + r, y), G.haversine(x, y - r, x, y + r))
+    return m.select(id_col, metres.alias("metres"), (2 * r).alias("flat"), "farthest")
+
+
+def circle_polygon(x: Column, y: Column, r: Column, segments: int = 8) -> Column:
+    """A circle as a geometry of ``segments`` (8 at least) points a quarter, from the top clockwise; null without a radius."""
+    n = max(segments, 8)
+    turns = [k * math.pi / 2 / n for k in range(4 * n)]
+    points = [G.point(x + r * math.sin(t), y + r * math.cos(t)) for t in turns]
+    return F.when(r != 0, F.array(F.array(F.array(*points, points[0]))))
+
+
+#: Properties that may hold a point inside, in order of preference.
+INNER_X = ["INTPTLON30", "INTPTLON20", "INTPTLON10", "INTPTLON"]
+INNER_Y = ["INTPTLAT30", "INTPTLAT20", "INTPTLAT10", "INTPTLAT"]
+
+
+def with_label(features: DataFrame, properties: str = "properties", id_col: str = "id") -> DataFrame:
+    """``features`` (id, properties map, g) with ``x``, ``y``: a label point inside each.
+
+    The properties labelx and labely stand if they are there; then the first of the inner points' properties that are neither missing nor
+    empty, if it lies inside; else the point with most room around it, to six places. Only features that need one are searched.
+    """
+    of = lambda names: F.coalesce(*(F.nullif(F.try_element_at(F.col(properties), F.lit(n)), F.lit("")).try_cast("double") for n in names), F.lit(0.0))
+    given = F.try_element_at(F.col(properties), F.lit("labelx")).isNotNull()
+    own = [F.try_element_at(F.col(properties), F.lit(n)).try_cast("double") for n in ("labelx", "labely")]
+    x, y = of(INNER_X), of(INNER_Y)
+    good = (x != 0) & (y != 0) & G.contains(F.col("g"), x, y)
+    known = features.withColumn("x", F.when(given, own[0]).when(good, x)).withColumn("y", F.when(given, own[1]).when(good, y)).withColumn("_known", given | good)
+    searched = labelled(spread(features.select(id_col, "g", (given | good).alias("_known")).filter(~F.coalesce("_known", F.lit(False)))), id_col)
+    found = staged(searched.select(id_col, F.round("x", 6).alias("_x"), F.round("y", 6).alias("_y")), "labels")
+    out = known.join(found, id_col, "left")
+    keep = F.coalesce("_known", F.lit(False))
+    return out.select(*features.columns, F.when(keep, F.col("x")).otherwise(F.col("_x")).alias("x"), F.when(keep, F.col("y")).otherwise(F.col("_y")).alias("y"))
+
+
 def circle_area(y: Column, r: Column) -> Column:
     """Square metres of the circle of ``r`` degrees around latitude ``y`` as drawn on a map of longitude and latitude."""
     t = F.radians(r)

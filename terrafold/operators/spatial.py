@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as G
+from terrafold.operators.staging import staged
 
 OUTSIDE = "OUT_OF_STATE"
+#: Points of a cell beyond which it is split, levels of splitting, and bytes of a table that is broadcast.
+LEAF_POINTS, DEPTH, BROADCAST_BYTES = 20_000, 20, 8 << 20
 
 
 def _cells(low: Column, high: Column, size: float) -> Column:
@@ -32,9 +37,93 @@ def points_in(points: DataFrame, features: DataFrame, size: float, point_id: str
     return placed.join(parts, ["cx", "cy"]).filter(near & G.contains(F.col("g"), F.col("x"), F.col("y"))).select("p", "f", "g", *carry)
 
 
-def assign_smallest(points: DataFrame, features: DataFrame, size: float, point_id: str = "id", feature_id: str = "district") -> DataFrame:
-    """(point, feature): each point's smallest feature by area, the smaller id on ties; points outside all are left out."""
-    met = points_in(points, features.withColumn("_a", G.area(F.col("g"))), size, point_id, feature_id, ("_a",))
+@dataclass
+class Cells:
+    """Square cells that are split where points are dense: a quadtree as tables.
+
+    ``split`` (level, cx, cy) holds the cells with too many points, each of which has four halves at the next level; whatever else meets
+    is a leaf. ``fine`` (fx, fy, level) says for each cell of the last level that has points how deep its leaf is.
+    """
+
+    x0: float
+    y0: float
+    side: float
+    depth: int
+    deepest: int
+    split: DataFrame
+    fine: DataFrame
+
+    def index(self, c: Column, low: float) -> Column:
+        """The last level's cell of a coordinate, outside ones at the edge."""
+        last = (1 << self.depth) - 1
+        return F.least(F.greatest(F.floor((c - low) / self.side * (last + 1)), F.lit(0)), F.lit(last)).cast("bigint")
+
+    def of_points(self, points: DataFrame) -> DataFrame:
+        """Points (x, y) with the leaf (level, cx, cy) that holds them."""
+        at = points.withColumn("fx", self.index(F.col("x"), self.x0)).withColumn("fy", self.index(F.col("y"), self.y0))
+        met = at.join(self.fine, ["fx", "fy"])
+        up = lambda c: F.expr(f"shiftright({c}, {self.depth} - level)")
+        return met.withColumn("cx", up("fx")).withColumn("cy", up("fy")).drop("fx", "fy")
+
+    def of_boxes(self, boxes: DataFrame) -> DataFrame:
+        """A row for each leaf (level, cx, cy) that a box ``bb`` touches: from the whole, split cells lead to those of their halves that the box touches."""
+        x, y = (lambda c: self.index(F.col(c), self.x0)), (lambda c: self.index(F.col(c), self.y0))
+        rows = boxes.withColumns({"lx": x("bb.left"), "hx": x("bb.right"), "ly": y("bb.bottom"), "hy": y("bb.top"), "level": F.lit(0), "cx": F.lit(0).cast("bigint"), "cy": F.lit(0).cast("bigint")})
+        halves = F.expr(f"""filter(flatten(transform(sequence(2 * cx, 2 * cx + 1), i -> transform(sequence(2 * cy, 2 * cy + 1), j -> struct(level + 1 AS level, i AS cx, j AS cy)))),
+          c -> c.cx BETWEEN shiftright(lx, {self.depth} - level - 1) AND shiftright(hx, {self.depth} - level - 1) AND c.cy BETWEEN shiftright(ly, {self.depth} - level - 1) AND shiftright(hy, {self.depth} - level - 1))""")
+        kept = [c for c in rows.columns if c not in ("level", "cx", "cy")]
+        for _ in range(self.deepest):
+            met = rows.join(self.split.withColumn("more", F.lit(True)), ["level", "cx", "cy"], "left")
+            cells = F.when(F.col("more"), halves).otherwise(F.array(F.struct("level", "cx", "cy")))
+            rows = met.select(*kept, F.explode(cells).alias("c")).select(*kept, "c.level", "c.cx", "c.cy")
+        return rows.drop("lx", "hx", "ly", "hy")
+
+
+def adaptive_cells(points: DataFrame, limit: int = LEAF_POINTS, depth: int = DEPTH) -> Cells:
+    """Cells for points (x, y): those with more than ``limit`` points are split, down to ``depth`` levels.
+
+    Points are counted once by cells of the last level, combined before the shuffle; the counts of all levels come from those counts. Without points there is one cell.
+    """
+    ends = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    x0, y0 = ends.x0 or 0.0, ends.y0 or 0.0
+    side = max((ends.x1 or 0.0) - x0, (ends.y1 or 0.0) - y0) * (1 + 1e-9) or 1.0
+    cells = Cells(x0, y0, side, depth, 0, points, points)
+    counts = points.select(cells.index(F.col("x"), x0).alias("fx"), cells.index(F.col("y"), y0).alias("fy")).groupBy("fx", "fy").agg(F.count("*").alias("n"))
+    counts = staged(counts, "cells")
+    levels = counts.select("fx", "fy", "n", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level"))
+    up = lambda c: F.expr(f"shiftright({c}, {depth} - level)")
+    levels = levels.select("fx", "fy", "n", "level", up("fx").alias("cx"), up("fy").alias("cy"))
+    split = staged(levels.groupBy("level", "cx", "cy").agg(F.sum("n").alias("n")).filter(F.col("n") > limit).select("level", "cx", "cy"), "split")
+    n, deepest = split.agg(F.count("*"), F.max("level")).first()
+    small = n * 20 <= BROADCAST_BYTES
+    cells.deepest, cells.split = 0 if deepest is None else deepest + 1, F.broadcast(split) if small else split
+    inside = levels.join(cells.split, ["level", "cx", "cy"], "left_semi").groupBy("fx", "fy").agg((F.max("level") + 1).alias("level"))
+    cells.fine = counts.select("fx", "fy").join(inside, ["fx", "fy"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    return cells
+
+
+def points_within(points: DataFrame, features: DataFrame, point_id: str = "id", feature_id: str = "district", carry: tuple[str, ...] = (), limit: int = LEAF_POINTS, depth: int = DEPTH) -> DataFrame:
+    """(p, f, g) and the columns of features in ``carry`` for points (id, x, y) inside features (id, g), by cells that are split where points are dense.
+
+    Only ids and boxes go to the cells; a feature's geometry is joined to the points in its box. A cell that a third of the points crowds into is many cells, so
+    no task holds it; rows are those of :func:`points_in`. Points without a coordinate are in nothing.
+    """
+    placed = points.select(F.col(point_id).alias("p"), "x", "y").filter("x is not null and y is not null")
+    cells = adaptive_cells(placed, limit, depth)
+    shape = features.select(F.col(feature_id).alias("f"), "g", *carry)
+    boxes = shape.select("f", G.bounds(F.col("g"), clip=False).alias("bb")).filter("bb.left is not null")
+    near = (F.col("x") >= F.col("bb.left")) & (F.col("x") <= F.col("bb.right")) & (F.col("y") >= F.col("bb.bottom")) & (F.col("y") <= F.col("bb.top"))
+    met = cells.of_points(placed).join(cells.of_boxes(boxes), ["level", "cx", "cy"]).filter(near).select("p", "x", "y", "f")
+    return met.join(shape, "f").filter(G.contains(F.col("g"), F.col("x"), F.col("y"))).select("p", "f", "g", *carry)
+
+
+def assign_smallest(points: DataFrame, features: DataFrame, size: float | None = None, point_id: str = "id", feature_id: str = "district") -> DataFrame:
+    """(point, feature): each point's smallest feature by area, the smaller id on ties; points outside all are left out.
+
+    With ``size`` by a grid of such cells, else by cells that are split where points are dense.
+    """
+    measured = features.withColumn("_a", G.area(F.col("g")))
+    met = points_within(points, measured, point_id, feature_id, ("_a",)) if size is None else points_in(points, measured, size, point_id, feature_id, ("_a",))
     return met.groupBy(F.col("p").alias(point_id)).agg(F.min_by("f", F.struct("_a", "f")).alias(feature_id))
 
 
@@ -97,14 +186,6 @@ def interior_sharing(arcs: DataFrame) -> DataFrame:
     return out.filter("n_interior >= 2 or (n_interior >= 1 and n_endpoint >= 1)")
 
 
-def overlapping(left: DataFrame, right: DataFrame, size: float, left_id: str = "a", right_id: str = "b") -> DataFrame:
-    """(a, b) of features whose insides meet: an equi-join on grid cells, each pair kept in its first common cell only."""
-    one = with_cells(left.select(F.col(left_id).alias("a"), "g"), size).withColumnsRenamed({"g": "ga", "bb": "ba"})
-    two = with_cells(right.select(F.col(right_id).alias("b"), "g"), size).withColumnsRenamed({"g": "gb", "bb": "bb"})
-    first = (F.col("cx") == F.floor(F.greatest("ba.left", "bb.left") / size)) & (F.col("cy") == F.floor(F.greatest("ba.bottom", "bb.bottom") / size))
-    return one.join(two, ["cx", "cy"]).filter(first & G.intersects(F.col("ga"), F.col("gb"))).select("a", "b")
-
-
 def parts(features: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, part, g): a row per polygon, numbered from 1."""
     return features.select(id_col, F.posexplode("g").alias("part", "p")).select(id_col, (F.col("part") + 1).alias("part"), F.array("p").alias("g"))

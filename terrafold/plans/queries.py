@@ -2,41 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as G
 from terrafold.functions import arrays, palette, scalars
-from terrafold.operators import filters, records, shapes, spatial
+from terrafold.operators import clipping, filters, records, shapes, spatial
+from terrafold.plans.registry import query, table
 from terrafold.sources import text
 from terrafold.streaming import edits
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
 #: The moment that date queries call now.
 NOW = "1997-06-15 12:00:00"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _now():
     return F.lit(NOW).cast("timestamp")
 
@@ -536,22 +514,15 @@ def select_intersects(spark, d):
 
 @query(f"SELECT n AS a, id AS b FROM {_NATIONS}, {_BOXES} WHERE x < nx + 2 AND x + w > nx AND y < ny + 2 AND y + h > ny")
 def spatial_overlap_join(spark, d):
-    boxes = shapes.spread(order_boxes(spark, d)).withColumnRenamed("id", "b")
-    return spatial.overlapping(nation_boxes(spark, d).withColumnRenamed("id", "a"), boxes, 1.0)
+    return clipping.overlaps(nation_boxes(spark, d), order_boxes(spark, d), "id", "id").select("a", "b")
 
 
 @query(f"""SELECT n AS a, id AS b, round((least(x + w, nx + 2) - greatest(x, nx)) * (least(y + h, ny + 2) - greatest(y, ny)), 6) AS shared,
   round(w * h + 4 - (least(x + w, nx + 2) - greatest(x, nx)) * (least(y + h, ny + 2) - greatest(y, ny)), 6) AS both
   FROM {_NATIONS}, {_BOXES} WHERE x < nx + 2 AND x + w > nx AND y < ny + 2 AND y + h > ny""")
 def intersection_areas(spark, d):
-    return _shared_areas(spark, d, shapes.spread(order_boxes(spark, d)))
-
-
-def _shared_areas(spark, d, boxes):
-    boxes, nations = boxes.select(F.col("id").alias("b"), F.col("g").alias("gb")), nation_boxes(spark, d).select(F.col("id").alias("a"), F.col("g").alias("ga"))
-    met = spatial.overlapping(nations.withColumnRenamed("ga", "g"), boxes.withColumnRenamed("gb", "g"), 1.0).join(nations, "a").join(boxes, "b")
-    ga, gb = F.col("ga"), F.col("gb")
-    return met.select("a", "b", F.round(G.intersection_area(ga, gb), 6).alias("shared"), F.round(G.union_area(ga, gb), 6).alias("both"))
+    met = clipping.overlaps(nation_boxes(spark, d), order_boxes(spark, d), "id", "id")
+    return met.select("a", "b", F.round("shared", 6).alias("shared"), F.round(F.col("area_a") + F.col("area_b") - F.col("shared"), 6).alias("both"))
 
 
 @query("""SELECT n_regionkey, i::INT AS part, (-120 + 2 * (k % 5))::DOUBLE AS lft FROM (SELECT n_regionkey, n_nationkey AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation)""")
@@ -611,10 +582,10 @@ def edits_counter_composed(spark, d):
     return edits.counter_composed(e).withColumn("value", F.round("value", 4))
 
 
-@query(f"""WITH e AS {_EDITS} SELECT DISTINCT a.resource, a.key FROM e a WHERE a.event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM e b WHERE b.event_id % 2 = 1 AND b.resource = a.resource AND b.key = a.key)""")
+@query(f"""WITH e AS {_EDITS} SELECT DISTINCT a.resource, a.key FROM e a WHERE a.event_id % 41 <> 0 AND NOT EXISTS (SELECT 1 FROM e b WHERE b.event_id % 41 = 0 AND b.resource = a.resource AND b.key = a.key)""")
 def edits_rebase(spark, d):
     e = event_edits(spark, d)
-    mine, prior = (e.filter(F.col("clock.event_id") % 2 == k) for k in (0, 1))
+    mine, prior = e.filter(F.col("clock.event_id") % 41 != 0), e.filter(F.col("clock.event_id") % 41 == 0)
     return edits.map_rebase(mine, prior, False).select("resource", "key").distinct()
 
 
@@ -702,10 +673,10 @@ def moved_points(spark, d):
 @query(f"SELECT id, round(w * h / 2, 6) AS area FROM {_BOXES}")
 def difference_areas(spark, d):
     """What a box keeps outside a copy of itself moved by half its width."""
-    b = shapes.spread(order_boxes(spark, d)).select("id", "g", G.bounds(F.col("g"), False).alias("b"))
+    b = order_boxes(spark, d).select("id", "g", G.bounds(F.col("g"), False).alias("b"))
     half = G.bounds_width(F.col("b")) / 2
-    moved = G.map_points(F.col("g"), lambda x, y: (x + half, y))
-    return b.select("id", F.round(G.difference_area(F.col("g"), moved), 6).alias("area"))
+    pairs = b.select("id", F.col("g").alias("ga"), G.map_points(F.col("g"), lambda x, y: (x + half, y)).alias("gb"))
+    return clipping.with_shared_areas(shapes.spread(pairs)).select("id", F.round(F.col("area_a") - F.col("shared"), 6).alias("area"))
 
 
 # texts and maps
@@ -721,7 +692,7 @@ def guid_texts(spark, d):
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size::DOUBLE WHEN 1 THEN -p_size - 0.5::DOUBLE END AS n, format('{:,.1f}', p_size * 1234567.5::DOUBLE) AS shown FROM part""")
-def text_numbers(spark, d):
+def parsed_numbers(spark, d):
     size = F.col("p_size").cast("string")
     s = F.when(F.col("p_partkey") % 3 == 0, size).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit(" -"), size, F.lit(".5 "))).otherwise(F.col("p_name"))
     rows = table(spark, d, "part").select("p_partkey", "p_size", scalars.to_number(s).alias("n"))
@@ -744,9 +715,3 @@ def map_parts(spark, d):
         "c_custkey", scalars.count_keys(m).alias("n"), scalars.nth_key(m, 0).alias("first"), scalars.nth_value(m, 1).alias("second"), scalars.shallow_equal(F.col("low"), m).alias("same"),
         scalars.count_keys(scalars.map_without(m, F.array(F.lit("a")))).alias("left_over"), scalars.is_empty(scalars.map_without(m, gone)).alias("empty"),
     )
-
-
-# names under which queries were registered while their plain names read part of a table
-for _name in ("mapping_override", "mapping_all", "mapping_reverse", "assign_smallest", "intersection_areas", "edits_splice"):
-    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]
-QUERIES["spatial_overlap_whole"], ORACLES["spatial_overlap_whole"] = QUERIES["spatial_overlap_join"], ORACLES["spatial_overlap_join"]

@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = staged(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = None
-    while True:
+    while not now.isEmpty():
         new = staged(_star(_star(now, True), False), "links")
         seen = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         dropped(now)

@@ -11,6 +11,11 @@ band holds all of them. Shared q-grams are counted per item and band; bands with
 ``T`` or more are kept, and only those are aligned, inside the band. An item's ``q`` is ``Q``, or
 less where ``T`` would fall below 1 (``m // (e + 1)``), so short items keep their whole budget.
 
+A replaced word is one run of edits and costs few grams: at most its length and ``q`` - 1 more. So an occurrence in which
+``WORDS`` words are replaced, by words of about their lengths, shares at least ``m - q + 1`` less those of the item's longest words, though its
+edits go beyond the share. Bands, and the budget of the alignment, are wide enough for these too (the longest words' bytes and one for each), and
+``T`` is the lesser of both bounds.
+
 Bands of one document and item that touch are aligned as one. A literal copy of the item in
 the band needs no alignment; the others of a slice of documents are aligned together, a
 row of one array each, and a row ends when all its cells are over the budget.
@@ -32,9 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm import textkit
+from llm.staging import staged
 
 Q = 10
 EDIT_SHARE = 0.08
+#: Words that may be replaced, and the greatest share of an item that these may be.
+WORDS, WORD_SHARE = 2, 0.25
 #: Bytes of items whose grams are held by a task at once.
 PART_BYTES = 8 << 20
 #: Bits of the first, approximate look-up of a gram.
@@ -84,11 +92,17 @@ def grams(b: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def _budget(m: int, q: int, share: float) -> tuple[int, int, int]:
-    """Edits, gram length and least number of shared grams of an item of m bytes."""
+def _budget(text: bytes, q: int, share: float, words: int) -> tuple[int, int, int]:
+    """Edits, gram length and least number of shared grams of an item."""
+    m = len(text)
     e = int(share * m)
     q = min(q, m // (e + 1))
-    return e, q, m + 1 - q * (e + 1)
+    least = m + 1 - q * (e + 1)
+    longest = sum(sorted(map(len, text.split()))[-words:]) + words if words else 0
+    left = m - q + 1 - longest - words * (q - 1)
+    if longest > e and longest <= WORD_SHARE * m and left >= 1:
+        return longest, q, min(least, left)
+    return e, q, least
 
 
 class Index:
@@ -131,10 +145,10 @@ class Index:
 class Items:
     """Benchmark items with the positions of their grams."""
 
-    def __init__(self, ids: list, texts: list[bytes], q: int = Q, share: float = EDIT_SHARE):
+    def __init__(self, ids: list, texts: list[bytes], q: int = Q, share: float = EDIT_SHARE, words: int = 0):
         keep = [n for n, t in enumerate(texts) if t]
         self.ids, self.texts = [ids[n] for n in keep], [texts[n] for n in keep]
-        budgets = [_budget(len(t), q, share) for t in self.texts]
+        budgets = [_budget(t, q, share, words) for t in self.texts]
         self.edits = np.array([e for e, _, _ in budgets], dtype=np.int64)
         self.least = np.array([t for _, _, t in budgets], dtype=np.int64)
         of: dict[int, list[int]] = {}
@@ -257,22 +271,27 @@ def align(items: list[bytes], b: np.ndarray, start: np.ndarray, stop: np.ndarray
         i += 1
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = Q, share: float = EDIT_SHARE) -> DataFrame:
-    """One row per document and benchmark item found in it: id, item id, ``begin`` and ``end`` (bytes of the text), ``n_edits``."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = Q, share: float = EDIT_SHARE, words: int = WORDS) -> DataFrame:
+    """One row per document and benchmark item found in it: id, item id, ``begin`` and ``end`` (bytes of the text), ``n_edits``.
+
+    An empty table of either kind gives no rows.
+    """
     kind, item_kind = (f.schema[c].dataType.simpleString() for f, c in ((docs, id_col), (benchmark, item_col)))
     items = benchmark.select(benchmark[item_col].alias("item"), benchmark[item_text_col].alias("text")).filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // PART_BYTES)
+    if parts > 1:  # by row, as any number of items may have one text
+        items = staged(items.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))), "items")
     base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).filter("text is not null")
     schema = f"id {kind}, item {item_kind}, begin bigint, end bigint, n_edits int"
     out = None
     for part in range(parts):
-        chosen = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).toArrow()
+        chosen = (items.filter(F.col("part") == part).drop("part") if parts > 1 else items).toArrow()
         held = docs.sparkSession.sparkContext.broadcast((chosen["item"].to_pylist(), [plain(t) for t in chosen["text"].to_pylist()]))
         item_type = chosen.schema.field("item").type
 
         def run(batches: Iterator[pa.RecordBatch], held=held, item_type=item_type) -> Iterator[pa.RecordBatch]:
-            known = Items(*held.value, q, share)
+            known = Items(*held.value, q, share, words)
             for batch in batches:
                 for lo, hi in textkit.slices(batch.column(1), SLICE_BYTES):
                     data, off = textkit.raw(batch.column(1).slice(lo, hi - lo))

@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm import textkit
@@ -204,6 +204,8 @@ def _overlaps(pairs: DataFrame, reps: DataFrame, base: DataFrame, n: int, lower:
     if bitmaps:
         pairs = pairs.filter(_may_link(percent))
     pairs = staged(pairs.drop("a_bitmap", "b_bitmap"), "pairs")
+    if pairs.isEmpty():
+        return pairs.withColumn("overlap", F.lit(0).cast("long"))
     ids = staged(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     kind = base.schema["id"].dataType.simpleString()
     sets = staged(base.join(sized(ids), "id", "left_semi").mapInArrow(textkit.tidy(_set_rows(n, lower)), f"id {kind}, shingles array<bigint>"), "sets")
@@ -231,7 +233,7 @@ def similarity_classes(
     documents with the same set. A text with fewer than ``n`` words is one shingle; a text
     without words (null, blank) has none, links with nothing and is its own component.
     Ids are unique integers; a repeated row is answered once per row; rows with a null id
-    have a null component. Other columns are ignored.
+    have a null component; an empty table gives no rows. Other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
@@ -265,9 +267,9 @@ def similarity_classes(
     # the index: lists of two sets or more, cut in blocks by size
     posting = prefixes.select("id", "size", F.posexplode("prefix").alias("pos", "x"))
     block = F.floor(F.log(F.col("size").cast("double")) / -math.log(percent / 100) + 1e-9)
-    near = Window.partitionBy("x").orderBy("size", "id")
-    posting = posting.withColumn("_before", F.lag("id").over(near)).withColumn("_after", F.lead("id").over(near))
-    posting = posting.filter(F.col("_before").isNotNull() | F.col("_after").isNotNull()).drop("_before", "_after")
+    posting = staged(posting, "postings")
+    shared = posting.groupBy("x").agg(F.count("*").alias("n")).filter("n > 1").select("x")
+    posting = posting.join(shared, "x", "left_semi")
     index = staged(posting.withColumn("block", block), "index")
     dropped(first, whole, reps)
     reps = bitmaps

@@ -203,7 +203,7 @@ class Codes:
             raise ValueError(f"vectors of {self.width} components can't be cut into {parts} equal parts")
         heads = [h for h in heads if len(h.v) == self.width]
         self.kept = kept.filter(F.size("v") == self.width)
-        whole = np.array([[math.floor(SCALE * x) for x in h.v] for h in heads], dtype=np.int64).reshape(len(heads), parts, -1)
+        whole = np.array([[math.floor(SCALE * x) for x in h.v] for h in heads], dtype=np.int64).reshape(len(heads), parts, self.width // parts)
         self.books = np.ascontiguousarray(whole.transpose(1, 0, 2))  # (parts, entries, components of a part)
         self.moves = np.zeros(self.books.shape[:2])
         self.schema = f"id {kept.schema['id'].dataType.simpleString()}, label {kept.schema['label'].dataType.simpleString()}"

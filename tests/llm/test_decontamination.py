@@ -70,3 +70,29 @@ def test_parts(spark, monkeypatch):
     want = sorted(map(tuple, D.contaminated(docs, items).collect()))
     monkeypatch.setattr(D, "PART_BYTES", 100)
     assert sorted(map(tuple, D.contaminated(docs, items).collect())) == want
+
+
+def test_replaced_words_are_found():
+    r = random.Random(6)
+    words = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(400)]
+    items = [" ".join(r.choices(words, k=r.randint(16, 50))) for _ in range(60)]
+    known = D.Items(list(range(60)), [D.plain(t) for t in items], words=2)
+    for replaced, least in ((1, 1.0), (2, 0.95)):
+        texts = []
+        for item in items:
+            cut = item.split()
+            for k in r.sample(range(len(cut)), replaced):
+                cut[k] = r.choice(words)
+            texts.append(" ".join(r.choices(words, k=80)) + " " + " ".join(cut) + " " + " ".join(r.choices(words, k=80)))
+        data = [t.encode() for t in texts]
+        b, off, _ = D.normal(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        found = {(t, i) for t, i, *_ in known.find(b, off)}
+        assert len({(n, n) for n in range(60)} & found) >= least * 60 and not {(t, i) for t, i in found if t != i}
+
+
+def test_items_of_one_text_split_by_row(spark, monkeypatch):
+    text = "this very text stands in every row of the table that is compared"
+    items = spark.createDataFrame([(7, text)] * 9, "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + text)], "doc_id long, text string")
+    monkeypatch.setattr(D, "PART_BYTES", 2 * len(text))
+    assert [tuple(r)[:2] for r in D.contaminated(docs, items).collect()] == [(1, 7)] * 9

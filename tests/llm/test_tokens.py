@@ -73,3 +73,23 @@ def test_frames(spark, library):
     got = bpe.encode_decode(docs, PATH).collect()
     assert sorted((r.doc_id, r.n_tokens, r.decoded) for r in got) == sorted((i, n, t or "") for (i, t, _), (_, _, n) in zip(sorted(rows, key=lambda r: (r[0], r[1] or "")), want))
     assert token_counts.token_counts(docs.limit(0), PATH).count() == bpe.encode_decode(docs.limit(0), PATH).count() == 0
+
+
+def test_runs_without_a_boundary_are_encoded_a_bounded_number_of_times(monkeypatch):
+    import random
+
+    from llm.token_counts import Counter
+
+    seen = []
+
+    class Counting(Counter):
+        def _encoded(self, text, start, end):
+            seen.append(end - start)
+            return super()._encoded(text, start, end)
+
+    text = "".join(random.Random(1).choices("abcdefghij", k=60_000))
+    for n in (15_000, 60_000):
+        seen.clear()
+        c = Counting(PATH, 500, 50)
+        assert c.counts(["go " + text[:n] + " on"]) == [len(c.tokenizer.encode("go " + text[:n] + " on", add_special_tokens=False))]
+        assert c.widened and sum(seen) <= 9 * n

@@ -11,6 +11,7 @@ from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: the numeric texts that count as numbers.
 NUMBER_PATTERN = r"^\s*-?\d+(\.\d+)?([eE][+-]?\d+)?\s*$"
@@ -221,3 +222,41 @@ def members_of(bits: Column, domain: list[str]) -> Column:
         byte = F.conv(F.substring(digits, 2 * (n // 8) + 1, 2), 16, 10).cast("int")
         found.append(F.when(byte.bitwiseAND(1 << (n % 8)) != 0, F.lit(d)))
     return F.array_compact(F.array(*found))
+
+
+def bit_string(members: Column, domain: list[str]) -> Column:
+    """Members of a domain as the base64 text of their bits."""
+    return F.base64(bits_of(members, domain))
+
+
+def members_of_string(text: Column, domain: list[str]) -> Column:
+    """Members of a domain from the base64 text of their bits."""
+    return members_of(F.unbase64(text), domain)
+
+
+def hash_object(value: Column) -> Column:
+    """The text hash of a value's JSON; of '' for null."""
+    return text_hash(F.when(value.isNull(), "").otherwise(F.to_json(value)))
+
+
+def depth_of(value: Column, kind: T.DataType) -> Column:
+    """How deep a value nests by its first elements: 1 for plain values and null, 2 for an empty list or object, one more than its first element else."""
+    if isinstance(kind, T.ArrayType):
+        inner = F.when(F.size(value) == 0, 2).otherwise(1 + depth_of(F.get(value, F.lit(0)), kind.elementType))
+    elif isinstance(kind, T.MapType):
+        inner = F.when(F.size(value) == 0, 2).otherwise(1 + depth_of(F.get(F.map_values(value), F.lit(0)), kind.valueType))
+    elif isinstance(kind, T.StructType) and kind.fields:
+        inner = 1 + depth_of(value[kind.fields[0].name], kind.fields[0].dataType)
+    else:
+        return F.lit(1)
+    return F.when(value.isNull(), 1).otherwise(inner)
+
+
+def marked(values: Column) -> Column:
+    """Marks of a map of ids to true, false or null: false ones and the empty id are no marks, null is one that is undetermined."""
+    return F.map_filter(values, lambda k, v: (k != "") & ~F.coalesce(~v, F.lit(False)))
+
+
+def undetermined(marks: Column, key: Column) -> Column:
+    """Whether an id is marked, but not as true."""
+    return F.map_contains_key(marks, key) & F.try_element_at(marks, key).isNull()

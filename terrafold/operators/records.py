@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -119,6 +120,66 @@ def find(df: DataFrame, hidden: DataFrame, value: object, id_col: str = "id", en
     return hits.groupBy(id_col).agg(F.min_by(F.struct(*df.columns), entry).alias("_r")).select("_r.*")
 
 
+@dataclass(frozen=True)
+class Collections:
+    """Tagged collections (id, ord, ...) and hidden ids; each change is a new value, and nothing runs before its rows are read.
+
+    Tags keep the order in which they first came. Later collections win over earlier ones on equal ids.
+    """
+
+    parts: dict[str, DataFrame] = field(default_factory=dict)
+    hidden: DataFrame | None = None
+
+    def add(self, tag: str, df: DataFrame | None) -> Collections:
+        """A collection under a tag, in place of the one before; none removes the tag."""
+        return self.remove(tag) if df is None else replace(self, parts={**self.parts, tag: df})
+
+    def remove(self, tag: str) -> Collections:
+        return replace(self, parts={t: df for t, df in self.parts.items() if t != tag})
+
+    def add_multi(self, other: Collections) -> Collections:
+        """All tags of another, and its hidden ids."""
+        both = replace(self, parts={**self.parts, **other.parts})
+        return both if other.hidden is None else both.hide(other.hidden)
+
+    def add_all(self, tag: str, other: Collections) -> Collections:
+        """What another shows, as one collection; nothing to show in it removes the tag."""
+        return self.add(tag, other.visible().drop("tag", "entry_idx") if other.parts else None)
+
+    def hide(self, ids: DataFrame, id_col: str = "id") -> Collections:
+        ids = ids.select(F.col(id_col).alias("id"))
+        return replace(self, hidden=ids if self.hidden is None else self.hidden.unionByName(ids))
+
+    def show(self, ids: DataFrame, id_col: str = "id") -> Collections:
+        return self if self.hidden is None else replace(self, hidden=show(self.hidden, ids.withColumnRenamed(id_col, "id")))
+
+    def show_all(self) -> Collections:
+        return replace(self, hidden=None)
+
+    def hide_set_all(self, ids: DataFrame, id_col: str = "id") -> Collections:
+        """Exactly these ids hidden."""
+        return self.show_all().hide(ids, id_col)
+
+    def some_hidden(self) -> bool:
+        return self.hidden is not None and not self.hidden.isEmpty()
+
+    def filter(self, condition: Column | str) -> Collections:
+        """The rows that meet a condition, by tag, nothing hidden."""
+        return Collections({tag: df.filter(condition) for tag, df in self.parts.items()})
+
+    def visible(self) -> DataFrame:
+        """One row an id: not hidden, from the last collection that has it."""
+        first = next(iter(self.parts.values()))
+        return union_visible(list(self.parts.items()), first.select("id").limit(0) if self.hidden is None else self.hidden)
+
+    def find(self, value: object, hidden_too: bool = False) -> DataFrame:
+        """The row of an id from the first collection that has it; of a hidden one only if asked for."""
+        rows = [df.filter(F.col("id") == value).withColumn("entry_idx", F.lit(n)) for n, df in enumerate(self.parts.values())]
+        everything = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+        none = everything.select("id").limit(0)
+        return find(everything, none if hidden_too or self.hidden is None else self.hidden, value)
+
+
 def position(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
     """Adds the 1-based position in the given order, without one task for all rows.
 

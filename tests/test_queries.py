@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-from terrafold.plans.queries import ORACLES, QUERIES
+from terrafold.plans import edit_queries, queries, shape_queries  # noqa: F401  (they register themselves)
+from terrafold.plans.registry import ORACLES, QUERIES, query
 from tests.against_sql import connect, rows_of, sql_rows
 
 DATA = "/root/testdata/sf0.001"
@@ -22,7 +23,7 @@ def test_query(spark, tables, name):
     if name in ORACLES:
         known_columns, known = sql_rows(tables, ORACLES[name])
         assert columns == known_columns
-        assert rows == known
+        assert rows == known and rows
     else:
         assert rows
 
@@ -50,19 +51,19 @@ def test_whole_joins_meet_boxes_of_every_id(spark):
     for k, x1, y1, x2, y2 in [(r.id, *shape(r)) for r in order_boxes(spark, DATA).collect()]:
         box[k] = (min(x1, x2), min(y1, y2), max(x1, x2), max(y1, y2))
     covered = {r.id for r in customer_points(spark, DATA).collect() if any(x1 < r.x < x2 and y1 < r.y < y2 for x1, y1, x2, y2 in box.values())}
-    assert {r.id for r in QUERIES["assign_smallest_whole"](spark, DATA).collect()} == covered
+    assert {r.id for r in QUERIES["assign_smallest"](spark, DATA).collect()} == covered
     met = set()
     for n, x1, y1, x2, y2 in [(r.id, *shape(r)) for r in nation_boxes(spark, DATA).collect()]:
         left, bottom, right, top = min(x1, x2), min(y1, y2), max(x1, x2), max(y1, y2)
         met |= {(n, k) for k, (a, b, c, d) in box.items() if a < right and c > left and b < top and d > bottom}
-    assert {(r.a, r.b) for r in QUERIES["spatial_overlap_whole"](spark, DATA).collect()} == met
-    assert {(r.a, r.b) for r in QUERIES["intersection_areas_whole"](spark, DATA).collect()} == met
+    assert {(r.a, r.b) for r in QUERIES["spatial_overlap_join"](spark, DATA).collect()} == met
+    assert {(r.a, r.b) for r in QUERIES["intersection_areas"](spark, DATA).collect()} == met
 
 
 def test_splice_of_short_and_null_texts(spark, tmp_path):
     texts = ["", "ab", "abc", "abcde", "abcdefgh", "abcdefghij", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: (r.edited, r.n_before, r.n_after) for r in QUERIES["edits_splice_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.edited, r.n_before, r.n_after) for r in QUERIES["edits_splice"](spark, str(tmp_path)).collect()}
     assert got == {k: (t[:3] + "<cut>" + t[8:], len(t), len(t[:3] + t[8:]) + 5) if t is not None else (None, None, None) for k, t in enumerate(texts)}
 
 
@@ -71,3 +72,8 @@ def test_grid_grows_with_its_table(spark):
 
     small, large = (customer_cells(spark, d) for d in (DATA, "/root/testdata/sf0.01"))
     assert large.count() > 5 * small.count() > 5 * 25
+
+
+def test_names_are_taken_once():
+    with pytest.raises(ValueError):
+        query()(QUERIES["topology_arcs"])

@@ -164,7 +164,7 @@ def with_shared_areas(pairs: DataFrame, ga: str = "ga", gb: str = "gb") -> DataF
             a, b = edges(batch.column(len(rest))), edges(batch.column(len(rest) + 1))
             _centred(a, b)
             shared, outer = shared_areas(a, b)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *(pa.array(v) for v in (shared, outer, a.area, b.area))], [*rest, "shared", "shared_outer", "area_a", "area_b"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *(pa.array(v.astype(float)) for v in (shared, outer, a.area, b.area))], [*rest, "shared", "shared_outer", "area_a", "area_b"])
 
     return pairs.select(*rest, ga, gb).mapInArrow(run, f"{schema}, shared double, shared_outer double, area_a double, area_b double")
 

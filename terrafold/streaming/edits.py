@@ -158,7 +158,7 @@ def _list_step(op: Column, n: Column, data: Column) -> Column:
 
 
 def splice_list(values: Column, edits: Column) -> Column:
-    """A list after one edit of lists."""
+    """A list after one edit of lists; an edit without steps changes nothing."""
     start = F.struct(F.slice(values, 1, 0).alias("out"), F.lit(1).alias("at"))
 
     def step(acc: Column, e: Column) -> Column:
@@ -166,7 +166,7 @@ def splice_list(values: Column, edits: Column) -> Column:
         out = F.concat(acc["out"], F.when(e["op"] == "retain", here).when(e["op"].isin("insert", "set"), e["data"]).otherwise(F.slice(here, 1, 0)))
         return F.struct(out.alias("out"), (acc["at"] + F.when(e["op"] == "insert", 0).otherwise(e["n"])).alias("at"))
 
-    return F.aggregate(edits, start, step, lambda acc: acc["out"])
+    return F.when(F.size(edits) == 0, values).otherwise(F.aggregate(edits, start, step, lambda acc: acc["out"]))
 
 
 def collected(state: DataFrame, live: DataFrame) -> DataFrame:

@@ -50,3 +50,35 @@ def test_stages(spark, tmp_path):
     want = {i: library.encode(t).ids for i, t in by.items()}
     assert {x.doc_id: np.frombuffer(x.ids, "<u4").tolist() for x in P.token_ids(spark, kept, folder).collect()} == want
     assert {x.doc_id: np.frombuffer(x.ids, "<u4").tolist() for x in P.run(spark, folder).collect()} == want
+
+
+CLASHING = ["row", "id", "kept_text", "n_removed", "score", "lang_pred", "out", "removed", "component_id", "n_tokens", "item_id", "key"]
+
+
+def test_edges(spark, tmp_path):
+    """Null ids, texts and languages, repeated rows, a very long text, columns named as the stages' own, and empty tables."""
+    r = random.Random(11)
+    english, french = [f"the{x}" for x in "abcdefgh"] + ["the", "and", "house", "garden", "of"], ["la", "maison", "et", "le", "jardin", "rouge", "dans", "une", "été"]
+    say = lambda words, n: " ".join(r.choices(words, k=n))
+    rows = [(i, say(english if i % 2 else french, 60), "en" if i % 2 else "fr") for i in range(40)]
+    long = say(english, 120_000)
+    rows += [(50, long, "en"), (51, None, None), (None, say(french, 70), "fr"), (52, say(english, 80), None)]
+    rows += [rows[7], rows[7]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, t, lang, None, None, *CLASHING) for i, t, lang in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, None)], "item_id long, text string").limit(0).write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in P.STAGES[:-1]:
+        kept = stage(spark, docs, folder)
+        assert kept.columns == docs.columns, name
+        got = kept.collect()
+        assert sorted(map(str, (x.doc_id for x in got))) == sorted(str(i) for i, t, _ in rows if t is not None), name
+        assert all(tuple(x[c] for c in CLASHING) == tuple(CLASHING) for x in got), name
+        assert {x.doc_id: x.text for x in got}[52] == rows[43][1]
+        none = stage(spark, docs.limit(0), folder)
+        assert none.columns == docs.columns and none.count() == 0, name
+        docs = kept
+    ids = P.token_ids(spark, docs, folder).collect()
+    assert len(ids) == len(rows) - 1 and max(x.n_tokens for x in ids) >= 120_000
+    assert P.token_ids(spark, docs.limit(0), folder).count() == 0

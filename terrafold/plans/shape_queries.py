@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as G
 from terrafold.operators import clipping, shapes, spatial, topology
-from terrafold.plans.queries import _BOXES, _CELLS, _POINTS, customer_cells, customer_points, nation_boxes, order_boxes
+from terrafold.plans.queries import _BOXES, _CELLS, _POINTS, customer_points, nation_boxes, order_boxes
 from terrafold.plans.registry import query, table
 
 # topology: a cell for each customer, 64 in a row, with a point in the middle of each side

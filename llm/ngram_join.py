@@ -267,11 +267,10 @@ def similarity_classes(
     # the index: lists of two sets or more, cut in blocks by size
     posting = prefixes.select("id", "size", F.posexplode("prefix").alias("pos", "x"))
     block = F.floor(F.log(F.col("size").cast("double")) / -math.log(percent / 100) + 1e-9)
-    posting = staged(posting, "postings")
-    shared = posting.groupBy("x").agg(F.count("*").alias("n")).filter("n > 1").select("x")
-    posting = posting.join(shared, "x", "left_semi")
-    index = staged(posting.withColumn("block", block), "index")
-    dropped(first, whole, reps)
+    postings = staged(posting, "postings")
+    shared = postings.groupBy("x").agg(F.count("*").alias("n")).filter("n > 1").select("x")
+    index = staged(postings.join(shared, "x", "left_semi").withColumn("block", block), "index")
+    dropped(postings, first, whole, reps)
     reps = bitmaps
 
     # families around the leaders of blocks

@@ -15,8 +15,12 @@ chunk starts further left (the overlap doubles) until they do, at worst at the
 last splice, which is true by itself. A chunk never ends inside an added string.
 
 A stretch without a common boundary is encoded anew from the last splice, twice as far each time, so that a run of
-any length is encoded a bounded number of times. Texts of one chunk are encoded together, longer ones some chunks at a
-time, of which only the last is kept: beside the text itself a task holds ``GROUP_CHARS`` characters' encodings.
+any length is encoded a bounded number of times. Texts of one chunk are encoded together, longer ones chunk by chunk,
+of which only the last is kept.
+
+A chunk is encoded by words: the library's byte-level pattern is run by the ``regex`` package, and the library encodes
+each distinct word once, as it merges within words only. Characters that the two patterns read in different ways (the packages' Unicode
+versions differ) are found by asking both for each character when it is first met; a stretch with one is cut by the library.
 """
 
 from __future__ import annotations
@@ -24,47 +28,47 @@ from __future__ import annotations
 import functools
 import json
 import os
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from llm import textkit
+from llm.bpe import PATTERN
 from llm.staging import by_bytes
 
 #: Characters of a chunk, and of the first overlap of two chunks.
 CHUNK_CHARS = 8_192
 OVERLAP_CHARS = 128
-#: Characters whose encodings are held at once.
+#: Characters of short texts that are encoded together.
 GROUP_CHARS = 1 << 17
+#: Characters of the words that a worker remembers, and what a word counts besides its own, before the memory starts anew.
+MEMORY_CHARS = 1 << 25
+WORD_CHARS = 64
 #: Characters that the pattern reads to end a word (a contraction's).
 AHEAD = 3
 BATCH_BYTES = 1 << 20
 
 
 class Chunk:
-    """One encoded stretch of a text."""
+    """One encoded stretch of a text: where its words begin, and the tokens before each."""
 
-    def __init__(self, start: int, end: int, encoding):
-        self.start, self.end, self.encoding, self.tokens = start, end, encoding, len(encoding)
+    def __init__(self, start: int, end: int, words: list[str], counts: list[int]):
+        self.start, self.end = start, end
+        self.words, self.sums = list(accumulate(map(len, words), initial=start)), list(accumulate(counts, initial=0))
+        self.tokens = self.sums[-1]
 
     def before(self, at: int) -> int | None:
         """Tokens of the chunk before a character of the text, if a word begins there."""
-        if at == self.start:
-            return 0
-        e, k = self.encoding, self.encoding.char_to_token(at - self.start)
-        if not k or e.token_to_chars(k)[0] != at - self.start or e.token_to_word(k) == e.token_to_word(k - 1):
-            return None
-        while e.token_to_chars(k - 1)[0] == at - self.start:  # tokens of one character's bytes
-            k -= 1
-        return None if e.token_to_word(k) == e.token_to_word(k - 1) else k
+        k = bisect_left(self.words, at, 0, len(self.words) - 1)
+        return self.sums[k] if self.words[k] == at else None
 
     def last_word(self) -> int:
         """First character of the chunk's last word, which may go on beyond the chunk."""
-        e, k = self.encoding, self.tokens - 1
-        while k and e.token_to_word(k - 1) == e.token_to_word(self.tokens - 1):
-            k -= 1
-        return self.start + e.token_to_chars(k)[0]
+        return self.words[-2]
 
 
 class Counter:
@@ -73,18 +77,57 @@ class Counter:
     def __init__(self, path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.processors import ByteLevel
 
         self.chunk, self.overlap = chunk, overlap
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.post_processor = ByteLevel(trim_offsets=False)  # a word's offsets include its blank
         with open(path, encoding="utf-8") as f:
-            self.added = [t["content"] for t in json.load(f)["added_tokens"]]
+            data = json.load(f)
+        plain = data["normalizer"] is None and data["pre_tokenizer"]["type"] == "ByteLevel" and not data["pre_tokenizer"]["add_prefix_space"]
+        if not plain or any(t[k] for t in data["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: words can't be counted apart")
+        self.added = [t["content"] for t in data["added_tokens"]]
+        self.pattern = regex.compile(PATTERN)
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.by_word: dict[str, int] = {}
+        self.held = 0
+        #: Characters met so far, and those that the library's pattern reads in another way (its Unicode is older).
+        self.met, self.odd = set(), set()
+        self._meet({chr(n) for n in range(128)})
         #: Texts counted by more than one chunk, and overlaps that had to be widened.
         self.spliced = self.widened = 0
 
+    def _meet(self, chars: set[str]) -> None:
+        for c in chars - self.met:
+            probe = f"a{c}1{c}!{c} {c}"
+            if [at for _, at in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)] != [m.span() for m in self.pattern.finditer(probe)]:
+                self.odd.add(c)
+        self.met |= chars
+
+    def _words(self, text: str) -> list[str]:
+        """The words of a stretch, added strings among them, as the library's pattern gives them."""
+        if not text.isascii():
+            self._meet(set(text))
+        out: list[str] = []
+        for n, run in enumerate(self.cut.split(text) if self.cut is not None else [text]):
+            if n % 2:
+                out.append(run)
+            elif self.odd.isdisjoint(run):
+                out += self.pattern.findall(run)
+            else:
+                out += [run[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(run)]
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        """Has the library encode the words that are not remembered."""
+        new = [w for w in words if w not in self.by_word]
+        self.held += sum(map(len, new)) + WORD_CHARS * len(new)
+        if self.held > MEMORY_CHARS:
+            self.by_word = {w: self.by_word[w] for w in words if w in self.by_word}
+            self.held = sum(map(len, words)) + WORD_CHARS * len(words)
+        self.by_word |= zip(new, map(len, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)))
+
     def counts(self, texts: list[str]) -> list[int]:
         """The token count of each text."""
         out, held, chars = [0] * len(texts), [], 0
@@ -101,9 +144,11 @@ class Counter:
         return out
 
     def _short(self, texts: list[str], numbers: list[int], out: list[int]) -> None:
-        """Counts of texts that are one chunk each, without offsets."""
-        for n, e in zip(numbers, self.tokenizer.encode_batch_fast([texts[n] for n in numbers], add_special_tokens=False)):
-            out[n] = len(e)
+        """Counts of texts that are one chunk each."""
+        found = [self._words(texts[n]) for n in numbers]
+        self._learn(set().union(*found))
+        for n, words in zip(numbers, found):
+            out[n] = sum(map(self.by_word.__getitem__, words))
 
     def _plan(self, text: str, start: int) -> list[tuple[int, int]]:
         """Start and end of the next chunks; each ends ``overlap`` characters after the next one's start."""
@@ -125,7 +170,13 @@ class Counter:
         return end
 
     def _encoded(self, text: str, start: int, end: int) -> Chunk:
-        return Chunk(start, end, self.tokenizer.encode(text[start:end], add_special_tokens=False))
+        """A stretch encoded anew."""
+        return self._chunk(text, start, end)
+
+    def _chunk(self, text: str, start: int, end: int) -> Chunk:
+        words = self._words(text[start:end])
+        self._learn(set(words))
+        return Chunk(start, end, words, list(map(self.by_word.__getitem__, words)))
 
     def _long(self, text: str) -> int:
         """The count of a text of several chunks."""
@@ -133,14 +184,13 @@ class Counter:
         now, total, splice, done = None, 0, 0, 0  # splice: a true boundary up to which all is counted; done: tokens of the chunk before it
         while now is None or now.end < len(text):
             plan = self._plan(text, 0 if now is None else max(now.start + 1, now.end - self.overlap))
-            encoded = self.tokenizer.encode_batch([text[a:b] for a, b in plan], add_special_tokens=False)
-            for (a, b), e in zip(plan, encoded):
-                nxt, overlap = Chunk(a, b, e), self.overlap
+            for a, b in plan:
                 if now is None:
-                    now = nxt
+                    now = self._chunk(text, a, b)
                     continue
                 if b <= now.end:
                     continue
+                nxt, overlap = self._chunk(text, a, b), self.overlap
                 while (common := self._common(now, nxt, splice)) is None:
                     self.widened += 1
                     overlap *= 2

@@ -93,3 +93,30 @@ def test_runs_without_a_boundary_are_encoded_a_bounded_number_of_times(monkeypat
         c = Counting(PATH, 500, 50)
         assert c.counts(["go " + text[:n] + " on"]) == [len(c.tokenizer.encode("go " + text[:n] + " on", add_special_tokens=False))]
         assert c.widened and sum(seen) <= 9 * n
+
+
+def test_each_word_is_encoded_once(library):
+    """Before, the library encoded every word of every text (979 CPU seconds a GB)."""
+    c, asked = token_counts.Counter(PATH), []
+
+    class Asked:
+        pre_tokenizer = c.tokenizer.pre_tokenizer
+
+        def encode_batch_fast(self, words, **options):
+            asked.extend(words)
+            return library.encode_batch_fast(words, **options)
+
+    c.tokenizer = Asked()
+    texts = ["the cat's hat, " * 20, "the cat's hat " * 2000, "<|endoftext|>a hat"]
+    assert c.counts(texts) == [len(library.encode(t).ids) for t in texts]
+    assert c.spliced == 1 and len(asked) == len(set(asked)) < 30
+
+
+def test_newer_characters_and_small_memory(monkeypatch, library):
+    """Letters that the library's Unicode doesn't know are cut as the library does; the words' memory starts anew."""
+    monkeypatch.setattr(token_counts, "MEMORY_CHARS", 500)
+    odd = "".join(map(chr, (0x558, 0x58B, 0x88F, 0x323B0, 0x11DE0, 0x10940)))
+    texts = [f"a{c}b 1{c}2 !{c}" for c in odd] + [f"go {odd} on{odd[0]}é 日本 " * n for n in (1, 9, 900)] + noise(200, 300, 5)
+    c = token_counts.Counter(PATH, chunk=64, overlap=8)
+    assert c.counts(texts) == [len(library.encode(t).ids) for t in texts]
+    assert set(odd) <= c.met and c.odd and c.odd <= set(odd)

@@ -6,11 +6,13 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes (rows times the width of a row) up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 8 << 20
+#: Bits of a sieve, which is broadcast as 16 bytes for 64 of them.
+SIEVE_BITS = 1 << 25
 #: Bytes of an Arrow batch that a Python worker is sent at once.
 ARROW_BYTES = 4 << 20
 
@@ -60,6 +62,22 @@ def dropped(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sieved(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """``df`` with the column ``maybe``: false only where ``key`` is none of ``keys``' longs (null: false).
+
+    Each long sets one of 8 to 16 bits a long, ``SIEVE_BITS`` at most, and the bits are broadcast, so that most
+    rows without a partner need no shuffle. With more keys than that more rows are let through.
+    """
+    bits = 1 << min(max(8 * keys.count(), 1 << 10).bit_length(), SIEVE_BITS.bit_length() - 1)
+    slot = F.col("slot").bitwiseAND(F.lit(bits - 1))
+    word, bit = F.shiftright(slot, 6), slot.bitwiseAND(F.lit(63)).cast("int")
+    own = keys.select(keys[0].alias("slot")).select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("mask"))
+    own = F.broadcast(own.groupBy("word").agg(F.bit_or("mask").alias("mask")))
+    out = df.withColumn("slot", key).withColumn("word", word).join(own, "word", "left")
+    maybe = F.call_function("shiftrightunsigned", F.col("mask"), bit).bitwiseAND(F.lit(1)) == 1
+    return out.withColumn("maybe", F.coalesce(maybe, F.lit(False))).drop("slot", "word", "mask")
+
+
 def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """A staged table, marked for broadcast if it has numbers and strings only and they take at most ``most`` bytes."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}

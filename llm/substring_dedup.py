@@ -12,12 +12,17 @@ hash in a window is its anchor. Equal windows have equal anchors, so a window wh
 anchor occurs in one document only has no other. Neighbouring windows share their
 anchor, so anchors are a few hundredths of the windows. This loses no window.
 
-Jobs: anchors per document; the smallest and largest id per anchor; windows below
-anchors with two ids or more; the smallest id per window hash; removed windows
+The windows of one anchor make a stretch of some words. Equal stretches have equal windows, so the
+smallest id of each stretch owns all of them, if its anchor has no other stretch; only where an anchor has
+stretches that differ are windows taken apart and compared, those of one stretch of each kind. Inside a longer copied
+passage all stretches are equal, so mostly its two ends remain.
+
+Jobs: stretches per document, hashed as windows are; the smallest and largest id per anchor; the first of each
+stretch among shared anchors; windows of those below anchors with two kinds or more; the smallest id per window hash; removed stretches and windows
 merged to maximal intervals per document; the texts without them. A hash in a third
 of all documents is combined before its shuffle when counted, and joined back by
 broadcast while the repeated hashes take a few megabytes, else in parts by Spark's skew join.
-Each table is deleted once the next one is written.
+Texts are shuffled only where a broadcast sieve of the wanted ones lets them through. Each table is deleted once the next one is written.
 
 Null ids own nothing and lose nothing; null and empty texts have no words; rows
 with equal id and text are judged alike; an empty table gives an empty result.
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm import textkit
-from llm.staging import dropped, sized, staged
+from llm.staging import dropped, sieved, sized, staged
 
 WIDTH = 50
 #: Windows whose grams are compared in one numpy pass.
@@ -70,18 +75,23 @@ def _anchor_rows(width: int):
             for lo, hi in textkit.slices(batch.column(2)):
                 data, off = textkit.raw(batch.column(2).slice(lo, hi - lo))
                 starts, ends, first = textkit.words(data, off)
-                anchor, a, b = _anchors(textkit.word_hashes(data, starts, ends), first, width)
+                words = textkit.word_hashes(data, starts, ends)
+                anchor, a, b = _anchors(words, first, width)
+                content = textkit.stretch_hashes(words, a, b + width)
+                check = textkit.stretch_hashes(textkit.mix(words ^ SECOND), a, b + width).astype(np.uint32)
                 row = np.searchsorted(first, a, side="right") - 1
                 take = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(anchor.view(np.int64)),
+                        pa.array(content.view(np.int64)),
+                        pa.array(check.view(np.int32)),
                         batch.column(0).take(take),
                         batch.column(1).take(take),
                         pa.array((a - first[row]).astype(np.int32)),
                         pa.array((b - first[row]).astype(np.int32)),
                     ],
-                    ["hash", "id", "key", "lo", "hi"],
+                    ["hash", "content", "check", "id", "key", "lo", "hi"],
                 )
 
     return run
@@ -105,6 +115,8 @@ def _window_rows(width: int):
                 keep = mark.cumsum()[at] > 0
                 windows, checks, at = windows[keep], checks[keep], at[keep]
                 row = np.searchsorted(first, at, side="right") - 1
+                a.sort()
+                lead = a[np.searchsorted(a, at, side="right") - 1] if len(at) else at  # stretches of one text don't overlap
                 for k in range(0, max(len(at), 1), BLOCK):
                     part = slice(k, k + BLOCK)
                     take = pa.array(row[part] + lo)
@@ -114,9 +126,10 @@ def _window_rows(width: int):
                             pa.array(checks[part].view(np.int32)),
                             batch.column(0).take(take),
                             batch.column(1).take(take),
-                            pa.array((at[part] - first[row[part]]).astype(np.int32)),
+                            pa.array((lead[part] - first[row[part]]).astype(np.int32)),
+                            pa.array((at[part] - lead[part]).astype(np.int32)),
                         ],
-                        ["hash", "check", "id", "key", "pos"],
+                        ["hash", "check", "id", "key", "lo", "pos"],
                     )
 
     return run
@@ -127,10 +140,12 @@ def _intervals(width: int):
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             spans = []
-            for positions in batch.column(2):
-                p = np.unique(positions.values.to_numpy())
-                cut = np.flatnonzero(np.diff(p) > width)
-                begin, end = p[np.append(0, cut + 1)], p[np.append(cut, len(p) - 1)] + width
+            for ranges in batch.column(2):
+                lo, hi = (ranges.values.field(k).to_numpy() for k in (0, 1))
+                order = np.argsort(lo)
+                lo, hi = lo[order], np.maximum.accumulate(hi[order])
+                cut = np.flatnonzero(lo[1:] - hi[:-1] > width)
+                begin, end = lo[np.append(0, cut + 1)], hi[np.append(cut, len(hi) - 1)] + width
                 spans.append([{"begin": a, "end": b} for a, b in zip(begin.tolist(), end.tolist())])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], ["id", "key", "removed"])
 
@@ -166,20 +181,35 @@ def removed_intervals(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("key"), docs[text_col].alias("text"))
     base = base.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    anchors = staged(base.mapInArrow(textkit.tidy(_anchor_rows(width)), f"hash bigint, id {kind}, key bigint, lo int, hi int"), "anchors")
+    stretch = ["hash", "content", "check"]
+    anchors = staged(base.mapInArrow(textkit.tidy(_anchor_rows(width)), f"hash bigint, content bigint, check int, id {kind}, key bigint, lo int, hi int"), "anchors")
     shared = anchors.groupBy("hash").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("hash")
     shared = staged(shared, "shared-anchors")
-    ranges = anchors.join(sized(shared), "hash", "left_semi").groupBy("id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    ranges = staged(ranges, "ranges")
+    stretches = staged(anchors.join(sized(shared), "hash", "left_semi"), "stretches")
     dropped(anchors, shared)
-    near = base.join(sized(ranges.select("id", "key")), ["id", "key"], "left_semi").join(ranges, ["id", "key"])
-    windows = near.select("id", "key", "text", "ranges").mapInArrow(textkit.tidy(_window_rows(width)), f"hash bigint, check int, id {kind}, key bigint, pos int")
+    # equal stretches have equal windows: one of the smallest id stands for all
+    first = stretches.groupBy(*stretch).agg(F.min(F.struct("id", "key", "lo", "hi")).alias("first"))
+    first = staged(first.select(*stretch, "first.*"), "contents")
+    # windows are compared where an anchor has stretches that differ
+    mixed = first.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    mixed = staged(mixed, "mixed-anchors")
+    ranges = first.join(sized(mixed), "hash", "left_semi").groupBy("id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = staged(ranges, "ranges")
+    near = sieved(base, F.col("key"), ranges.select("key")).filter("maybe").join(ranges, ["id", "key"])
+    windows = near.select("id", "key", "text", "ranges").mapInArrow(textkit.tidy(_window_rows(width)), f"hash bigint, check int, id {kind}, key bigint, lo int, pos int")
     windows = staged(windows, "windows")
     owner = windows.groupBy("hash", "check").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").select("hash", "check", "owner")
     owner = staged(owner, "owners")
-    gone = windows.join(sized(owner), ["hash", "check"]).filter("id > owner").groupBy("id", "key").agg(F.collect_set("pos").alias("positions"))
+    lost = windows.join(sized(owner), ["hash", "check"]).filter("id > owner").select("id", "key", "lo", "pos").distinct()
+    lost = staged(lost, "lost")
+    dropped(mixed, ranges, windows, owner)
+    # a stretch goes whole where a smaller id has it, else without the windows that another stretch of a smaller id has
+    whole = stretches.join(sized(first.select(*stretch, F.col("id").alias("least"))), stretch).filter("id > least").select("id", "key", "lo", "hi")
+    lost = staged(lost.join(first, ["id", "key", "lo"]).select(*stretch, "id", "pos"), "lost")
+    some = stretches.join(sized(lost), [*stretch, "id"]).select("id", "key", (F.col("lo") + F.col("pos")).alias("lo"), (F.col("lo") + F.col("pos")).alias("hi"))
+    gone = whole.unionByName(some).groupBy("id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     out = staged(gone.mapInArrow(textkit.tidy(_intervals(width)), f"id {kind}, key bigint, removed array<struct<begin:int,end:int>>"), "removed")
-    dropped(ranges, windows, owner)
+    dropped(stretches, first, lost)
     return out
 
 
@@ -189,10 +219,12 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     ``kept_text`` joins the kept words with one blank. With ``carry`` the id column is
     ``row``, a struct of all columns of the input; without, other columns are ignored.
     """
-    removed = removed_intervals(docs, width, id_col, text_col).select(F.col("id").alias("r_id"), F.col("key").alias("r_key"), "removed")
+    removed = removed_intervals(docs, width, id_col, text_col)
     out = F.struct(*(docs[c] for c in docs.columns)) if carry else docs[id_col]
     base = docs.select(out.alias("out"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = base.schema["out"].dataType.simpleString()
-    joined = base.join(removed, (F.col("id") == F.col("r_id")) & (F.xxhash64("text") == F.col("r_key")), "left").select("out", "text", "removed")
+    base = sieved(base.withColumn("key", F.xxhash64("text")), F.col("key"), removed.select("key"))
+    joined = base.filter("maybe").join(removed, ["id", "key"], "left").select("out", "text", "removed")
+    joined = joined.unionByName(base.filter("not maybe").select("out", "text", F.lit(None).cast(removed.schema["removed"].dataType).alias("removed")))
     out = joined.mapInArrow(textkit.tidy(_kept), f"id {kind}, n_words bigint, n_removed bigint, removed array<struct<begin:int,end:int>>, kept_text string")
     return out.withColumnRenamed("id", "row" if carry else id_col)

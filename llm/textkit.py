@@ -136,3 +136,11 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np
     text = np.searchsorted(first, at, side="right") - 1
     at = at[at + width <= first[text + 1]]
     return mix((total[at + width] - total[at]) * down[at]), at
+
+
+def stretch_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Rabin-Karp hash of each stretch of words ``begin`` to ``end``, its length included."""
+    up, down = _powers(_WORD_BASE, len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return mix(mix((total[end] - total[begin]) * down[begin]) + (end - begin).astype(np.uint64))

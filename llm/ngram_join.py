@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from llm import textkit
 from llm.components import components
-from llm.staging import dropped, sized, staged
+from llm.staging import dropped, sieved, sized, staged
 
 #: Part of the hash range whose shingles every set sends.
 LOW_PART = 0.25
@@ -59,6 +59,8 @@ JOIN_ROUNDS = 1
 STEPS = 4
 #: Bits of a parity bitmap: the power of two from the set size on, within these.
 BITS_LEAST, BITS_MOST = 128, 4096
+#: Pairs of one set that are verified together; more are dealt out.
+HUB_PAIRS = 256
 
 _LOW = np.int64(int(-(2**63) + LOW_PART * 2**64))
 
@@ -140,6 +142,22 @@ def _set_rows(n: int, lower: bool):
     return run
 
 
+def _overlap_rows(n: int, lower: bool):
+    """Sizes of the intersections of two text columns' sets; rows of one hub mostly come together, and its set is made once a batch."""
+
+    def sets(texts: pa.Array) -> list[np.ndarray]:
+        return [values[x:y] for _, values, off in _sets(texts, n, lower) for x, y in zip(off[:-1].tolist(), off[1:].tolist())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, first, which = np.unique(batch.column(4).to_numpy(), return_index=True, return_inverse=True)
+            spokes, hubs = sets(batch.column(5)), sets(batch.column(6).take(pa.array(first)))
+            met = [len(np.intersect1d(spoke, hubs[k], assume_unique=True)) for spoke, k in zip(spokes, which.tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(met, pa.int64())], ["a", "b", "a_size", "b_size", "overlap"])
+
+    return run
+
+
 def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The frequent shingles and their counts, few by raising the limit; only these come to the driver."""
     limit = FREQUENT
@@ -196,6 +214,16 @@ def _may_link(percent: int) -> Column:
     return differ <= F.col("a_size") + F.col("b_size") - 2 * _needed(F.col("a_size"), F.col("b_size"), percent)
 
 
+def _sieved(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` (with ``id``) with the column ``maybe``, false only for rows with none of ``ids``."""
+    return sieved(rows, F.xxhash64("id"), ids.select(F.xxhash64("id")))
+
+
+def _texts_of(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``base`` with one of ``ids``, a staged table, and its columns; most other texts are not shuffled."""
+    return _sieved(base, ids).filter("maybe").drop("maybe").join(sized(ids), "id")
+
+
 def _overlaps(pairs: DataFrame, reps: DataFrame, base: DataFrame, n: int, lower: bool, percent: int, bitmaps: bool = True) -> DataFrame:
     """Exact overlaps of pairs (a, b) of representatives, with sizes; with ``bitmaps`` only of pairs they allow."""
     for side in ("a", "b"):
@@ -203,16 +231,31 @@ def _overlaps(pairs: DataFrame, reps: DataFrame, base: DataFrame, n: int, lower:
         pairs = pairs.join(info, side)
     if bitmaps:
         pairs = pairs.filter(_may_link(percent))
-    pairs = staged(pairs.drop("a_bitmap", "b_bitmap"), "pairs")
+    pairs = first = staged(pairs.drop("a_bitmap", "b_bitmap"), "pairs")
     if pairs.isEmpty():
         return pairs.withColumn("overlap", F.lit(0).cast("long"))
-    ids = staged(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    # each pair's text of fewer pairs (the spoke) goes to that of more (the hub), so that a hub's is not sent with each of its pairs
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n"))
+    ends = staged(ends, "ends")
+    for side in ("a", "b"):
+        pairs = pairs.join(ends.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n")), side)
+    swap = F.col("a_n") > F.col("b_n")
+    spoke, hub = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
+    parts = F.ceil(F.greatest("a_n", "b_n") / F.lit(HUB_PAIRS)).cast("int")
+    pairs = pairs.select("a", "b", "a_size", "b_size", spoke.alias("spoke"), hub.alias("hub"), parts.alias("parts"))
+    pairs = staged(pairs.withColumn("deal", F.pmod(F.xxhash64("spoke"), F.col("parts")).cast("int")), "sides")
+    ids = pairs.select(F.col("spoke").alias("id"), F.lit(True).alias("as_spoke"), F.lit(0).alias("parts")).unionByName(pairs.select(F.col("hub").alias("id"), F.lit(False).alias("as_spoke"), "parts"))
+    ids = staged(ids.groupBy("id").agg(F.max("as_spoke").alias("as_spoke"), F.max("parts").alias("parts")), "ids")
+    texts = staged(_texts_of(base, ids), "texts")
+    joined = pairs.join(texts.filter("as_spoke").select(F.col("id").alias("spoke"), F.col("text").alias("spoke_text")), "spoke")
+    hubs = texts.filter("parts > 0").select(F.col("id").alias("hub"), F.col("text").alias("hub_text"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("deal"))
+    joined = joined.join(hubs, ["hub", "deal"])
     kind = base.schema["id"].dataType.simpleString()
-    sets = staged(base.join(sized(ids), "id", "left_semi").mapInArrow(textkit.tidy(_set_rows(n, lower)), f"id {kind}, shingles array<bigint>"), "sets")
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("a_set")), "a")
-    joined = joined.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("b_set")), "b")
-    out = staged(joined.withColumn("overlap", F.size(F.array_intersect("a_set", "b_set")).cast("long")).drop("a_set", "b_set"), "overlaps")
-    dropped(pairs, ids, sets)
+    out = joined.select("a", "b", "a_size", "b_size", "hub", "spoke_text", "hub_text").mapInArrow(
+        textkit.tidy(_overlap_rows(n, lower)), f"a {kind}, b {kind}, a_size bigint, b_size bigint, overlap bigint"
+    )
+    out = staged(out, "overlaps")
+    dropped(first, ends, pairs, ids, texts)
     return out
 
 
@@ -241,37 +284,42 @@ def similarity_classes(
     rows = staged(rows, "sets")
     classes = staged(rows.filter("size > 0").groupBy("size", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")), "classes")
     own = classes.filter("rep is not null").select(F.col("rep").alias("id"))
-    reps = staged(rows.join(own, "id", "left_semi").dropDuplicates(["id"]).select("id", "size", "part"), "representatives")
-    bitmaps = staged(rows.join(own, "id", "left_semi").dropDuplicates(["id"]).select("id", "size", "bitmap"), "bitmaps")
-    slim = staged(rows.select("id", "size", "d1", "d2"), "digests")
-    dropped(rows)
-    rows = slim
+    # most rows are the only one of their id and set, and need no shuffle; the others have their sets shuffled
+    full = rows.filter("id is not null and size > 0")
+    others = full.groupBy("id").agg(F.count("*").alias("n")).join(own.withColumn("own", F.lit(True)), "id", "left").filter("n > 1 or own is null")
+    others = staged(others.select("id"), "others")
+    told = _sieved(full, others)
+    columns = ["id", "size", "part", "bitmap"]
+    picked = staged(told.filter("maybe").join(own, "id", "left_semi").dropDuplicates(["id"]).select(columns), "representatives")
+    reps = told.filter("not maybe").select(columns).unionByName(picked)
+    bitmaps = staged(reps.select("id", "size", "bitmap"), "bitmaps")
+    digests = staged(rows.select("id", "size", "d1", "d2"), "digests")
 
     # frequent shingles, and prefixes
-    counts = reps.select(F.explode("part").alias("x")).groupBy("x").agg(F.count("*").alias("count")).filter(F.col("count") > FREQUENT)
-    frequent, many = _frequent(staged(counts, "counts"))
+    low = staged(reps.select(F.explode("part").alias("x")).groupBy("x").agg(F.count("*").alias("count")).filter("count > 1"), "counts")
+    frequent, many = _frequent(low)
     schema = f"id {kind}, size bigint, prefix array<bigint>"
     first = staged(reps.select("id", "size", "part").mapInArrow(textkit.tidy(_prefix_rows(frequent, many, percent)), schema), "prefixes")
-    short = sized(staged(first.filter("prefix is null").select("id"), "short"))
-    whole = staged(base.join(short, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(textkit.tidy(_set_rows(n, lower)), f"id {kind}, shingles array<bigint>"), "whole")
-    high = whole.select(F.explode("shingles").alias("x")).unionByName(reps.filter(F.col("size") <= SMALL).select(F.explode("part").alias("x"))).filter(F.col("x") >= int(_LOW))
-    counts = high.groupBy("x").agg(F.count("*").alias("count")).filter(F.col("count") > FREQUENT)
-    frequent_high, many_high = _frequent(staged(counts, "counts"))
-    low = frequent < _LOW
-    frequent, many = np.concatenate([frequent[low], frequent_high]), np.concatenate([many[low], many_high])
-    small = reps.filter(F.col("size") <= SMALL).select("id", "size", "part")
-    again = small.unionByName(whole.select("id", F.size("shingles").cast("bigint").alias("size"), F.col("shingles").alias("part")))
-    second = again.mapInArrow(textkit.tidy(_prefix_rows(frequent, many, percent)), schema)
+    short = staged(first.filter("prefix is null").select("id"), "short")
+    whole = _texts_of(base, short).dropDuplicates(["id"]).mapInArrow(textkit.tidy(_set_rows(n, lower)), f"id {kind}, shingles array<bigint>")
+    whole = whole.select("id", F.size("shingles").cast("bigint").alias("size"), F.col("shingles").alias("part"))
+    whole = staged(whole.unionByName(reps.filter(F.col("size") <= SMALL).select("id", "size", "part")), "whole")
+    dropped(rows, others, picked, short)
+    high = whole.select(F.explode("part").alias("x")).filter(F.col("x") >= int(_LOW)).groupBy("x").agg(F.count("*").alias("count")).filter("count > 1")
+    high = staged(high, "counts")
+    frequent_high, many_high = _frequent(high)
+    lowest = frequent < _LOW
+    frequent, many = np.concatenate([frequent[lowest], frequent_high]), np.concatenate([many[lowest], many_high])
+    second = whole.mapInArrow(textkit.tidy(_prefix_rows(frequent, many, percent)), schema)
     prefixes = first.filter(F.col("prefix").isNotNull() & (F.col("size") > SMALL)).unionByName(second)
 
-    # the index: lists of two sets or more, cut in blocks by size
+    # the index: postings of shingles that two sets sent, cut in blocks by size
     posting = prefixes.select("id", "size", F.posexplode("prefix").alias("pos", "x"))
     block = F.floor(F.log(F.col("size").cast("double")) / -math.log(percent / 100) + 1e-9)
-    postings = staged(posting, "postings")
-    shared = postings.groupBy("x").agg(F.count("*").alias("n")).filter("n > 1").select("x")
-    index = staged(postings.join(shared, "x", "left_semi").withColumn("block", block), "index")
-    dropped(postings, first, whole, reps)
-    reps = bitmaps
+    shared = low.filter(F.col("x") < int(_LOW)).unionByName(high).select("x")
+    index = staged(posting.join(shared, "x", "left_semi").withColumn("block", block), "index")
+    dropped(first, whole, low, high)
+    rows, reps = digests, bitmaps
 
     # families around the leaders of blocks
     leader = index.groupBy("x", "block").agg(F.min(F.struct("size", "id")).alias("lead"))

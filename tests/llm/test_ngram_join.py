@@ -55,3 +55,29 @@ def test_edges(spark):
     got = sorted([tuple(x) for x in ngram_join.similarity_classes(docs).collect()], key=str)
     assert got == sorted([(1, 0, 1, 1), (None, 2, None, 3), (2, 2, 2, 3), (2, 2, 2, 3)], key=str)
     assert ngram_join.similarity_classes(docs.limit(0)).count() == 0
+
+
+def test_sets_and_texts_are_not_sent_again(spark, monkeypatch):
+    """Before, all sets were shuffled to tell the representatives, all postings to count them, and a hub's set went with each of its pairs."""
+    tables, write = {}, ngram_join.staged
+
+    def kept(df, name):
+        tables.setdefault(name, []).append((df.columns, (out := write(df, name)).count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "staged", kept)
+    monkeypatch.setattr(ngram_join, "dropped", lambda *tables: None)
+    monkeypatch.setattr(ngram_join, "HUB_PAIRS", 4)
+    r = random.Random(5)
+    text = [f"w{n}" for n in range(300)]
+    rows = [(i, " ".join(f"o{r.random()}" for _ in range(80))) for i in range(400)]
+    rows += [(1000 + i, " ".join(text[:7 * i % 290] + ["x", str(i)] + text[7 * i % 290 :])) for i in range(30)]
+    rows += [(2000, rows[3][1]), (2001, rows[405][1])]
+    docs = spark.createDataFrame([*rows, rows[7]], "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.similarity_classes(docs, 4, 85, True).collect()}
+    assert got == brute(rows, 4, 85, True)
+    (_, picked), = tables["representatives"]
+    assert 0 < picked < 100  # of 430
+    assert "postings" not in tables and "sets" in tables and len(tables["sets"]) == 1
+    (columns, n), = [x for x in tables["sides"] if x[1] > 4][:1]
+    assert "deal" in columns and n >= 29

@@ -12,11 +12,14 @@ from terrafold.plans.registry import query, table
 # topology: a cell for each customer, 64 in a row, with a point in the middle of each side
 
 
-def notched_cells(spark, d, scale=1.0, bump=None):
-    """Cells of side ``scale``; ``bump`` gives the height of the middle of the side from (x, y), upright or not, in sides."""
+def notched_cells(spark, d, scale=1.0, bump=None, east=False):
+    """Cells of side ``scale``; ``bump`` gives the height of the middle of the side from (x, y), upright or not, in sides.
+
+    With ``east`` the rows, whose number grows with the table, follow each other eastward, so that latitudes stay below 64 sides.
+    """
     c = table(spark, d, "customer")
     x, y = F.col("c_custkey") % 64, F.floor(F.col("c_custkey") / 64)
-    at = lambda u, v: G.point(u * scale, v * scale)
+    at = lambda u, v: G.point(v * scale, u * scale) if east else G.point(u * scale, v * scale)
     across = lambda u, v: at(u + 0.5, v + (bump(u, v, 0) if bump else 0))
     upright = lambda u, v: at(u + (bump(u, v, 1) if bump else 0), v + 0.5)
     ring = F.array(at(x, y), across(x, y), at(x + 1, y), upright(x + 1, y), at(x + 1, y + 1), across(x, y + 1), at(x, y + 1), upright(x, y), at(x, y))
@@ -89,8 +92,11 @@ def dissolved_holes(spark, d):
 
 
 def bumpy_cells(spark, d):
-    """Cells of 1/16 degree; the middle of a third of all sides is a thousandth of a side off, that of the others next to nothing."""
-    return notched_cells(spark, d, 1 / 16, lambda u, v, k: F.when((u + v + k) % 3 == 0, 1e-2).otherwise(1e-6))
+    """Cells of 1/16 degree; the middle of a third of all sides is a thousandth of a side off, that of the others next to nothing.
+
+    Rows go east: northward, the 1,440th would reach the pole, where triangles on the sphere shrink to nothing.
+    """
+    return notched_cells(spark, d, 1 / 16, lambda u, v, k: F.when((u + v + k) % 3 == 0, 1e-2).otherwise(1e-6), east=True)
 
 
 @query(_CELLS + """SELECT 'c' || k AS id, (5 + ((x + y) % 3 = 0)::INT + ((x + 1 + y + 1) % 3 = 0)::INT + ((x + y + 1) % 3 = 0)::INT + ((x + y + 1) % 3 = 0)::INT)::INT AS n_points FROM c""")

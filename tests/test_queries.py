@@ -77,3 +77,10 @@ def test_grid_grows_with_its_table(spark):
 def test_names_are_taken_once():
     with pytest.raises(ValueError):
         query()(QUERIES["topology_arcs"])
+
+
+def test_simplification_where_a_northward_grid_would_reach_the_pole(spark, tmp_path):
+    spark.range(1438 * 64, 1441 * 64).selectExpr("id as c_custkey", "cast(id % 25 as int) as c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    x, y = (lambda k: k % 64), (lambda k: k // 64)
+    want = {f"c{k}": 5 + sum((x(k) + y(k) + n) % 3 == 0 for n in (0, 1, 1, 2)) for k in range(1438 * 64, 1441 * 64)}
+    assert {r.id: r.n_points for r in QUERIES["shared_simplification"](spark, str(tmp_path)).collect()} == want

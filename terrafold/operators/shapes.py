@@ -5,17 +5,20 @@ Each row is measured by itself; a small helper per row, a map without a shuffle.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as G
-from terrafold.operators.staging import staged
+from terrafold.operators import flat
+
+#: Pairs of points and edges in one array.
+PRODUCTS = 1 << 20
 
 
 def hull(points: np.ndarray) -> np.ndarray:
@@ -116,55 +119,97 @@ def thin(points: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def label(rings: list[np.ndarray], precision: float = 0.02) -> tuple[float, float, float]:
-    """The inside point farthest from all edges, and that distance, to within a share of the box's shorter side.
+    """The inside point of one polygon farthest from all edges, and that distance; see :func:`labels`."""
+    xy, n = np.concatenate(rings), flat.offsets(np.array([len(r) for r in rings]))
+    x, y, far = labels(flat.Flat(xy[:, 0], xy[:, 1], n, np.array([0, len(rings)]), np.array([0, 1])), precision)
+    return float(x[0]), float(y[0]), float(far[0])
+
+
+def labels(g: flat.Flat, precision: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By polygon: the inside point farthest from all edges (x, y), and that distance, to within a share of the box's shorter side.
 
-    Squares that cover the box are searched by the most that they can hold (their
-    centre's distance plus half a diagonal); each is quartered until none can hold more.
+    Squares that cover a polygon's box are judged by the most that they can hold (their centre's distance plus half a diagonal);
+    those that can hold more than the best so far are quartered, until none can. All polygons' squares of one size are one array. Polygons without edges have distance -inf.
     """
-    a, b = np.concatenate([r[:-1] for r in rings]), np.concatenate([r[1:] for r in rings])
-    d = b - a
-    length = np.maximum((d * d).sum(axis=1), 1e-300)
-    slope = np.divide(d[:, 0], d[:, 1], out=np.zeros(len(d)), where=d[:, 1] != 0)
-
-    def depth(at: np.ndarray) -> np.ndarray:
-        v = at[:, None] - a
-        t = np.clip((v * d).sum(axis=2) / length, 0, 1)
-        far = np.sqrt(((v - t[..., None] * d) ** 2).sum(axis=2).min(axis=1))
-        crossed = ((a[:, 1] > at[:, 1:]) != (b[:, 1] > at[:, 1:])) & (at[:, :1] < a[:, 0] + v[..., 1] * slope)
-        return np.where(crossed.sum(axis=1) % 2 == 1, far, -far)
-
-    low, high = rings[0].min(axis=0), rings[0].max(axis=0)
-    half = max(float((high - low).min()), 1e-9) / 2
-    precision *= 2 * half
-    grid = [np.arange(l + half, max(h, l + half * 1.001), 2 * half) for l, h in zip(low, high)]
-    todo, best, corners = [], (0.0, 0.0, -np.inf), np.array([[-1, -1], [-1, 1], [1, -1], [1, 1]])
-    fresh = np.stack(np.meshgrid(*grid), axis=-1).reshape(-1, 2)
-    while True:
-        for (x, y), far in zip(fresh.tolist(), depth(fresh).tolist()):
-            if far > best[2]:
-                best = (x, y, far)
-            heapq.heappush(todo, (-(far + half * math.sqrt(2)), half, x, y))
-        if not todo or -todo[0][0] - best[2] <= precision:
-            return best
-        _, half, x, y = heapq.heappop(todo)
-        half /= 2
-        fresh = np.array([x, y]) + corners * half
+    a, b, off = g.edges()
+    ax, ay, by = g.x[a], g.y[a], g.y[b]
+    dx, dy = g.x[b] - ax, by - ay
+    length = np.maximum(dx * dx + dy * dy, 1e-300)
+    slope = np.divide(dx, dy, out=np.zeros(len(dx)), where=dy != 0)
+
+    def depth(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Distances of points from the edges of polygons ``p``, negative outside; some pairs at a time."""
+        n = off[p + 1] - off[p]
+        ends, lo, out = np.cumsum(n), 0, np.empty(len(p))
+        while lo < len(p):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PRODUCTS, side="right")))
+            k, some = flat.spans(off[p[lo:hi]], n[lo:hi]), n[lo:hi]
+            vx, vy = np.repeat(x[lo:hi], some) - ax[k], np.repeat(y[lo:hi], some) - ay[k]
+            t = np.clip((vx * dx[k] + vy * dy[k]) / length[k], 0, 1)
+            first = np.cumsum(some) - some
+            far = np.sqrt(np.minimum.reduceat((vx - t * dx[k]) ** 2 + (vy - t * dy[k]) ** 2, first))
+            high = np.repeat(y[lo:hi], some)
+            crossed = ((ay[k] > high) != (by[k] > high)) & (vx < vy * slope[k])
+            out[lo:hi] = np.where(np.add.reduceat(crossed, first, dtype=np.int64) % 2 == 1, far, -far)
+            lo = hi
+        return out
+
+    n = len(g.polygon) - 1
+    best_x, best_y, best = np.zeros(n), np.zeros(n), np.full(n, -np.inf)
+    p = np.flatnonzero(np.diff(off) > 0)
+    p = p[g.ring[g.polygon[p] + 1] > g.ring[g.polygon[p]]]
+    if not len(p):
+        return best_x, best_y, best
+    outer = g.polygon[p]
+    count = g.ring[outer + 1] - g.ring[outer]
+    at, first = flat.spans(g.ring[outer], count), np.cumsum(count) - count
+    low, high = (np.stack([f.reduceat(v[at], first) for v in (g.x, g.y)]) for f in (np.minimum, np.maximum))
+    half = np.maximum((high - low).min(axis=0), 1e-9) / 2
+    enough = np.zeros(n)
+    enough[p] = precision * 2 * half
+    across, up = (np.maximum(np.ceil((np.maximum(high[c], low[c] + half * 1.001) - (low[c] + half)) / (2 * half)).astype(np.int64), 1) for c in (0, 1))
+    k = flat.spans(np.zeros(len(p), dtype=np.int64), across * up)
+    q = np.repeat(np.arange(len(p)), across * up)
+    x, y, half, p = low[0][q] + half[q] + k % across[q] * 2 * half[q], low[1][q] + half[q] + k // across[q] * 2 * half[q], half[q], p[q]
+    while len(p):
+        far = depth(p, x, y)
+        first = np.flatnonzero(np.diff(p, prepend=-1))
+        most = np.maximum.reduceat(far, first)
+        is_most = np.flatnonzero(far == np.repeat(most, np.diff(np.append(first, len(p)))))
+        top = is_most[np.flatnonzero(np.diff(p[is_most], prepend=-1))]  # the first of equals
+        top = top[far[top] > best[p[top]]]
+        best_x[p[top]], best_y[p[top]], best[p[top]] = x[top], y[top], far[top]
+        keep = far + half * math.sqrt(2) - best[p] > enough[p]
+        p, half = np.repeat(p[keep], 4), np.repeat(half[keep] / 2, 4)
+        x = np.repeat(x[keep], 4) + np.tile([-1, -1, 1, 1], int(keep.sum())) * half
+        y = np.repeat(y[keep], 4) + np.tile([-1, 1, -1, 1], int(keep.sum())) * half
+    return best_x, best_y, best
+
+
+def _row_labels(g: flat.Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By row: the label point of the polygon that leaves most room, the first of equals; distance -inf without one."""
+    x, y, far = labels(g)
+    row = np.repeat(np.arange(len(g.row) - 1), np.diff(g.row))
+    order = np.lexsort((-far, row))
+    top = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+    out = np.zeros((3, len(g.row) - 1))
+    out[2] = -np.inf
+    out[:, row[top]] = x[top], y[top], far[top]
+    return tuple(out)
 
 
 def labelled(features: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, x, y, distance): the label point of each feature's polygon that leaves most room."""
     kind = features.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key, polygons in zip(pdf["id"], pdf["g"]):
-                found = [label([np.array([[q["x"], q["y"]] for q in r]) for r in rings]) for rings in polygons]
-                rows.append((key, *max(found, key=lambda f: f[2])))
-            yield pd.DataFrame(rows, columns=["id", "x", "y", "distance"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, far = _row_labels(flat.Flat.read(batch.column(1)))
+            out = pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (x, y, far))], ["id", "x", "y", "distance"])
+            yield out.filter(pa.array(far > -np.inf))
 
     whole = features.select(F.col(id_col).alias("id"), "g").filter("size(g) > 0")
-    return whole.mapInPandas(run, f"id {kind}, x double, y double, distance double").withColumnRenamed("id", id_col)
+    return whole.mapInArrow(run, f"id {kind}, x double, y double, distance double").withColumnRenamed("id", id_col)
 
 
 def simplified(features: DataFrame, tolerance: float = 1e-4, id_col: str = "id") -> DataFrame:
@@ -239,17 +284,32 @@ def with_label(features: DataFrame, properties: str = "properties", id_col: str
     The properties labelx and labely stand if they are there; then the first of the inner points' properties that are neither missing nor
     empty, if it lies inside; else the point with most room around it, to six places. Only features that need one are searched.
     """
-    of = lambda names: F.coalesce(*(F.nullif(F.try_element_at(F.col(properties), F.lit(n)), F.lit("")).try_cast("double") for n in names), F.lit(0.0))
-    given = F.try_element_at(F.col(properties), F.lit("labelx")).isNotNull()
-    own = [F.try_element_at(F.col(properties), F.lit(n)).try_cast("double") for n in ("labelx", "labely")]
-    x, y = of(INNER_X), of(INNER_Y)
-    good = (x != 0) & (y != 0) & G.contains(F.col("g"), x, y)
-    known = features.withColumn("x", F.when(given, own[0]).when(good, x)).withColumn("y", F.when(given, own[1]).when(good, y)).withColumn("_known", given | good)
-    searched = labelled(spread(features.select(id_col, "g", (given | good).alias("_known")).filter(~F.coalesce("_known", F.lit(False)))), id_col)
-    found = staged(searched.select(id_col, F.round("x", 6).alias("_x"), F.round("y", 6).alias("_y")), "labels")
-    out = known.join(found, id_col, "left")
-    keep = F.coalesce("_known", F.lit(False))
-    return out.select(*features.columns, F.when(keep, F.col("x")).otherwise(F.col("_x")).alias("x"), F.when(keep, F.col("y")).otherwise(F.col("_y")).alias("y"))
+    names = features.columns
+    of = lambda props, found: F.coalesce(*(F.nullif(F.try_element_at(props, F.lit(n)), F.lit("")).try_cast("double") for n in found), F.lit(0.0))
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  (value is taken once, however often f names it)
+
+    def known(props: Column) -> Column:
+        own = [F.try_element_at(props, F.lit(n)).try_cast("double") for n in ("labelx", "labely")]
+        inner = F.struct(of(props, INNER_X).alias("x"), of(props, INNER_Y).alias("y"))
+        good = lambda q: F.coalesce((q["x"] != 0) & (q["y"] != 0) & G.contains(F.col("g"), q["x"], q["y"]), F.lit(False))
+        given = F.try_element_at(props, F.lit("labelx")).isNotNull()
+        return F.when(given, F.struct(own[0].alias("x"), own[1].alias("y"), F.lit(True).alias("known"))).otherwise(bound(inner, lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), good(q).alias("known"))))
+
+    rows = features.withColumn("_p", bound(F.col(properties), known)).select(*names, F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y"), F.coalesce("_p.known", F.lit(False)).alias("_known"))
+    at = names.index("g")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = np.flatnonzero(~np.asarray(batch.column("_known")))
+            found = np.array(_row_labels(flat.Flat.read(batch.column(at).take(pa.array(some)))))
+            x, y = (np.full(len(batch), np.nan) for _ in "xy")
+            for v, w in zip((x, y), found):
+                v[some] = np.where(found[2] > -np.inf, w, np.nan)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, from_pandas=True) for v in (x, y))], [*batch.schema.names, "_sx", "_sy"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    out = rows.mapInArrow(run, f"{schema}, _sx double, _sy double")
+    return out.select(*names, *(F.when(F.col("_known"), F.col(f"_{c}")).otherwise(F.round(f"_s{c}", 6)).alias(c) for c in "xy"))
 
 
 def circle_area(y: Column, r: Column) -> Column:

@@ -345,8 +345,10 @@ def nation_boxes(spark, d):
     return n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), "n_nationkey", "n_regionkey", G.box_polygon(x, y + 2, x + 2, y).alias("g"))
 
 
-def order_boxes(spark, d):
-    o = table(spark, d, "orders")
+def order_boxes(spark, d, spread=False):
+    """A box for each order; with ``spread`` the orders are dealt to all cores first, by their two keys alone."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    o = shapes.spread(o) if spread else o
     x, y = -120 + F.col("o_custkey") % 97 * 0.25, 30 + F.col("o_orderkey") % 89 * 0.125
     w, h = 0.5 + F.col("o_orderkey") % 7 * 0.25, 0.5 + F.col("o_custkey") % 5 * 0.25
     return o.select(F.col("o_orderkey").alias("id"), G.box_polygon(x, y + h, x + w, y).alias("g"))
@@ -533,7 +535,7 @@ def polygon_parts(spark, d):
 
 @query(f"SELECT id, round(least(w, h) / 2, 3) AS distance FROM {_BOXES}")
 def label_points(spark, d):
-    return shapes.labelled(order_boxes(spark, d)).select("id", F.round("distance", 3).alias("distance"))
+    return shapes.labelled(order_boxes(spark, d, spread=True)).select("id", F.round("distance", 3).alias("distance"))
 
 
 @query(f"SELECT id, 5 AS npoint, w * h AS flat FROM {_BOXES}")

@@ -206,3 +206,26 @@ def test_shared_folder_is_asked_for(spark, monkeypatch):
     staging.dropped(t)
     with pytest.raises(Exception, match="(?i)not exist|not_found"):
         spark.read.parquet(t.staged_path)
+
+
+def test_label_points_of_a_batch(spark):
+    """Every kind of shape in one batch, whose search is one array."""
+    ell, holed = [[(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4), (0, 0)]], [box(0, 0, 4, 4), box(1.5, 1.5, 1, 1)]
+    rows = [("box", [[box(0, 0, 6, 2)]]), ("ell", [ell]), ("holed", [holed]), ("two", [[box(0, 0, 1, 1)], [box(5, 5, 3, 3)]]), ("empty", [])]
+    got = {r.id: (r.x, r.y, r.distance) for r in shapes.labelled(frame(spark, rows)).collect()}
+    assert set(got) == {"box", "ell", "holed", "two"} and got["box"] == (1.0, 1.0, 1.0) and got["two"] == (6.5, 6.5, 1.5)
+    for name, rings, least in (("ell", ell, 0.5), ("holed", holed, 0.75)):
+        x, y, far = got[name]
+        assert clipping.inside([np.array(r, dtype=float) for r in rings], np.array([[x, y]])).all() and far >= least
+    labelled = shapes.with_label(frame(spark, [(*r, {}) for r in rows], SCHEMA + ", properties map<string,string>"))
+    assert {r.id: r.x for r in labelled.collect()} == {**{k: round(v[0], 6) for k, v in got.items()}, "empty": None}
+
+
+def test_properties_of_labels_are_taken_once(spark):
+    """An expression that gives the properties is in the plan once, and the rows without a point are searched where they are."""
+    text = F.concat(F.lit("0."), F.col("k").cast("string"))
+    rows = spark.range(1, 9).select(F.col("id").alias("k"), F.col("id")).select("id", G.box_polygon(F.lit(0.0), F.lit(1.0), F.lit(1.0), F.lit(0.0)).alias("g"), F.create_map(F.lit("INTPTLON"), text, F.lit("INTPTLAT"), text).alias("properties"))
+    out = shapes.with_label(rows).filter("x < 0.55")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map(INTPTLON") == 1 and "Join" not in plan
+    assert [r.id for r in out.orderBy("id").collect()] == [1, 2, 3, 4, 5]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as G
 from terrafold.operators import clipping, shapes, spatial, topology
+from terrafold.operators.staging import staged
 from terrafold.plans.queries import _BOXES, _CELLS, _POINTS, customer_points, nation_boxes, order_boxes
 from terrafold.plans.registry import query, table
 
@@ -180,7 +181,7 @@ _BLOCKS = f"(SELECT id, x + s / k AS px, y + s / k AS py FROM (SELECT *, least(w
 @query(f"""SELECT id, n AS district, round(px, 6) AS x, round(py, 6) AS y FROM {_BLOCKS}, {_NATIONS} WHERE px > nx AND px < nx + 2 AND py > ny AND py < ny + 2""")
 def blocks_to_districts(spark, d):
     """Squares placed in districts by their label points: a third have an inner point, a third one that lies outside, a third none. Points on districts' borders are left to the tests."""
-    b = order_boxes(spark, d).select("id", G.bounds(F.col("g"), False).alias("b"))
+    b = order_boxes(spark, d, spread=True).select("id", G.bounds(F.col("g"), False).alias("b"))
     x, y, s = F.col("b.left"), F.col("b.bottom"), F.least(G.bounds_width(F.col("b")), G.bounds_height(F.col("b")))
     text = lambda c: c.cast("string")
     k = F.col("id") % 3
@@ -189,6 +190,6 @@ def blocks_to_districts(spark, d):
     squares = b.select("id", G.box_polygon(x, y + s, x + s, y).alias("g"), F.coalesce(inner, outer, F.create_map().cast("map<string,string>")).alias("properties"))
     blocks = shapes.with_label(squares)
     near = lambda v: F.abs(v - 2 * F.round(v / 2)) > 1e-5
-    blocks = blocks.filter(near(F.col("x")) & near(F.col("y"))).select("id", "x", "y")
+    blocks = staged(blocks.filter(near(F.col("x")) & near(F.col("y"))).select("id", "x", "y"), "blocks")  # read several times below
     got = spatial.assign_smallest(blocks, nation_boxes(spark, d).select(F.col("id").alias("district"), "g"))
     return got.join(blocks, "id").select("id", "district", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

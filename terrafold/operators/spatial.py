@@ -117,14 +117,19 @@ def points_within(points: DataFrame, features: DataFrame, point_id: str = "id",
     return met.join(shape, "f").filter(G.contains(F.col("g"), F.col("x"), F.col("y"))).select("p", "f", "g", *carry)
 
 
-def assign_smallest(points: DataFrame, features: DataFrame, size: float | None = None, point_id: str = "id", feature_id: str = "district") -> DataFrame:
-    """(point, feature): each point's smallest feature by area, the smaller id on ties; points outside all are left out.
+def assign_smallest(points: DataFrame, features: DataFrame, size: float | None = None, point_id: str = "id", feature_id: str = "district", area: str | None = None) -> DataFrame:
+    """(point, feature): each point's smallest feature by area, the smaller id on ties; points outside all are left out. ``area`` names a column for the feature's area.
 
-    With ``size`` by a grid of such cells, else by cells that are split where points are dense.
+    With ``size`` by a grid of such cells, else by cells that are split where points are dense. Points in one place have one answer, and of features
+    with one geometry only that of the smallest id can be it: places and geometries meet once, however many rows share them.
     """
-    measured = features.withColumn("_a", G.area(F.col("g")))
-    met = points_within(points, measured, point_id, feature_id, ("_a",)) if size is None else points_in(points, measured, size, point_id, feature_id, ("_a",))
-    return met.groupBy(F.col("p").alias(point_id)).agg(F.min_by("f", F.struct("_a", "f")).alias(feature_id))
+    places = staged(points.filter("x is not null and y is not null").select("x", "y").distinct().withColumn("id", F.struct("x", "y")), "places")
+    shape = features.filter(F.col("g").isNotNull()).groupBy("g").agg(F.min(feature_id).alias("district"))
+    shape = staged(shape.withColumn("_a", G.area(F.col("g"))), "shapes")
+    met = points_within(places, shape, carry=("_a",)) if size is None else points_in(places, shape, size, carry=("_a",))
+    least = met.groupBy("p").agg(F.min(F.struct("_a", "f")).alias("m")).select("p.x", "p.y", "m")
+    own = points.select(point_id, "x", "y").join(least, ["x", "y"]).groupBy(point_id).agg(F.min("m").alias("m"))
+    return own.select(point_id, F.col("m.f").alias(feature_id), *([F.col("m._a").alias(area)] if area else []))
 
 
 def select_box(features: DataFrame, left: float, top: float, right: float, bottom: float, mode: str) -> DataFrame:

@@ -408,14 +408,14 @@ def point_in_polygon(spark, d):
 
 def _least_areas(spark, d, boxes):
     boxes = boxes.select(F.col("id").alias("district"), "g")
-    got = spatial.assign_smallest(customer_points(spark, d), boxes, 1.0)
-    return got.join(boxes, "district").select("id", F.round(G.area(F.col("g")) / G.EARTH_RADIUS**2, 9).alias("least"))
+    got = spatial.assign_smallest(customer_points(spark, d), boxes, 1.0, area="area")
+    return got.select("id", F.round(F.col("area") / G.EARTH_RADIUS**2, 9).alias("least"))
 
 
 @query(f"""WITH m AS (SELECT p.id, b.id AS district, abs(radians(w) * (sin(radians(y + h)) - sin(radians(y)))) AS a FROM {_POINTS} p, {_BOXES} b WHERE px > x AND px < x + w AND py > y AND py < y + h)
   SELECT id, round(min(a), 9) AS least FROM m GROUP BY 1""")
 def assign_smallest(spark, d):
-    return _least_areas(spark, d, shapes.spread(order_boxes(spark, d)))
+    return _least_areas(spark, d, order_boxes(spark, d, spread=True))
 
 
 @query("""WITH c AS (SELECT n_nationkey AS k, n_nationkey % 5 AS i, n_nationkey // 5 AS j FROM nation), e AS (SELECT a.k, b.k AS o, 'n' || a.k AS id, 'n' || b.k AS neighbor FROM c a, c b WHERE abs(a.i - b.i) + abs(a.j - b.j) = 1),

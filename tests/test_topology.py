@@ -229,3 +229,15 @@ def test_properties_of_labels_are_taken_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("map(INTPTLON") == 1 and "Join" not in plan
     assert [r.id for r in out.orderBy("id").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_equal_points_and_features_meet_once(spark, monkeypatch):
+    """Many points in few places, and copies of few geometries: pairs are those of places and geometries, rows those of all points."""
+    p = spark.range(2000).select("id", (F.col("id") % 3 * 2 + 0.5).alias("x"), F.lit(0.5).alias("y")).unionByName(spark.createDataFrame([(9000, None, 1.0)], "id long, x double, y double"))
+    f = spark.range(2000).select(F.concat(F.lit("f"), F.col("id") + 1000).alias("district"), G.box_polygon(F.lit(0.0), F.lit(1.0), 1.0 + F.col("id") % 4, F.lit(0.0)).alias("g"))
+    sizes, met = [], spatial.points_in
+    monkeypatch.setattr(spatial, "points_in", lambda points, features, *rest, **named: sizes.append((points.count(), features.count())) or met(points, features, *rest, **named))
+    got = spatial.assign_smallest(p, f, 1.0, area="area").collect()
+    assert sizes == [(3, 4)] and len(got) == 1334
+    assert {(r.id % 3, r.district) for r in got} == {(0, "f1000"), (1, "f1002")} and all(r.area > 0 for r in got)
+    assert {(r.id, r.district) for r in spatial.assign_smallest(p, f).collect()} == {(r.id, r.district) for r in got}

@@ -55,3 +55,17 @@ class Flat:
         count = np.maximum(np.diff(self.ring) - 1, 0)
         at = spans(self.ring[:-1], count)
         return at, at + 1, offsets(count)[self.polygon]
+
+
+def chunks(count: np.ndarray, most: int):
+    """Ranges of items with ``most`` in all at most, or one item."""
+    ends, lo = np.cumsum(count), 0
+    while lo < len(count):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of stretches that begin at ``first``; none may be empty."""
+    return np.add.reduceat(values, first) if len(first) else np.zeros(0)

@@ -140,9 +140,8 @@ def labels(g: flat.Flat, precision: float = 0.02) -> tuple[np.ndarray, np.ndarra
     def depth(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Distances of points from the edges of polygons ``p``, negative outside; some pairs at a time."""
         n = off[p + 1] - off[p]
-        ends, lo, out = np.cumsum(n), 0, np.empty(len(p))
-        while lo < len(p):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PRODUCTS, side="right")))
+        out = np.empty(len(p))
+        for lo, hi in flat.chunks(n, PRODUCTS):
             k, some = flat.spans(off[p[lo:hi]], n[lo:hi]), n[lo:hi]
             vx, vy = np.repeat(x[lo:hi], some) - ax[k], np.repeat(y[lo:hi], some) - ay[k]
             t = np.clip((vx * dx[k] + vy * dy[k]) / length[k], 0, 1)
@@ -151,7 +150,6 @@ def labels(g: flat.Flat, precision: float = 0.02) -> tuple[np.ndarray, np.ndarra
             high = np.repeat(y[lo:hi], some)
             crossed = ((ay[k] > high) != (by[k] > high)) & (vx < vy * slope[k])
             out[lo:hi] = np.where(np.add.reduceat(crossed, first, dtype=np.int64) % 2 == 1, far, -far)
-            lo = hi
         return out
 
     n = len(g.polygon) - 1

@@ -120,17 +120,17 @@ def simplified_contiguity(spark, d):
 @query(f"SELECT id, round(w * h / 4, 6) AS shared, round(w * h * 1.75, 6) AS both, round(w * h * 0.75, 6) AS rest, 5 AS n_shared, 9 AS n_both, 7 AS n_rest, 1 AS n_holes, round(w * h * 0.75, 6) AS frame FROM {_BOXES}")
 def clipped_shapes(spark, d):
     """A box and its copy moved by half its width and height: what they share, both together, the rest of the box; and the box without one of half its sides inside it."""
-    b = order_boxes(spark, d).select("id", "g", G.bounds(F.col("g"), False).alias("b"))
+    b = order_boxes(spark, d, spread=True).select("id", "g", G.bounds(F.col("g"), False).alias("b"))
     w, h = G.bounds_width(F.col("b")), G.bounds_height(F.col("b"))
     moved = G.map_points(F.col("g"), lambda x, y: (x + w / 2, y + h / 2))
     inner = G.map_points(F.col("g"), lambda x, y: ((x + F.col("b.left") + w / 2) / 2, (y + F.col("b.bottom") + h / 2) / 2))
-    rows = shapes.spread(b.select("id", "g", moved.alias("moved"), inner.alias("inner")))
-    pairs = rows.select("id", F.col("g").alias("ga"), F.col("moved").alias("gb"))
-    area, n = (lambda: F.round(G.area_flat(F.col("g")), 6)), (lambda: F.size(G.points(F.col("g"))))
-    made = [clipping.with_combined(pairs, op).select("id", area().alias(a), n().alias(f"n_{a}")) for op, a in (("intersection", "shared"), ("union", "both"), ("difference", "rest"))]
-    frame = clipping.with_combined(rows.select("id", F.col("g").alias("ga"), F.col("inner").alias("gb")), "difference")
-    frame = frame.select("id", area().alias("frame"), G.describe(F.col("g"))["nhole"].alias("n_holes"))
-    return made[0].join(made[1], "id").join(made[2], "id").join(frame, "id")
+    area, n = (lambda g: F.round(G.area_flat(F.col(g)), 6)), (lambda g: F.size(G.points(F.col(g))))
+    names = ("shared", "both", "rest")
+    rows = b.select("id", F.col("g").alias("ga"), moved.alias("gb"), F.col("g").alias("gc"), inner.alias("gd"))
+    made = clipping.with_combined(rows, dict(zip(names, ("intersection", "union", "difference"))))
+    made = made.select("id", *(area(g).alias(g) for g in names), *(n(g).alias(f"n_{g}") for g in names), "gc", "gd")
+    framed = clipping.with_combined(made, "difference", "gc", "gd")
+    return framed.select("id", "shared", "n_shared", "both", "n_both", "rest", "n_rest", area("g").alias("frame"), G.describe(F.col("g"))["nhole"].alias("n_holes"))
 
 
 @query(f"SELECT id, 2 AS npoly, 2 AS nhole, 20 AS npoint, round(w * h * (1 - 0.5625 + 0.25 - 0.0625), 6) AS flat FROM {_BOXES}")

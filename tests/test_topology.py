@@ -241,3 +241,29 @@ def test_equal_points_and_features_meet_once(spark, monkeypatch):
     assert sizes == [(3, 4)] and len(got) == 1334
     assert {(r.id % 3, r.district) for r in got} == {(0, "f1000"), (1, "f1002")} and all(r.area > 0 for r in got)
     assert {(r.id, r.district) for r in spatial.assign_smallest(p, f).collect()} == {(r.id, r.district) for r in got}
+
+
+def test_operations_of_a_batch_are_cut_once(spark):
+    """Several operations of one pass over a batch in which every row differs, some with several pieces, common borders or nothing."""
+    r = random.Random(9)
+    square = lambda n: [[box(3 * k, 2 * (k % 2), 2, 2)] for k in range(n)]
+    rows = [(k, square(k % 4), [[box(r.choice([0, 1, 2]), r.choice([-1, 0, 1, 2]), 1 + k % 5, 2)]] if k % 7 else []) for k in range(300)]
+    made = frame(spark, [(str(k), g, k) for k, g, _ in rows], SCHEMA + ", k int").join(frame(spark, [(str(k), h) for k, _, h in rows]).withColumnRenamed("g", "gb"), "id").withColumnRenamed("g", "ga").repartition(1)
+    got = clipping.with_combined(made, {"shared": "intersection", "both": "union", "rest": "difference"})
+    area = lambda c: F.round(G.area_flat(F.col(c)), 9)
+    flat = {x.k: (x[1], x[2], x[3], x.n) for x in got.select("k", area("shared"), area("both"), area("rest"), F.size("shared").alias("n")).collect()}
+    for k, g, h in rows:
+        low = lambda q: (*map(min, zip(*q)), *map(max, zip(*q)))
+        met = [max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1])) for a in (low(p[0]) for p in g) for b in (low(p[0]) for p in h)]
+        of = lambda s: sum((b[2] - b[0]) * (b[3] - b[1]) for b in (low(p[0]) for p in s))
+        assert flat[k][:3] == (sum(met), of(g) + of(h) - sum(met), of(g) - sum(met))
+
+
+@pytest.mark.parametrize("name", ["clipped_shapes", "label_points"])
+def test_only_keys_are_dealt_out(spark, name):
+    """Boxes are made after the orders are dealt to all cores; what the maps give isn't shuffled again."""
+    from terrafold.plans import shape_queries  # noqa: F401
+    from terrafold.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Join" not in plan and "Project [o_orderkey" in plan.split("Repartition")[1]

@@ -136,10 +136,10 @@ def clipped_shapes(spark, d):
 @query(f"SELECT id, 2 AS npoly, 2 AS nhole, 20 AS npoint, round(w * h * (1 - 0.5625 + 0.25 - 0.0625), 6) AS flat FROM {_BOXES}")
 def nested_rings(spark, d):
     """Four boxes inside each other, handed in as polygons of their own: two polygons with a hole each."""
-    b = order_boxes(spark, d).select("id", "g", G.bounds(F.col("g"), False).alias("b"))
+    b = order_boxes(spark, d, spread=True).select("id", "g", G.bounds(F.col("g"), False).alias("b"))
     x0, y0 = G.bounds_center(F.col("b"))
     flat = F.flatten(F.array(*(G.map_points(F.col("g"), lambda x, y, k=k: (x0 + (x - x0) * k, y0 + (y - y0) * k)) for k in (0.5, 1.0, 0.25, 0.75))))
-    cleaned = clipping.clean_holes(shapes.spread(b.select("id", flat.alias("g"))))
+    cleaned = clipping.clean_holes(b.select("id", flat.alias("g")))
     return cleaned.select("id", G.describe(F.col("g")).alias("n"), F.round(G.area_flat(F.col("g")), 6).alias("flat")).select("id", "n.*", "flat")
 
 

@@ -259,7 +259,7 @@ def test_operations_of_a_batch_are_cut_once(spark):
         assert flat[k][:3] == (sum(met), of(g) + of(h) - sum(met), of(g) - sum(met))
 
 
-@pytest.mark.parametrize("name", ["clipped_shapes", "label_points"])
+@pytest.mark.parametrize("name", ["clipped_shapes", "nested_rings", "label_points"])
 def test_only_keys_are_dealt_out(spark, name):
     """Boxes are made after the orders are dealt to all cores; what the maps give isn't shuffled again."""
     from terrafold.plans import shape_queries  # noqa: F401
@@ -267,3 +267,12 @@ def test_only_keys_are_dealt_out(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Repartition") == 1 and "Join" not in plan and "Project [o_orderkey" in plan.split("Repartition")[1]
+
+
+def test_batches_are_as_many_rows(spark):
+    """More rows than are nested at once."""
+    n = 2 * clipping.ROWS + 5
+    four = F.flatten(F.array(*(G.box_polygon(-F.col("id") - k, F.lit(10.0) + k, F.lit(5.0) + k, F.lit(1.0) - k) for k in (1, 3, 0, 2))))
+    got = clipping.clean_holes(spark.range(0, n, 1, 1).select("id", four.alias("g"))).select("id", G.describe(F.col("g")).alias("d"), G.area_flat(F.col("g")).alias("a")).collect()
+    side = lambda i, k: (i + 5 + 2 * k) * (9 + 2 * k)
+    assert len(got) == n and all((r.d.npoly, r.d.nhole) == (2, 2) and r.a == side(r.id, 3) - side(r.id, 2) + side(r.id, 1) - side(r.id, 0) for r in got)

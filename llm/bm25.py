@@ -6,14 +6,14 @@ score = sum of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 *
 N, df and avgdl are counted over all rows before any shard is scored, so scores of
 different shards are comparable and the merge is exact.
 
-Index. A shard is a run of rows of one task with about ``SHARD_BYTES`` of text, its rows
-ordered by length. Each query term has its postings in row order, cut in blocks with the
+Index. Texts are cut into terms once: a table has each row's words, distinct terms and counts, and all that follows reads
+it, however many rounds and blocks of queries there are. A shard is a run of its rows of one task with about ``SHARD_BYTES`` of terms and counts, ordered by length. Each query term has its postings in row order, cut in blocks with the
 greatest share of a score in each. Blocks of a list over ``1 / DENSE`` of the shard span
 ``BLOCK`` rows; in shorter lists every posting is a block of its own.
 
 Search. The threshold of a query is its k-th best score so far. A row is a pivot only if
 the maxima of the blocks that cover it, summed over the query's lists, reach the
-threshold; postings of the long lists are read for pivots alone, those of highest bound first,
+threshold (maxima are summed for ``GROUP`` queries at a time, as one matrix product); postings of the long lists are read for pivots alone, those of highest bound first,
 and the threshold rises after each ``WAVE`` of them. Everything else is skipped unread. Whatever is
 below the threshold can't be among the k best, so skipping loses nothing.
 
@@ -47,8 +47,10 @@ from llm.staging import staged
 K1, B = 1.2, 0.75
 TOP = 10
 SHARD_BYTES = 16 << 20
-BLOCK = 4
+BLOCK = 2
 DENSE = 16
+#: Queries whose maxima are summed together.
+GROUP = 64
 #: Pivots scored before the threshold is raised.
 WAVE = 64
 #: Rows of the first round, and how many times as many as all before it a later round has.
@@ -58,7 +60,7 @@ GROWTH = 3
 TASK_ROWS = 4_096
 #: Parts of the rows, by a hash of the id, from which rounds are made.
 PARTS = 1 << 20
-BLOCK_TERMS = 2_000_000
+BLOCK_TERMS = 4_000_000
 #: Decimals of a score; rows are ranked by the rounded score.
 DECIMALS = 6
 #: Distinct terms that a task counts before it hands them on.
@@ -80,8 +82,21 @@ def _terms(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nd
         yield lo, r[at], h[at], np.diff(np.append(at, len(h))), np.diff(first)
 
 
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Id, words, and the distinct terms (8 bytes each) and counts (4 bytes) of each row."""
+    for batch in batches:
+        for lo, row, term, tf, words in _terms(batch.column(1)):
+            off = np.searchsorted(row, np.arange(len(words) + 1))
+            packed = [_packed(off * 8, term.astype("<i8")), _packed(off * 4, tf.astype("<u4"))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(words)), pa.array(words, pa.int64()), *packed], ["id", "words", "terms", "counts"])
+
+
+def _packed(off: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows per term, summed over a task as far as memory allows; one row with a null term has the rows and words."""
+    """Rows per term of (words, terms), summed over a task as far as memory allows; one row with a null term has the rows and words."""
     rows, length, held, size = 0, 0, [], 0
 
     def merged():
@@ -89,17 +104,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return term, np.bincount(where, weights=np.concatenate([n for _, n in held])).astype(np.int64)
 
     for batch in batches:
-        for _, _, terms, _, words in _terms(batch.column(0)):
-            rows += len(words)
-            length += int(words.sum())
-            held.append(np.unique(terms, return_counts=True))
-            size += len(held[-1][0])
-            if size > COUNTED:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > COUNTED // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1]), pa.nulls(size, pa.int64())], ["term", "df", "words"])
-                    held, size = [], 0
+        rows += len(batch)
+        length += pc.sum(batch.column(0)).as_py() or 0
+        held.append(np.unique(textkit.raw(batch.column(1))[0].view("<i8"), return_counts=True))
+        size += len(held[-1][0])
+        if size > COUNTED:
+            held = [merged()]
+            size = len(held[0][0])
+            if size > COUNTED // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1]), pa.nulls(size, pa.int64())], ["term", "df", "words"])
+                held, size = [], 0
     if held:
         term, n = merged()
         yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n), pa.nulls(len(term), pa.int64())], ["term", "df", "words"])
@@ -139,7 +153,15 @@ class Shard:
         #: Rows scored in the long lists, of all that might have been.
         self.scored = self.seen = 0
 
-    def search(self, query: np.ndarray, top: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, queries: list[np.ndarray]) -> np.ndarray:
+        """By query and block: the maxima of the block, summed over the query's long lists."""
+        asked = np.zeros((len(queries), len(self.most)), dtype=np.float32)
+        for k, query in enumerate(queries):
+            dense = self.long[query]
+            asked[k, dense[dense >= 0]] = 1
+        return asked @ self.most
+
+    def search(self, query: np.ndarray, top: int, floor: float = 0.0, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows (numbers as given) and rounded scores that may be among the ``top`` best and reach ``floor``; ties with the last are all there."""
         dense = self.long[query]
         short = query[dense < 0]
@@ -149,8 +171,8 @@ class Shard:
         score = np.bincount(self.row[flat], weights=self.share[flat], minlength=self.n)
         self.seen += self.n
         if len(dense):
-            bound = np.repeat(self.most[dense].sum(axis=0), BLOCK)[: self.n] + score
-            slack = 1 - 1e-5
+            bound = np.repeat(self.bounds([query])[0] if bounds is None else bounds, BLOCK)[: self.n] + score
+            slack = 1 - 1e-5 - 2.0**-23 * len(dense)  # sums of 32-bit floats
         else:
             bound, slack = score, 1.0
         least = max(floor - 10.0**-DECIMALS, 1e-300)
@@ -195,7 +217,8 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col
     base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     asked = queries.select(queries[id_col].alias("query"), queries[text_col].alias("text")).filter("query is not null and text is not null")
     asked = staged(asked.mapInArrow(textkit.tidy(_query_terms), f"query {query_kind}, term bigint").distinct(), "query-terms")
-    counted = staged(base.select("text").mapInArrow(textkit.tidy(_counts), "term bigint, df bigint, words bigint"), "counts")
+    index = staged(base.mapInArrow(textkit.tidy(_indexed), f"id {kind}, words bigint, terms binary, counts binary"), "index")
+    counted = staged(index.select("words", "terms").mapInArrow(textkit.tidy(_counts), "term bigint, df bigint, words bigint"), "counts")
     rows, words = counted.filter("term is null").agg(F.sum("df"), F.sum("words")).first()
     schema = f"query {query_kind}, id {kind}, score double"
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
@@ -214,12 +237,12 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col
             names = chosen["query"].combine_chunks().dictionary_encode()
             which = names.indices.to_numpy()
             order = np.argsort(which, kind="stable")
-            lists = np.searchsorted(terms, chosen["term"].to_numpy()[order])
+            lists = np.searchsorted(terms, chosen["term"].to_numpy()[order]).astype(np.int32)
             ends = np.searchsorted(which[order], np.arange(len(names.dictionary) + 1))
             kept, began = None, 0
             for upto in _rounds(rows):
                 held = spark.sparkContext.broadcast((terms, weights, names.dictionary, lists, ends, *_floors(kept, names.dictionary, top)))
-                part = base.filter((mark >= began) & (mark < upto))
+                part = index.filter((mark >= began) & (mark < upto))
                 if upto < PARTS:  # whole shards, not the shreds of all tasks
                     part = part.repartition(-(-rows * (upto - began) // (PARTS * TASK_ROWS)))
                 found = part.mapInArrow(textkit.tidy(_answers(held, average, top)), schema)
@@ -256,7 +279,9 @@ def _answers(held, average: float, top: int):
             rank[pc.sort_indices(keys, null_placement="at_end").to_numpy()] = np.arange(len(keys))
             found = []
             for q in range(len(names)):
-                rows, scores = shard.search(lists[ends[q] : ends[q + 1]], top, floors[q])
+                if q % GROUP == 0:
+                    bounds = shard.bounds([lists[ends[k] : ends[k + 1]] for k in range(q, min(q + GROUP, len(names)))])
+                rows, scores = shard.search(lists[ends[q] : ends[q + 1]], top, floors[q], bounds[q % GROUP])
                 if last[q] is not None and (scores == floors[q]).any():  # ties with the k-th best row must have a smaller id
                     keep = (scores > floors[q]) | pc.fill_null(pc.less(keys.take(pa.array(rows)), pa.scalar(last[q], keys.type)), False).to_numpy(zero_copy_only=False)
                     rows, scores = rows[keep], scores[keep]
@@ -275,16 +300,21 @@ def _answers(held, average: float, top: int):
 
         parts, ids, size, n = [], [], 0, 0
         for batch in batches:
-            for lo, row, term, tf, words in _terms(batch.column(1)):
-                at = np.searchsorted(terms, term)
+            term, off = textkit.raw(batch.column(2))
+            tf = textkit.raw(batch.column(3))[0].view("<u4")
+            term, off, words = term.view("<i8"), off // 8, np.asarray(batch.column(1))
+            lo = 0
+            while lo < len(batch):
+                hi = min(len(batch), max(lo + 1, int(np.searchsorted(off, off[lo] + (SHARD_BYTES - size) // 12, side="right")) - 1))
+                some = slice(off[lo], off[hi])
+                at = np.searchsorted(terms, term[some])
                 at[at == len(terms)] = 0
-                asked = terms[at] == term
-                parts.append(tuple(x[asked].astype(np.int32) for x in (row + n, at, tf)) + (words,))
-                piece = batch.column(0).slice(lo, len(words))
-                ids.append(piece)
-                n += len(words)
-                size += batch.column(1).slice(lo, len(words)).nbytes
-                if size >= SHARD_BYTES:
+                asked = terms[at] == term[some]
+                row = np.repeat(np.arange(n, n + hi - lo), np.diff(off[lo : hi + 1]))
+                parts.append(tuple(x[asked].astype(np.int32) for x in (row, at, tf[some])) + (words[lo:hi],))
+                ids.append(batch.column(0).slice(lo, hi - lo))
+                n, size, lo = n + hi - lo, size + 12 * int(off[hi] - off[lo]), hi
+                if size >= SHARD_BYTES or (lo < len(batch) and size):
                     yield from answers(parts, ids)
                     parts, ids, size, n = [], [], 0, 0
         if parts:

@@ -63,3 +63,21 @@ def test_skips_rows_below_the_threshold():
         rows, scores = shard.search(np.array(query), 10, floor)
         assert set(rows) == set(np.flatnonzero((full >= floor) & (full > 0)))
     assert shard.scored < shard.seen / 4
+
+
+def test_texts_are_cut_once_for_all_blocks_of_queries(spark, monkeypatch):
+    """Several blocks of queries and several rounds read the table of terms, not the texts."""
+    monkeypatch.setattr(bm25, "BLOCK_TERMS", 100)
+    monkeypatch.setattr(bm25, "FIRST_ROWS", 20)
+    plans, staged = [], bm25.staged
+
+    def seen(df, name):
+        plans.append((name, "text#" in df._jdf.queryExecution().optimizedPlan().toString()))
+        return staged(df, name)
+
+    monkeypatch.setattr(bm25, "staged", seen)
+    docs = spark.range(120).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 20), n -> concat('w', (id * n) % 37))) as text")
+    docs = staged(docs, "texts")
+    got = bm25.search(docs, docs.filter("doc_id % 5 = 0"), top=3)
+    assert [n for n, read in plans if read] == ["query-terms", "index"] and sum(n == "best" for n, _ in plans) > 4
+    assert got.groupBy("query_id").count().filter("count = 3").count() == 24

@@ -46,7 +46,7 @@ from llm.staging import staged
 
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 32 << 20
 BLOCK = 2
 DENSE = 16
 #: Queries whose maxima are summed together.
